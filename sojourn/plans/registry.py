@@ -21,7 +21,7 @@ def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None =
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return build(load_testdata(spark, sf_dir))
 
-    run.__name__ = name
+    run.__name__, run.__module__ = name, build.__module__
     QUERIES[name] = run
     if sql is not None:
         ORACLES[name] = with_tables(sql)

@@ -59,7 +59,10 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, name: str, sf_d
 
 
 if __name__ == "__main__":
-    names = [a for a in sys.argv[1:] if not a.startswith("/")] or list(QUERIES)
+    names = [a for a in sys.argv[1:] if a[0] not in "/@"]
+    for module in (a[1:] for a in sys.argv[1:] if a[0] == "@"):
+        names += [n for n, q in QUERIES.items() if q.__module__ == f"sojourn.plans.{module}"]
+    names = names or list(QUERIES)
     sf = next((a for a in sys.argv[1:] if a.startswith("/")), "/root/testdata/sf0.01")
     session, con = spark_session(), duck(sf)
     session.sparkContext.setLogLevel("ERROR")
