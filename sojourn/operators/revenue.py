@@ -24,11 +24,11 @@ def confirmed(t: Tables) -> DataFrame:
     return t.bookings.filter(F.col("status") == "confirmed")
 
 
-def _zero(name: str) -> Column:
+def zero_if_null(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0)).alias(name)
 
 
-def _whole_buckets(column: str, start: When, end: When, grain: str) -> Column:
+def whole_buckets(column: str, start: When, end: When, grain: str) -> Column:
     """Rows of every bucket the window touches, from first day to last."""
     return (F.col(column) >= dates.ts(dates.floor_day(start, grain))) & (
         F.col(column) < dates.ts(dates.ceil_day(end, grain))
@@ -45,13 +45,13 @@ def revenue_trend(t: Tables, *, start: When, end: When) -> DataFrame:
     """Zero-filled monthly confirmed revenue. The window only sets first and last month."""
     facts = (
         confirmed(t)
-        .filter(_whole_buckets("booked_at", start, end, "month"))
+        .filter(whole_buckets("booked_at", start, end, "month"))
         .groupBy(dates.bucket("booked_at", "month").alias("month"))
         .agg(F.sum("total_price").alias("revenue"), F.count(F.lit(1)).alias("bookings"))
     )
     filled = fill_calendar(t, facts, start, end, "month", "month")
     return filled.select(
-        F.date_format("month", "yyyy-MM-dd").alias("period"), _zero("revenue"), _zero("bookings")
+        F.date_format("month", "yyyy-MM-dd").alias("period"), zero_if_null("revenue"), zero_if_null("bookings")
     ).orderBy("period")
 
 
@@ -59,7 +59,7 @@ def revenue_trend_grain(t: Tables, *, start: When, end: When, grain: str) -> Dat
     """Zero-filled trend by day, week, month, quarter or year with distinct customers."""
     per_user = (
         confirmed(t)
-        .filter(_whole_buckets("booked_at", start, end, grain))
+        .filter(whole_buckets("booked_at", start, end, grain))
         .groupBy(dates.bucket("booked_at", grain).alias("period"), "user_id")
         .agg(F.sum("total_price").alias("revenue"), F.count(F.lit(1)).alias("bookings"))
     )
@@ -71,9 +71,9 @@ def revenue_trend_grain(t: Tables, *, start: When, end: When, grain: str) -> Dat
     filled = fill_calendar(t, facts, start, end, grain, "period")
     return filled.select(
         "period",
-        _zero("bookings"),
-        _zero("revenue"),
-        _zero("customers"),
+        zero_if_null("bookings"),
+        zero_if_null("revenue"),
+        zero_if_null("customers"),
         F.coalesce(ratio(F.col("revenue"), F.col("bookings")), F.lit(0.0)).alias("avg_booking_value"),
     ).orderBy("period")
 
@@ -243,7 +243,7 @@ def top_revenue_tours(t: Tables, *, limit: int = 10) -> DataFrame:
     return (
         t.tours.select("id", "title")
         .join(_by_tour(confirmed(t)), F.col("id") == F.col("tour_id"), "left")
-        .select("id", "title", "revenue", _zero("bookings"))
+        .select("id", "title", "revenue", zero_if_null("bookings"))
         .orderBy(F.desc_nulls_last("revenue"), "id")
         .limit(limit)
     )
@@ -275,7 +275,7 @@ def popular_tours(
     how = "left" if start is None and end is None else "inner"
     ranked = (
         tours.join(facts, F.col("id") == F.col("tour_id"), how)
-        .select("id", "title", "slug", "price", _zero("bookings_count"), "revenue", "avg_people")
+        .select("id", "title", "slug", "price", zero_if_null("bookings_count"), "revenue", "avg_people")
         .orderBy(F.desc("bookings_count"), "id")
     )
     return ranked if limit is None else ranked.limit(limit)

@@ -4,7 +4,7 @@ from sojourn.plans.registry import ORACLES, QUERIES
 
 
 def load_all() -> None:
-    from sojourn.plans import kpis, revenue  # noqa: F401
+    from sojourn.plans import customers, kpis, revenue  # noqa: F401
 
 
 load_all()
