@@ -4,7 +4,7 @@ from sojourn.plans.registry import ORACLES, QUERIES
 
 
 def load_all() -> None:
-    from sojourn.plans import customers, kpis, revenue, tours  # noqa: F401
+    from sojourn.plans import catalog, customers, kpis, revenue, tours  # noqa: F401
 
 
 load_all()
