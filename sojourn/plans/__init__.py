@@ -4,7 +4,7 @@ from sojourn.plans.registry import ORACLES, QUERIES
 
 
 def load_all() -> None:
-    from sojourn.plans import bookings, catalog, customers, kpis, revenue, tours  # noqa: F401
+    from sojourn.plans import availability, bookings, catalog, customers, kpis, revenue, scalars, tours  # noqa: F401
 
 
 load_all()

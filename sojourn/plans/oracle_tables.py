@@ -67,6 +67,14 @@ from events where event_type='error'""",
     "bot_knowledge": """
 select q.conv_id, q.turn, q.text question, a.text answer from conversations q
 join conversations a on a.conv_id=q.conv_id and a.turn=q.turn+1 where q.role='user' and a.role<>'user'""",
+    "requests": """
+select event_id request_id, user_id, cast(json_extract(props,'$.k') as bigint) tour_id,
+  cast(timestamp '2001-06-01 00:00:00' + (event_id%3*30)*interval '1' day as date) tour_date,
+  cast(event_id%23 as int) people, ts arrived_at from events where event_type='click'""",
+    "contact_messages": """
+select case when conv_id%5=0 then ' ' else 'Guest '||conv_id end as name,
+  case when conv_id%7=0 then 'nobody' else 'guest'||conv_id||'@example.com' end email, text message
+from conversations where role='user'""",
     # main image of a tour, shared by the catalogue queries
     "main_images": """
 select tour_id, min_by(image_url, (display_order, id)) main_image from tour_images where is_main group by tour_id""",
@@ -107,6 +115,8 @@ def with_tables(sql: str) -> str:
     if not order:
         return sql
     head = ",\n".join(f"{n} as ({CTES[n]})" for n in order)
-    if sql.lower().startswith("with "):
+    if sql.startswith("with recursive "):
+        return f"with recursive {head},\n{sql[15:]}"
+    if sql.startswith("with "):
         return f"with {head},\n{sql[5:]}"
     return f"with {head}\n{sql}"

@@ -185,11 +185,27 @@ def load_testdata(spark: SparkSession, sf_dir: str) -> Tables:
         )
         return q.join(a, ["conv_id", "turn"])
 
+    def requests() -> DataFrame:
+        """Booking requests: three days per tour, so that some days are overfull."""
+        return events("click").selectExpr(
+            "event_id request_id", "user_id", "k tour_id",
+            "cast(timestamp_ntz'2001-06-01 00:00:00' + (event_id % 3 * 30) * interval '1' day as date) tour_date",
+            "cast(event_id % 23 as int) people", "ts arrived_at",
+        )
+
+    def contact_messages() -> DataFrame:
+        return raw("conversations").filter("role = 'user'").selectExpr(
+            "case when conv_id % 5 = 0 then ' ' else concat('Guest ', conv_id) end name",
+            "case when conv_id % 7 = 0 then 'nobody' else concat('guest', conv_id, '@example.com') end email",
+            "cast(null as string) subject", "text message",
+        )
+
     builders = {
         f.__name__: f
         for f in (
             users, bookings, tours, categories, amenities, tour_categories, tour_amenities,
             tour_images, favorites, reviews, live_bookings_src, notifications, bot_knowledge,
+            requests, contact_messages,
         )
     }
     builders["raw_events"] = lambda: raw("events")
