@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from sojourn.plans.change_sets import CHANGE_SQL, oracle
+
 CTES: dict[str, str] = {
     "users": """
 select c_custkey id, c_name as name, lower(replace(c_name,'#','.'))||'@example.com' email, cast(null as varchar) phone,
@@ -84,6 +86,8 @@ select tour_id, cast(booked_at as date) as day, cast(sum(people_count) as bigint
 from bookings where status='confirmed' group by 1, 2""",
 }
 
+CTES.update({name: oracle(name) for name in CHANGE_SQL})
+
 
 def _uses(sql: str, name: str) -> bool:
     return re.search(rf"\b{name}\b", sql) is not None
