@@ -222,9 +222,10 @@ def top_tours(t: Tables, *, start: When, end: When, limit: int = 10) -> DataFram
 
 def top_tours_share(t: Tables, *, start: When, end: When, limit: int = 10) -> DataFrame:
     """Top tours with their share of the window's confirmed revenue. The total is a scalar subquery
-    over the same per-tour fold, so its shuffle is reused."""
-    facts = _by_tour(confirmed(t).filter(dates.within("booked_at", start, end)), distinct_users=True)
-    total = facts.agg(F.sum("revenue")).scalar()
+    that reads three columns and needs no shuffle of rows."""
+    window = confirmed(t).filter(dates.within("booked_at", start, end))
+    facts = _by_tour(window, distinct_users=True)
+    total = window.agg(F.sum("total_price")).scalar()
     return (
         facts.join(t.tours.select("id", "title", "location"), F.col("id") == F.col("tour_id"))
         .orderBy(F.desc("revenue"), "id")

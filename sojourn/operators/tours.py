@@ -38,16 +38,25 @@ def _fold_links(links: DataFrame, key: str, facts: DataFrame) -> DataFrame:
     )
 
 
-def _customers_per_link(links: DataFrame, key: str, bookings: DataFrame) -> DataFrame:
-    """Distinct customers per category: (tour, user) pairs are folded before and after the join."""
-    pairs = bookings.groupBy("tour_id", "user_id").agg(F.first(F.lit(1)).alias("one"))
-    return (
+def _fold_links_by_customer(links: DataFrame, key: str, bookings: DataFrame) -> DataFrame:
+    """The same with distinct customers, links without bookings dropped. Bookings are folded to
+    (tour, user) before the join and to (link, user) after it, so a customer of several tours of a
+    category counts once. Tours are counted on the links alone."""
+    pairs = bookings.groupBy("tour_id", "user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_price").alias("s")
+    )
+    per_user = (
         pairs.join(links, "tour_id")
         .groupBy(F.col(key).alias("link_id"), "user_id")
-        .agg(F.first("one").alias("one"))
-        .groupBy("link_id")
-        .agg(F.count("user_id").alias("customers"))
+        .agg(F.sum("n").alias("n"), F.sum("s").cast("decimal(28,2)").alias("s"))
+    )
+    folded = per_user.groupBy("link_id").agg(
+        F.sum("n").alias("bookings"),
+        F.sum("s").cast("decimal(28,2)").alias("revenue"),
+        F.count("user_id").alias("customers"),
     )
+    tours = links.groupBy(F.col(key).alias("link_id")).agg(F.count("tour_id").alias("tour_count"))
+    return folded.join(tours, "link_id")
 
 
 def _ratings(t: Tables) -> DataFrame:
@@ -86,15 +95,11 @@ def category_share(t: Tables, *, start: When, end: When) -> DataFrame:
     """Per category bookings, customers, tours and the share of the window's confirmed revenue. The
     denominator counts each booking once, so shares of overlapping categories exceed 100."""
     window = confirmed(t).filter(dates.within("booked_at", start, end))
-    facts = _per_tour(window)
-    total = facts.agg(F.sum("s")).scalar()
-    folded = _fold_links(t.tour_categories, "category_id", facts).filter(F.col("revenue") > 0)
-    customers = _customers_per_link(t.tour_categories, "category_id", window)
+    total = window.agg(F.sum("total_price")).scalar()
+    folded = _fold_links_by_customer(t.tour_categories, "category_id", window).filter(F.col("revenue") > 0)
     return (
         t.categories.select("id", "name", "color", "icon")
         .join(folded, F.col("id") == F.col("link_id"))
-        .drop("link_id")
-        .join(customers, F.col("id") == F.col("link_id"))
         .select(
             "id", "name", "color", "icon", "bookings", "revenue", "customers",
             ratio(F.col("revenue"), F.col("bookings")).alias("avg_booking_value"),
@@ -145,12 +150,10 @@ def category_tour_counts(t: Tables) -> DataFrame:
 def category_performance(t: Tables, *, as_of: date, months: int = 12) -> DataFrame:
     recent = confirmed(t).filter(F.col("booked_at") >= dates.ts(dates.months_before(as_of, months)))
     links = t.tour_categories
-    folded = _fold_links(links, "category_id", _per_tour(recent)).filter(F.col("bookings") > 0)
-    customers = _customers_per_link(links, "category_id", recent).withColumnRenamed(
-        "customers", "unique_customers"
-    )
-    joined = folded.join(customers, "link_id").join(
-        _ratings_per_link(t, links, "category_id"), "link_id", "left"
+    joined = (
+        _fold_links_by_customer(links, "category_id", recent)
+        .withColumnRenamed("customers", "unique_customers")
+        .join(_ratings_per_link(t, links, "category_id"), "link_id", "left")
     )
     return (
         t.categories.select("id", "name", "color")
@@ -180,38 +183,43 @@ def amenity_impact(t: Tables) -> DataFrame:
 
 
 def _performance(t: Tables, start: When, end: When) -> DataFrame:
-    """One row per tour booked in the window. Customers and booking days are separate folds."""
+    """One row per tour booked in the window. Customers and booking days are two kinds of keys in one
+    fold, so the bookings are read once."""
     window = t.bookings.filter(dates.within("booked_at", start, end))
     is_confirmed, is_cancelled = F.col("status") == "confirmed", F.col("status") == "cancelled"
-    per_user = window.groupBy("tour_id", "user_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(is_confirmed).alias("c"),
-        F.count_if(is_cancelled).alias("x"),
-        sum_if(is_confirmed, F.col("total_price")).alias("s"),
-        sum_if(is_cancelled, F.col("total_price")).alias("lost"),
-        sum_if(is_confirmed, F.col("people_count")).alias("people"),
+    kinds = F.array(
+        F.struct(F.lit("user").alias("kind"), F.col("user_id").alias("key")),
+        F.struct(F.lit("day").alias("kind"), F.unix_date(F.to_date("booked_at")).cast("long").alias("key")),
     )
-    facts = per_user.groupBy("tour_id").agg(
-        F.sum("n").alias("bookings"),
-        F.sum("c").alias("confirmed_bookings"),
-        F.sum("x").alias("cancelled_bookings"),
-        F.sum("s").cast("decimal(28,2)").alias("revenue"),
-        F.sum("lost").cast("decimal(28,2)").alias("lost_revenue"),
-        F.sum("people").alias("total_participants"),
-        F.count("user_id").alias("unique_customers"),
-        F.count(F.when(F.col("n") > 1, F.col("user_id"))).alias("repeat_customers"),
+    per_key = (
+        window.select("tour_id", "status", "total_price", "people_count", F.inline(kinds))
+        .groupBy("tour_id", "kind", "key")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(is_confirmed).alias("c"),
+            F.count_if(is_cancelled).alias("x"),
+            sum_if(is_confirmed, F.col("total_price")).alias("s"),
+            sum_if(is_cancelled, F.col("total_price")).alias("lost"),
+            sum_if(is_confirmed, F.col("people_count")).alias("people"),
+        )
     )
-    days = (
-        window.select("tour_id", F.to_date("booked_at").alias("day"))
-        .distinct()
-        .groupBy("tour_id")
-        .agg(F.count("day").alias("days"))
+    by_user = F.col("kind") == "user"
+    facts = per_key.groupBy("tour_id").agg(
+        sum_if(by_user, F.col("n")).alias("bookings"),
+        sum_if(by_user, F.col("c")).alias("confirmed_bookings"),
+        sum_if(by_user, F.col("x")).alias("cancelled_bookings"),
+        sum_if(by_user, F.col("s")).cast("decimal(28,2)").alias("revenue"),
+        sum_if(by_user, F.col("lost")).cast("decimal(28,2)").alias("lost_revenue"),
+        sum_if(by_user, F.col("people")).alias("total_participants"),
+        F.count(F.when(by_user, F.col("key"))).alias("unique_customers"),
+        F.count(F.when(by_user & (F.col("n") > 1), F.col("key"))).alias("repeat_customers"),
+        F.count(F.when(~by_user, F.col("key"))).alias("days"),
     )
     tours = t.tours.select("id", "title", "slug", "location", "price", "capacity", "status")
     seats = F.col("capacity").cast("double") * F.col("days")
     worth = F.col("price").cast("double") * F.col("capacity")
     return (
-        tours.join(facts.join(days, "tour_id").join(_ratings(t), "tour_id", "left"), F.col("id") == F.col("tour_id"))
+        tours.join(facts.join(_ratings(t), "tour_id", "left"), F.col("id") == F.col("tour_id"))
         .select(
             *tours.columns, "bookings", "confirmed_bookings", "cancelled_bookings", "revenue", "lost_revenue",
             ratio(F.col("revenue"), F.col("bookings")).alias("avg_value_incl_zero"),
