@@ -117,6 +117,21 @@ def hour_of(column: str) -> Column:
     return F.expr(f"cast(to_date({column}) as timestamp_ntz) + hour({column}) * interval '1' hour")
 
 
+def second_text(column: str) -> Column:
+    """yyyy-MM-dd HH:mm:ss. The plain cast of a zone-less time does not touch the session zone."""
+    return F.substring(F.col(column).cast("string"), 1, 19)
+
+
+def as_instant(column: str) -> Column:
+    """The zone-less time read as UTC, whatever the session zone is."""
+    return F.from_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone())
+
+
+def as_clock(instant: str) -> Column:
+    """The reverse of ``as_instant``."""
+    return F.to_utc_timestamp(F.col(instant), F.current_timezone()).cast("timestamp_ntz")
+
+
 def sunday_of(column: str) -> Column:
     as_day = F.to_date(column)
     return F.date_sub(as_day, F.dayofweek(as_day) - 1)

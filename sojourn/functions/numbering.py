@@ -102,8 +102,21 @@ def _narrow(hits: DataFrame, keys: list[str], bins: int) -> DataFrame:
     )
 
 
+# Largest k for which the optimizer limits each group before the shuffle by itself.
+GROUP_LIMIT = 1000
+SHARES = 32
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
-    """The first k rows of each key. The rank test lets Spark keep only k rows per key and
-    input partition before the shuffle, so a hot key stays small."""
+    """The first k rows of each key. The order must be unique within a key.
+
+    The rank test lets Spark keep only k rows per key and input partition before the shuffle, so a hot key
+    stays small. It does so for small k only; for a larger k the rows of a key are first ranked in shares,
+    each of which keeps its first k.
+    """
+    if k > GROUP_LIMIT:
+        shares = df.withColumn("_share", F.pmod(F.xxhash64(*df.columns), F.lit(SHARES)))
+        inside = F.row_number().over(Window.partitionBy(*keys, "_share").orderBy(*order))
+        df = shares.withColumn("_at", inside).filter(F.col("_at") <= k).drop("_at", "_share")
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(name) <= k)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.functions import dates
@@ -117,7 +117,13 @@ def user_bookings(
         rows = rows.filter(F.col("user_id") == user_id)
     if status is not None:
         rows = rows.filter(F.col("status") == status)
-    shown = first_rows(rows, ["user_id"], latest_first(), page * size).filter(F.col("rank") > (page - 1) * size)
+    if user_id is None:
+        shown = first_rows(rows, ["user_id"], latest_first(), page * size)
+        shown = shown.filter(F.col("rank") > (page - 1) * size)
+    else:
+        # One page of at most ``size`` rows, so the window over it is small.
+        at = F.row_number().over(Window.partitionBy("user_id").orderBy(*latest_first()))
+        shown = paginate(rows, latest_first(), page, size).withColumn("rank", at + (page - 1) * size)
     totals = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
     tours = t.tours.select(F.col("id").alias("_tour"), "title").join(
         main_images(t).withColumnRenamed("tour_id", "_t"), F.col("_t") == F.col("_tour"), "left"
@@ -199,7 +205,7 @@ def report_bookings(t: Tables, *, start: date | None = None, end: date | None =
     rows = t.bookings.select(*SHOWN).filter(dates.within_days("booked_at", start, end))
     return with_names(t, rows).orderBy(*latest_first()).select(
         "booking_number", "customer_name", F.col("tour_title").alias("tour"), "total_price", "status",
-        F.date_format("booked_at", "yyyy-MM-dd HH:mm:ss").alias("booked_at"),
+        dates.second_text("booked_at").alias("booked_at"),
     )
 
 

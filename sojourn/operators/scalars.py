@@ -104,7 +104,7 @@ def formatting(t: Tables) -> DataFrame:
         F.date_format(at, "yyyy-MM").alias("month_text"),
         F.concat(F.date_format(at, "yyyy-"), dates.week_of_year(at)).alias("week_text"),
         F.date_format(at, "yyMMdd").alias("short_text"),
-        F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("time_text"),
+        dates.second_text("booked_at").alias("time_text"),
     )
 
 

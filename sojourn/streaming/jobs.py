@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sojourn.functions import dates
 from sojourn.operators.changes import apply_payments
 from sojourn.sources.warehouse import load_tables, publish
 
 
 def _timed(bookings: DataFrame, late: str) -> DataFrame:
-    at = F.to_utc_timestamp(F.col("booked_at").cast("timestamp"), "UTC")
-    return bookings.withColumn("at", at).withWatermark("at", late)
+    return bookings.withColumn("at", dates.as_instant("booked_at")).withWatermark("at", late)
 
 
 def stream_hourly_sales(bookings: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -28,7 +28,7 @@ def stream_hourly_sales(bookings: DataFrame, late: str = "2 hours") -> DataFrame
         .groupBy(F.window("at", "1 hour").alias("w"))
         .agg(F.count(F.lit(1)).alias("bookings"), F.sum("total_price").alias("revenue"))
     )
-    return hourly.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "bookings", "revenue")
+    return hourly.select(dates.as_clock("w.start").alias("hour"), "bookings", "revenue")
 
 
 def stream_today_counters(bookings: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -44,7 +44,7 @@ def stream_today_counters(bookings: DataFrame, late: str = "2 hours") -> DataFra
         )
     )
     return daily.select(
-        F.to_date("w.start").alias("day"), "bookings_today", "revenue_today", "customers_today"
+        F.to_date(dates.as_clock("w.start")).alias("day"), "bookings_today", "revenue_today", "customers_today"
     )
 
 
@@ -52,7 +52,7 @@ def completed_payments(payments: DataFrame, late: str = "1 day") -> DataFrame:
     """Completed payment events (booking_number, payment_status, paid_at), each booking once per ``late``."""
     return (
         payments.filter(F.col("payment_status") == "COMPLETE")
-        .withColumn("at", F.col("paid_at").cast("timestamp"))
+        .withColumn("at", dates.as_instant("paid_at"))
         .withWatermark("at", late)
         .dropDuplicatesWithinWatermark(["booking_number"])
         .drop("at")

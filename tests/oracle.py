@@ -20,7 +20,7 @@ def spark_session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", os.environ.get("TEST_ZONE", "UTC"))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
