@@ -56,19 +56,22 @@ def load_jdbc(
     return Tables(spark, {name: reader(name) for name in SCHEMAS})
 
 
-def publish(df: DataFrame, root: str, table: str, version: int | None = None) -> str:
-    """Write a snapshot (a new version when one is named) and return its path. A version is
-    never overwritten, so a reader of the old one is not disturbed and a failed write leaves nothing behind
-    that a later run would take for complete."""
+def publish(
+    df: DataFrame, root: str, table: str, version: int | None = None, replace: bool = False
+) -> str:
+    """Write a snapshot (a new version when one is named) and return its path. A version that exists is
+    refused, so a reader of it is not disturbed; ``replace`` is for the remains of a failed write, which
+    lack the ``_SUCCESS`` mark."""
     path = f"{root}/{table}" if version is None else f"{root}/{table}/v{version}"
-    writer = df.write.mode("errorifexists")
+    mode = "overwrite" if replace else "errorifexists"
+    writer = df.write.mode(mode)
     if table == "bookings":
         # One shuffle by month and a share of the ids: a busy month is written by many tasks, and
         # a quiet one does not become many small files.
         spread = df.withColumn(MONTH, F.trunc(F.to_date("booked_at"), "month"))
         writer = (
             spread.repartition(F.col(MONTH), F.pmod(F.xxhash64("id"), F.lit(16)))
-            .write.mode("errorifexists")
+            .write.mode(mode)
             .partitionBy(MONTH)
         )
     writer.parquet(path)

@@ -61,7 +61,8 @@ def completed_payments(payments: DataFrame, late: str = "1 day") -> DataFrame:
 
 def stream_payments(payments: DataFrame, root: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
     """Apply payment events to the bookings of a versioned warehouse. Batch n reads version n and writes
-    version n + 1; a batch that is replayed after a failure finds its version complete and skips it."""
+    version n + 1; a batch that is replayed after a failure skips a version that is complete and replaces one that
+    is not."""
     spark = payments.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -71,7 +72,7 @@ def stream_payments(payments: DataFrame, root: str, checkpoint: str, late: str =
             return
         bookings = load_tables(spark, root, version=batch_id).bookings
         updated = apply_payments(bookings, batch).drop("booked_month")
-        publish(updated, root, "bookings", version=batch_id + 1)
+        publish(updated, root, "bookings", version=batch_id + 1, replace=True)
 
     return (
         completed_payments(payments, late)
