@@ -6,6 +6,8 @@ query, and only the columns a query needs reach the scan.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ RAW_SCHEMAS = {
 def load_testdata(spark: SparkSession, sf_dir: str) -> Tables:
     """All booking tables over one scale-factor directory."""
 
+    @cache
     def raw(name: str) -> DataFrame:
         return spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,8 +89,7 @@ def load_testdata(spark: SparkSession, sf_dir: str) -> Tables:
 
     def tours() -> DataFrame:
         booked = (
-            bookings()
-            .filter("status <> 'cancelled'")
+            tables.bookings.filter("status <> 'cancelled'")
             .groupBy("tour_id")
             .agg(F.sum("people_count").alias("n"))
         )
@@ -129,14 +131,14 @@ def load_testdata(spark: SparkSession, sf_dir: str) -> Tables:
         )
 
     def categories() -> DataFrame:
-        words = tour_categories().select("category_id").distinct()
+        words = tables.tour_categories.select("category_id").distinct()
         return words.selectExpr(
             "category_id id", "category_id name", "cast(null as string) description",
             "concat('icon-', category_id) icon", "concat('#', substr(md5(category_id), 1, 6)) color",
         )
 
     def amenities() -> DataFrame:
-        names = tour_amenities().select("amenity_id").distinct()
+        names = tables.tour_amenities.select("amenity_id").distinct()
         return names.selectExpr(
             "amenity_id id", "amenity_id name", "cast(null as string) description",
             "concat('icon-', lower(amenity_id)) icon",
@@ -209,7 +211,8 @@ def load_testdata(spark: SparkSession, sf_dir: str) -> Tables:
         )
     }
     builders["raw_events"] = lambda: raw("events")
-    return Tables(spark, builders)
+    tables = Tables(spark, builders)
+    return tables
 
 
 def live(t: Tables) -> Tables:
