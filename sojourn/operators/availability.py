@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.functions.money import effective_price
+from sojourn.functions.skew import join_hot
 from sojourn.operators.revenue import confirmed
 from sojourn.tables import Tables
 
@@ -48,7 +49,7 @@ def available_slots(t: Tables, requests: DataFrame) -> DataFrame:
 
 def check_availability(t: Tables, requests: DataFrame) -> DataFrame:
     """Whether each request alone would fit, and why not."""
-    joined = requests.join(available_slots(t, requests), ["tour_id", "tour_date"], "left")
+    joined = join_hot(requests, available_slots(t, requests), ["tour_id", "tour_date"], "left")
     fits = F.coalesce(F.col("people") <= F.col("available_slots"), F.lit(False))
     reason = F.when(F.col("capacity").isNull(), "Tour not found").when(~fits, "Not enough slots")
     return joined.select(
@@ -60,7 +61,7 @@ def check_availability(t: Tables, requests: DataFrame) -> DataFrame:
 def within_schedule(t: Tables, requests: DataFrame) -> DataFrame:
     """Whether each requested day lies in the tour's schedule and has a seat left."""
     slots = _slots(t, requests, "start_date", "end_date")
-    joined = requests.join(slots, ["tour_id", "tour_date"])
+    joined = join_hot(requests, slots, ["tour_id", "tour_date"])
     inside = F.col("tour_date").between(F.col("start_date"), F.col("end_date"))
     return joined.select(
         "request_id", "tour_id", "tour_date",
@@ -97,9 +98,8 @@ def admit_bookings(t: Tables, requests: DataFrame) -> DataFrame:
     slots = _slots(t, requests.filter(valid), "price", "discount_price").withColumn(
         "unit_price", effective_price()
     )
-    known = requests.join(
-        slots.select("tour_id", "tour_date", "asked", "available_slots", "unit_price"), ["tour_id", "tour_date"], "left"
-    )
+    offered = slots.select("tour_id", "tour_date", "asked", "available_slots", "unit_price")
+    known = join_hot(requests, offered, ["tour_id", "tour_date"], "left")
     overfull = known.filter(valid & (F.col("asked") > F.col("available_slots")))
     taken = _admit_overfull(overfull)
     people, seats = F.col("people"), F.col("available_slots")

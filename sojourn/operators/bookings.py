@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.functions import dates
@@ -27,10 +27,11 @@ def latest_first():
     return [F.desc("booked_at"), F.desc("id")]
 
 
-def with_names(t: Tables, bookings: DataFrame) -> DataFrame:
-    """Add tour title and slug, customer name and email; bookings without either are dropped."""
+def with_names(t: Tables, bookings: DataFrame, *more: Column) -> DataFrame:
+    """Add tour title and slug (and more tour columns), customer name and email; bookings without tour or
+    customer are dropped."""
     tours = t.tours.select(
-        F.col("id").alias("_tour"), F.col("title").alias("tour_title"), F.col("slug").alias("tour_slug")
+        F.col("id").alias("_tour"), F.col("title").alias("tour_title"), F.col("slug").alias("tour_slug"), *more
     )
     users = t.users.select(
         F.col("id").alias("_user"), F.col("name").alias("customer_name"), F.col("email").alias("customer_email")
@@ -44,13 +45,11 @@ def with_names(t: Tables, bookings: DataFrame) -> DataFrame:
 
 def booking_enriched(t: Tables) -> DataFrame:
     """Every booking with the columns of all detail views. A lookup by id is a filter on it."""
-    extra = t.tours.select(
-        F.col("id").alias("_t"), F.col("location").alias("tour_location"), "start_date", "end_date", "duration_days"
-    )
-    return (
-        with_names(t, t.bookings.select(*SHOWN, "payment_method", "confirmed_at", "cancelled_at"))
-        .join(extra, F.col("_t") == F.col("tour_id"))
-        .drop("_t")
+    return with_names(
+        t,
+        t.bookings.select(*SHOWN, "payment_method", "confirmed_at", "cancelled_at"),
+        F.col("location").alias("tour_location"),
+        *[F.col(c) for c in ("start_date", "end_date", "duration_days")],
     )
 
 

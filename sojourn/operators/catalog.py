@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sojourn.functions import dates
 from sojourn.functions.money import effective_price, saving, saving_percent
 from sojourn.functions.numbering import first_rows
+from sojourn.functions.skew import join_hot
 from sojourn.functions.text import contains_any
 from sojourn.operators.revenue import confirmed, zero_if_null
 from sojourn.schemas import BOOKABLE
@@ -318,7 +319,7 @@ def similar_tours(t: Tables, *, limit: int = 4) -> DataFrame:
         ["category_id"], order, limit + 1, "_at",
     ).drop("_at")
     candidates = (
-        links.join(heads, "category_id")
+        join_hot(links, heads, ["category_id"])
         .filter(F.col("tour_id") != F.col("similar_id"))
         .dropDuplicates(["tour_id", "similar_id"])
         .drop("category_id")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sojourn.functions import dates, text
 from sojourn.functions.numbering import running_number
+from sojourn.functions.skew import join_hot
 from sojourn.schemas import BOOKING_STATUSES
 from sojourn.tables import Tables
 
@@ -193,10 +194,10 @@ def find_or_create_user(users: DataFrame, contacts: DataFrame) -> DataFrame:
     first = F.min(F.struct("arrived_at", "contact_id", "name", "phone")).alias("_first")
     fresh = (
         contacts.filter(F.col("email").isNotNull())
-        .join(users.select("email"), "email", "left_anti")
         .groupBy("email")
         .agg(first)
         .select("email", "_first.*")
+        .join(users.select("email"), "email", "left_anti")
     )
     numbered = running_number(fresh.withColumn("_all", F.lit(1)), ["_all"], "contact_id", "_n")
     last_id = users.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
@@ -222,7 +223,8 @@ def next_booking_number(bookings: DataFrame, fresh: DataFrame) -> DataFrame:
     # A number of more than five digits is kept whole.
     tail = (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("string")
     padded = F.when(F.length(tail) < 5, F.lpad(tail, 5, "0")).otherwise(tail)
-    joined = numbered.join(taken, "_stem", "left")
+    # One row per calendar day, which bounds the broadcast.
+    joined = numbered.join(F.broadcast(taken), "_stem", "left")
     return joined.withColumn("booking_number", F.concat("_stem", padded)).select(*fresh.columns, "booking_number")
 
 
@@ -248,10 +250,10 @@ def replace_associations(links: DataFrame, chosen: DataFrame, edited: DataFrame)
 def append_images(images: DataFrame, uploads: DataFrame) -> DataFrame:
     """Add uploaded images (id, tour_id, image_url): the display order goes on from the tour's number of
     images, and none of them is the main image."""
-    counts = images.groupBy(F.col("tour_id").alias("_key")).agg(F.count(F.lit(1)).alias("_old"))
+    counts = images.groupBy("tour_id").agg(F.count(F.lit(1)).alias("_old"))
     numbered = running_number(uploads, ["tour_id"], "id", "_n")
     order = (F.coalesce("_old", F.lit(0)) + F.col("_n") - 1).cast("int")
-    new = numbered.join(counts, F.col("_key") == F.col("tour_id"), "left").select(
+    new = join_hot(numbered, counts, ["tour_id"], "left").select(
         *uploads.columns, F.lit(False).alias("is_main"), order.alias("display_order")
     )
     return images.unionByName(new, allowMissingColumns=True)
@@ -274,7 +276,7 @@ def guarded_delete(t: Tables, gone: DataFrame) -> Tables:
     as_child = free.select(F.col("id").alias("tour_id"))
     children = ("tour_images", "tour_categories", "tour_amenities", "favorites")
     frames = {
-        name: getattr(t, name).join(as_child, "tour_id", "left_anti").select(*getattr(t, name).columns)
+        name: join_hot(getattr(t, name), as_child, ["tour_id"], "left_anti").select(*getattr(t, name).columns)
         for name in children
     }
     return t.replace(tours=delete_rows(t.tours, free), **frames)
@@ -304,13 +306,11 @@ def mark_notifications_read(
     for keys, column in ((users, "user_id"), (ids, "id")):
         if keys is None:
             continue
-        wanted = keys.select(F.col(column).alias("_key")).distinct()
-        rows = (
-            rows.join(wanted, F.col("_key") == F.col(column), "left")
-            .withColumn("is_read", F.col("is_read") | F.col("_key").isNotNull())
-            .drop("_key")
-        )
-    return rows
+        wanted = keys.select(column).distinct().withColumn("_hit", F.lit(True))
+        # A user may have any number of notifications, an id has one row.
+        joined = join_hot(rows, wanted, [column], "left") if column == "user_id" else rows.join(wanted, column, "left")
+        rows = joined.withColumn("is_read", F.col("is_read") | F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return rows.select(*notifications.columns)
 
 
 def apply_payments(bookings: DataFrame, payments: DataFrame, method: str = "payfast") -> DataFrame:

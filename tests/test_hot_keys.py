@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from sojourn.functions import numbering
+from sojourn.functions import numbering, skew
 from sojourn.operators import availability, catalog
 from tests.frames import booking, rows, tables
 
@@ -32,6 +32,24 @@ def test_exact_median(spark, seed):
         assert got == {k: pytest.approx(float(v), abs=1e-9) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_keys_are_spread_and_nothing_else_changes(spark, how):
+    left = spark.createDataFrame([(i, None if i % 7 == 0 else i % 3, i % 2) for i in range(500)], "id int, k int, j int")
+    right = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 1, "c"), (9, 0, "d"), (None, 0, "e")], "k int, j int, v string")
+    want = left.join(right, ["k", "j"], how)
+    for hot_rows in (1, 80, 10**6):
+        got = skew.join_hot(left, right, ["k", "j"], how, hot_rows=hot_rows)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert rows(got, *want.columns) == rows(want, *want.columns)
+
+
+def test_operators_with_every_key_hot(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 1)
+    test_admission_equals_brute_force(spark, 0)
+    test_similar_tours_equal_all_pairs(spark)
+    test_confirmed_bookings_take_seats(spark)
+
+
 def test_exact_median_of_negative_values(spark):
     df = spark.createDataFrame([("a", Decimal(v)) for v in (-5, -1, 0, 4)], "k string, v decimal(18,2)")
     assert numbering.exact_median(df, ["k"], "v", "m").collect()[0].m == -0.5
