@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sojourn.functions.skew import join_hot
+
 SLICE_ROWS = 100_000
 
 
@@ -76,9 +78,9 @@ def exact_median(
 
 def _hits(counts: DataFrame, targets: DataFrame, keys: list[str], few_keys: bool) -> DataFrame:
     """Counted values inside the ranges still searched."""
-    side = F.broadcast(targets) if few_keys else targets
+    joined = counts.join(F.broadcast(targets), keys) if few_keys else join_hot(counts, targets, keys)
     past_low = F.col("_v") - F.col("_low")
-    return counts.join(side, keys).filter((past_low >= 0) & (past_low < F.col("_span")))
+    return joined.filter((past_low >= 0) & (past_low < F.col("_span")))
 
 
 def _narrow(hits: DataFrame, keys: list[str], bins: int) -> DataFrame:

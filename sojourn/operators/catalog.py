@@ -7,6 +7,7 @@ page. The page size bounds every broadcast here.
 from __future__ import annotations
 
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,7 +126,7 @@ def _filtered(
     for bound, test in ((price_min, "ge"), (price_max, "le")):
         if bound is None:
             continue
-        amount = F.lit(str(bound)).cast("decimal(10,2)")
+        amount = F.lit(Decimal(str(bound)))
 
         def holds(price: Column) -> Column:
             return price >= amount if test == "ge" else price <= amount

@@ -247,14 +247,14 @@ def replace_associations(links: DataFrame, chosen: DataFrame, edited: DataFrame)
     return kept.unionByName(new.select(*links.columns).distinct())
 
 
-def append_images(images: DataFrame, uploads: DataFrame) -> DataFrame:
+def append_images(images: DataFrame, uploads: DataFrame, new_tours: bool = False) -> DataFrame:
     """Add uploaded images (id, tour_id, image_url): the display order goes on from the tour's number of
-    images, and none of them is the main image."""
+    images, and none of them is the main image. For ``new_tours`` the very first image is the main one."""
     counts = images.groupBy("tour_id").agg(F.count(F.lit(1)).alias("_old"))
     numbered = running_number(uploads, ["tour_id"], "id", "_n")
     order = (F.coalesce("_old", F.lit(0)) + F.col("_n") - 1).cast("int")
     new = join_hot(numbered, counts, ["tour_id"], "left").select(
-        *uploads.columns, F.lit(False).alias("is_main"), order.alias("display_order")
+        *uploads.columns, (F.lit(new_tours) & (order == 0)).alias("is_main"), order.alias("display_order")
     )
     return images.unionByName(new, allowMissingColumns=True)
 

@@ -123,6 +123,8 @@ def test_links_and_images(spark):
     uploads = spark.createDataFrame([(8, 1, "x"), (6, 1, "y"), (7, 5, "z")], "id long, tour_id long, image_url string")
     got = changes.append_images(t.tour_images, uploads)
     assert rows(got, "id", "display_order", "is_main") == [(1, 0, True), (2, 1, False), (6, 2, False), (7, 0, False), (8, 3, False)]
+    first = changes.append_images(t.tour_images, uploads, new_tours=True)
+    assert rows(first.filter("is_main"), "id") == [(1,), (7,)]
 
 
 def test_deletes(spark):
