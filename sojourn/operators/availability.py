@@ -72,14 +72,14 @@ def within_schedule(t: Tables, requests: DataFrame) -> DataFrame:
 
 
 def available_dates(t: Tables) -> DataFrame:
-    """Every scheduled day of every tour that still has seats."""
+    """Every scheduled day of every tour that still has seats, with the tour's capacity and running counter."""
     days = t.tours.select(
-        F.col("id").alias("tour_id"), "capacity", F.explode(F.sequence("start_date", "end_date")).alias("tour_date")
+        F.col("id").alias("tour_id"), "capacity", "booked_count", F.explode(F.sequence("start_date", "end_date")).alias("tour_date")
     )
     left = F.col("capacity") - F.coalesce("booked", F.lit(0))
     return (
         days.join(day_load(t), ["tour_id", "tour_date"], "left")
-        .select("tour_id", "tour_date", left.alias("available_slots"))
+        .select("tour_id", "tour_date", left.alias("available_slots"), "capacity", "booked_count")
         .filter(F.col("available_slots") > 0)
     )
 

@@ -97,10 +97,16 @@ def revenue_by_time(t: Tables, *, start: When, end: When, grain: str, limit: int
 
 
 def revenue_by_period_lookback(
-    t: Tables, *, as_of: date, periods: tuple[str, ...] = ("day", "week", "month", "year")
+    t: Tables,
+    *,
+    as_of: date,
+    periods: tuple[str, ...] = ("day", "week", "month", "year"),
+    start: When | None = None,
+    end: When | None = None,
 ) -> DataFrame:
-    """Revenue, count and average per bucket over the lookback of each period. One scan is folded
-    to days, then the days are rolled up to every requested period."""
+    """Revenue, count and average per bucket over the lookback of each period, or from ``start`` instead,
+    and up to ``end`` if given. One scan is folded to days, then the days are rolled up to every
+    requested period."""
     # How far each period looks back.
     first_day = {
         "day": date.fromordinal(as_of.toordinal() - 30),
@@ -108,10 +114,15 @@ def revenue_by_period_lookback(
         "month": dates.months_before(as_of, 12),
         "year": dates.months_before(as_of, 60),
     }
-    earliest = min(first_day[p] for p in periods)
+    if start is not None:
+        first_day = dict.fromkeys(periods, dates.stamp(start).date())
+    earliest = start if start is not None else min(first_day[p] for p in periods)
+    wanted = F.col("booked_at") >= dates.ts(earliest)
+    if end is not None:
+        wanted = wanted & (F.col("booked_at") <= dates.ts(end))
     daily = (
         confirmed(t)
-        .filter(F.col("booked_at") >= dates.ts(earliest))
+        .filter(wanted)
         .groupBy(F.to_date("booked_at").alias("day"))
         .agg(F.sum("total_price").alias("revenue"), F.count(F.lit(1)).alias("bookings"))
     )

@@ -29,8 +29,8 @@ from requests r join ({SLOTS}) s on s.tour_id=r.tour_id and s.tour_date=r.tour_d
 register(
     "available_dates",
     lambda t: op.available_dates(t),
-    """select s.id tour_id, s.d tour_date, capacity-coalesce(booked, 0) available_slots
-from (select id, capacity, cast(unnest(generate_series(cast(start_date as timestamp), cast(end_date as timestamp), interval 1 day)) as date) d
+    """select s.id tour_id, s.d tour_date, capacity-coalesce(booked, 0) available_slots, capacity, booked_count
+from (select id, capacity, booked_count, cast(unnest(generate_series(cast(start_date as timestamp), cast(end_date as timestamp), interval 1 day)) as date) d
       from tours) s left join day_load l on l.tour_id=s.id and l.day=s.d
 where capacity-coalesce(booked, 0)>0""",
 )

@@ -17,6 +17,9 @@ select user_id%700 id, case when event_id%3=0 then 'Name '||event_id when event_
     "role_changes": """
 select user_id id, case event_id%4 when 0 then 'admin' when 1 then 'manager' when 2 then 'user' else 'owner' end as role, ts changed_at, event_id seq
 from events where event_type='view'""",
+    "tour_states": """
+select cast({k} as bigint) id, case event_id%4 when 0 then 'fully_booked' when 1 then 'completed' when 2 then 'upcoming' else 'open' end status,
+  ts changed_at, event_id seq from events where event_type='click'""",
     "toggles": """
 select user_id, cast({k} as bigint) tour_id, ts created_at from events where event_type in ('click', 'view')""",
     "new_favorites": """

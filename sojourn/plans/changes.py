@@ -10,7 +10,7 @@ from sojourn.operators import quality as dq
 from sojourn.plans.change_sets import change_set
 from sojourn.plans.registry import register
 from sojourn.plans.windows import NOW, NOW_SQL
-from sojourn.schemas import ROLES
+from sojourn.schemas import ROLES, TOUR_STATUSES
 from sojourn.sources.seeds import AMENITIES, CATEGORIES, seed_dimensions
 from sojourn.tables import Tables
 
@@ -200,6 +200,14 @@ register(
     f"""with c as (select id k, arg_max(role, {LAST}) r from role_changes where role in ('admin','manager','user') group by 1)
 select id, coalesce(r, role) as role, case when k is null then {STAMP} else {NOW_SQL} end updated_at from users left join c on k=id""",
 )
+register(
+    "set_tour_status",
+    lambda t: op.set_checked(
+        t.tours.select("id", "status", "updated_at"), change_set(t, "tour_states"), "status", TOUR_STATUSES, ["changed_at", "seq"], NOW
+    ),
+    f"""with c as (select id k, arg_max(status, {LAST}) s from tour_states where status<>'open' group by 1)
+select id, coalesce(s, status) status, case when k is null then {STAMP} else {NOW_SQL} end updated_at from tours left join c on k=id""",
+)
 register(
     "mark_notifications_read",
     lambda t: op.mark_notifications_read(t.notifications, users=change_set(t, "gone_users").withColumnRenamed("id", "user_id")),

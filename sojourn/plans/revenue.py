@@ -56,6 +56,16 @@ from bookings where status='confirmed' and booked_at >= {AS_OF_SQL} - interval {
     ),
 )
 
+register(
+    "revenue_by_period_range",
+    lambda t: op.revenue_by_period_lookback(
+        t, as_of=AS_OF, periods=("week",), start=date(1999, 3, 3), end=date(2000, 3, 3)
+    ),
+    f"""select 'week' as grain, cast(date_trunc('week', booked_at) as date) period, {MONEY} revenue, count(*) bookings,
+  {AVG} avg_booking_value
+from bookings where status='confirmed' and booked_at between timestamp '1999-03-03' and timestamp '2000-03-03' group by 2""",
+)
+
 register(
     "revenue_by_period_text",
     lambda t: op.revenue_by_period_text(t, as_of=AS_OF, period="week"),
