@@ -106,7 +106,7 @@ def _narrow(hits: DataFrame, keys: list[str], bins: int) -> DataFrame:
 
 # Largest k for which the optimizer limits each group before the shuffle by itself.
 GROUP_LIMIT = 1000
-SHARES = 32
+SHARES = 1024
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

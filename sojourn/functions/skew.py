@@ -12,10 +12,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with at least this many rows is split. There are at most rows / HOT_ROWS such keys, so the
-# broadcast list of them stays small: a million rows of two columns for 10^12 rows.
+# A key with more rows than this is split into shares of about this size. There are at most
+# rows / HOT_ROWS hot keys, and as many shares, so the broadcast list of hot keys stays small: a million
+# short rows for 10^12.
 HOT_ROWS = 1_000_000
-SHARES = 64
+# Rows with a null key match nothing; they only need to be spread.
+NULL_SHARES = 1024
 
 
 def join_hot(
@@ -23,20 +25,20 @@ def join_hot(
 ) -> DataFrame:
     """Join rows (left) to a frame with few rows per key.
 
-    The rows of a hot key are spread over ``SHARES`` shares, and what the other side has for it is
-    repeated once per share; every other key has one share. ``how`` is inner, left, left_semi or left_anti.
-    Keys are compared by equality; rows with a null key match nothing and are spread too.
+    The rows of a hot key are spread over shares, as many as its count asks for, and what the other side has
+    for it is repeated once per share; every other key has one share. ``how`` is inner, left, left_semi
+    or left_anti. Keys are compared by equality.
     """
     keys = list(keys)
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(counts.filter(F.col("_n") >= limit).select(*keys, F.lit(True).alias("_hot")))
+    counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    shares = F.ceil(F.col("_n") / F.lit(limit)).alias("_shares")
+    hot = F.broadcast(counts.filter(F.col("_n") > limit).select(*keys, shares))
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    width = F.when(no_key, F.lit(NULL_SHARES)).otherwise(F.coalesce("_shares", F.lit(1)))
     # A hash of the row itself: a task that runs again spreads its rows the same way.
-    share = F.pmod(F.xxhash64(*rows.columns), F.lit(SHARES)).cast("int")
-    left = rows.join(hot, keys, "left").withColumn(
-        "_share", F.when(F.col("_hot") | no_key, share).otherwise(0)
-    )
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    share = F.pmod(F.xxhash64(*rows.columns), width)
+    left = rows.join(hot, keys, "left").withColumn("_share", share)
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce("_shares", F.lit(1)) - 1)
     right = other.join(hot, keys, "left").withColumn("_share", F.explode(every))
-    return left.drop("_hot").join(right.drop("_hot"), [*keys, "_share"], how).drop("_share")
+    return left.drop("_shares").join(right.drop("_shares"), [*keys, "_share"], how).drop("_share")

@@ -16,8 +16,8 @@ from sojourn.tables import Tables
 
 # Party size a request may have.
 MIN_PEOPLE, MAX_PEOPLE = 1, 20
-# Tasks that share the ranking of one hot (tour, day, party size).
-SPREAD = 32
+# Shares that rank one (tour, day, party size) at first.
+SPREAD = 1024
 
 
 def day_load(t: Tables) -> DataFrame:

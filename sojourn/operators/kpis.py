@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sojourn.functions import dates
 from sojourn.functions.money import growth, percent, ratio, sum_if
 from sojourn.operators.revenue import When, confirmed
-from sojourn.schemas import BOOKABLE
+from sojourn.schemas import BOOKABLE, BOOKING_STATUSES
 from sojourn.tables import Tables
 
 def is_confirmed() -> Column:
@@ -299,11 +299,8 @@ def booking_status_summary(t: Tables, *, start: When | None = None, end: When |
 
 def user_status_counts(t: Tables) -> DataFrame:
     """Bookings of each user by state, one column per state."""
-    return (
-        t.bookings.groupBy("user_id")
-        .pivot("status", ["pending", "confirmed", "cancelled", "completed"])
-        .agg(F.count(F.lit(1)))
-        .na.fill(0)
+    return t.bookings.groupBy("user_id").agg(
+        *[F.count_if(F.col("status") == s).alias(s) for s in BOOKING_STATUSES]
     )
 
 

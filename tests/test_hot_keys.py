@@ -37,7 +37,7 @@ def test_hot_keys_are_spread_and_nothing_else_changes(spark, how):
     left = spark.createDataFrame([(i, None if i % 7 == 0 else i % 3, i % 2) for i in range(500)], "id int, k int, j int")
     right = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 1, "c"), (9, 0, "d"), (None, 0, "e")], "k int, j int, v string")
     want = left.join(right, ["k", "j"], how)
-    for hot_rows in (1, 80, 10**6):
+    for hot_rows in (1, 20, 80, 10**6):
         got = skew.join_hot(left, right, ["k", "j"], how, hot_rows=hot_rows)
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got, *want.columns) == rows(want, *want.columns)
