@@ -21,17 +21,23 @@ NULL_SHARES = 1024
 
 
 def join_hot(
-    rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner", hot_rows: int | None = None
+    rows: DataFrame,
+    other: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    hot_rows: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join rows (left) to a frame with few rows per key.
 
     The rows of a hot key are spread over shares, as many as its count asks for, and what the other side has
     for it is repeated once per share; every other key has one share. ``how`` is inner, left, left_semi
-    or left_anti. Keys are compared by equality.
+    or left_anti. Keys are compared by equality. The counts are taken on ``counted`` when the rows are
+    costly to compute twice: a plain table that has at least as many rows of each key.
     """
     keys = list(keys)
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (rows if counted is None else counted).dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     shares = F.ceil(F.col("_n") / F.lit(limit)).alias("_shares")
     hot = F.broadcast(counts.filter(F.col("_n") > limit).select(*keys, shares))
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])

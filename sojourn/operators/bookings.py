@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sojourn.functions import dates
 from sojourn.functions.numbering import first_rows
+from sojourn.functions.skew import join_hot
 from sojourn.functions.text import contains_any
 from sojourn.operators.catalog import bookable, main_images, paginate, with_totals
 from sojourn.operators.revenue import When, confirmed, fill_calendar, zero_if_null
@@ -124,14 +125,8 @@ def user_bookings(
         at = F.row_number().over(Window.partitionBy("user_id").orderBy(*latest_first()))
         shown = paginate(rows, latest_first(), page, size).withColumn("rank", at + (page - 1) * size)
     totals = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
-    tours = t.tours.select(F.col("id").alias("_tour"), "title").join(
-        main_images(t).withColumnRenamed("tour_id", "_t"), F.col("_t") == F.col("_tour"), "left"
-    )
-    return (
-        shown.join(totals, "user_id")
-        .join(tours, F.col("_tour") == F.col("tour_id"))
-        .drop("_tour", "_t")
-    )
+    tours = t.tours.select(F.col("id").alias("tour_id"), "title").join(main_images(t), "tour_id", "left")
+    return join_hot(shown.join(totals, "user_id"), tours, ["tour_id"], counted=rows)
 
 
 def user_recent(t: Tables, *, k: int = 5) -> DataFrame:
@@ -150,12 +145,9 @@ def user_upcoming(t: Tables, *, as_of: date, k: int = 3) -> DataFrame:
     )
     rows = confirmed(t).select(*SHOWN).join(ahead, F.col("_tour") == F.col("tour_id")).drop("_tour")
     soonest = first_rows(rows, ["user_id"], [F.asc("start_date"), F.asc("id")], k)
-    images = main_images(t).select(F.col("tour_id").alias("_t"), F.col("main_image").alias("image"))
-    return (
-        soonest.join(images, F.col("_t") == F.col("tour_id"), "left")
-        .select(
-            "user_id", "rank", "id", "people_count", "total_price", "booked_at", "title", "start_date", "location", "image"
-        )
+    images = main_images(t).withColumnRenamed("main_image", "image")
+    return join_hot(soonest, images, ["tour_id"], "left", counted=t.bookings).select(
+        "user_id", "rank", "id", "people_count", "total_price", "booked_at", "title", "start_date", "location", "image"
     )
 
 
@@ -168,8 +160,8 @@ def user_favorites(t: Tables, *, k: int = 12) -> DataFrame:
         offered, F.col("_tour") == F.col("tour_id")
     )
     newest = first_rows(liked.drop("_tour"), ["user_id"], [F.desc("favorited_at"), F.asc("tour_id")], k)
-    images = main_images(t).select(F.col("tour_id").alias("_t"), F.col("main_image").alias("image"))
-    return newest.join(images, F.col("_t") == F.col("tour_id"), "left").drop("_t")
+    images = main_images(t).withColumnRenamed("main_image", "image")
+    return join_hot(newest, images, ["tour_id"], "left", counted=t.favorites)
 
 
 def user_favorites_counts(t: Tables) -> DataFrame:

@@ -60,33 +60,20 @@ def publish(
     df: DataFrame, root: str, table: str, version: int | None = None, replace: bool = False
 ) -> str:
     """Write a snapshot (a new version when one is named) and return its path. A version that exists is
-    refused, so a reader of it is not disturbed; ``replace`` is for the remains of a failed write, which
-    lack the ``_SUCCESS`` mark."""
+    refused, so a reader of it is not disturbed; ``replace`` is for a write that is repeated after a failure."""
     path = f"{root}/{table}" if version is None else f"{root}/{table}/v{version}"
     mode = "overwrite" if replace else "errorifexists"
-    writer = df.write.mode(mode)
     if table == "bookings":
-        # One shuffle by month and a share of the ids: a busy month is written by many tasks, and
-        # a quiet one does not become many small files.
-        spread = df.withColumn(MONTH, F.trunc(F.to_date("booked_at"), "month"))
-        writer = (
-            spread.repartition(F.col(MONTH), F.pmod(F.xxhash64("id"), F.lit(16)))
-            .write.mode(mode)
-            .partitionBy(MONTH)
-        )
+        # Rebalancing gives every task about the advisory size: a busy month is written by many tasks, and a
+        # quiet one does not become many small files. Sorted times make row groups skippable.
+        monthly = df.withColumn(MONTH, F.trunc(F.to_date("booked_at"), "month")).hint("rebalance", MONTH)
+        writer = monthly.sortWithinPartitions(MONTH, "booked_at").write.mode(mode).partitionBy(MONTH)
+    else:
+        writer = df.write.mode(mode)
     writer.parquet(path)
     return path
 
 
-def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> None:
-    """Save as a catalog table hashed and sorted by a key. Folds by that key, and joins of two tables with the
-    same number of buckets, then need no shuffle. One shuffle here gives one file per bucket."""
-    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
-    if path is not None:
-        writer = writer.option("path", path)
-    writer.mode("errorifexists").saveAsTable(name)
-
-
 def in_months(bookings: DataFrame, start, end) -> DataFrame:
     """Restrict a partitioned fact table to the months of a window, which prunes its folders."""
     first, last = dates.floor_day(start, "month"), dates.floor_day(end, "month")

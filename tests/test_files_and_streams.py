@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sojourn.operators import bookings as lists
-from sojourn.operators import customers, kpis, revenue
+from sojourn.operators import kpis, revenue
 from sojourn.plans import QUERIES
 from sojourn.sources import exports, warehouse
 from sojourn.sources.testdata import live, load_testdata
@@ -50,22 +50,21 @@ def test_warehouse_round_trip_and_pruning(spark, tmp_path):
     assert "special_requests" not in read and "people_count" not in read
 
 
-def test_bucketed_tables_meet_without_a_shuffle(spark, tmp_path):
-    made = frame(spark, "bookings", *[booking(i, user_id=i % 5) for i in range(50)])
-    people = frame(spark, "users", *[{"id": i, "name": f"u{i}", "role": "user"} for i in range(5)])
-    warehouse.save_bucketed(made, "bucketed_bookings", "user_id", 4, str(tmp_path / "b"))
-    warehouse.save_bucketed(people, "bucketed_users", "id", 4, str(tmp_path / "u"))
+def test_a_busy_month_is_written_by_many_tasks(spark, tmp_path):
+    busy = spark.range(200_000).selectExpr(
+        "id", "concat('CT-', id) booking_number", "id user_id", "id tour_id", "sha2(cast(id as string), 256) special_requests",
+        "timestamp_ntz'2001-06-01 00:00:00' + if(id % 50 = 0, id % 300, id % 30) * interval '1' day booked_at",
+    )
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
     try:
-        t = tables(spark).replace(bookings=spark.table("bucketed_bookings"), users=spark.table("bucketed_users"))
-        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-        top = customers.top_customers(t, start=date(2001, 1, 1), end=date(2002, 1, 1))
-        assert "Exchange" not in top._jdf.queryExecution().executedPlan().toString()
-        assert [r.total_bookings for r in top.collect()] == [10] * 5
+        path = warehouse.publish(busy, str(tmp_path), "bookings")
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        spark.sql("drop table bucketed_bookings")
-        spark.sql("drop table bucketed_users")
+        for key, value in saved.items():
+            spark.conf.set(key, value)
+    assert len(glob.glob(f"{path}/booked_month=2001-06-01/*.parquet")) > 5
+    assert len(glob.glob(f"{path}/booked_month=2001-09-01/*.parquet")) <= 2
+    assert spark.read.parquet(path).count() == 200_000
 
 
 def test_late_hours_are_dropped_and_the_rest_equals_the_batch(spark, sf_dir, tmp_path):
