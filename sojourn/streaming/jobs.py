@@ -1,8 +1,7 @@
 """Streaming forms of the live numbers and of payment events.
 
 Event times are zone-less; a watermark wants a zoned time, so they are read as UTC.
-State is bounded by the watermark: hours and days behind it are dropped from memory, and so are
-the numbers of payments already seen.
+State is bounded by the watermark: hours and days behind it are dropped from memory.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sojourn.functions import dates
 from sojourn.operators.changes import apply_payments
-from sojourn.sources.warehouse import load_tables, publish
 
 
 def _timed(bookings: DataFrame, late: str) -> DataFrame:
@@ -48,32 +46,34 @@ def stream_today_counters(bookings: DataFrame, late: str = "2 hours") -> DataFra
     )
 
 
-def completed_payments(payments: DataFrame, late: str = "1 day") -> DataFrame:
-    """Completed payment events (booking_number, payment_status, paid_at), each booking once per ``late``."""
-    return (
-        payments.filter(F.col("payment_status") == "COMPLETE")
-        .withColumn("at", dates.as_instant("paid_at"))
-        .withWatermark("at", late)
-        .dropDuplicatesWithinWatermark(["booking_number"])
-        .drop("at")
-    )
-
+def completed_payments(payments: DataFrame, late: str | None = None) -> DataFrame:
+    """Completed payment events (booking_number, payment_status, paid_at). With ``late`` a booking comes out
+    once per that time, at the price that events older than the watermark are dropped; without it every
+    event is kept, and applying a payment twice changes nothing."""
+    done = payments.filter(F.col("payment_status") == "COMPLETE")
+    if late is None:
+        return done
+    timed = done.withColumn("at", dates.as_instant("paid_at")).withWatermark("at", late)
+    return timed.dropDuplicatesWithinWatermark(["booking_number"]).drop("at")
 
-def stream_payments(payments: DataFrame, root: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
-    """Apply payment events to the bookings of a versioned warehouse. Batch n reads version n and writes
-    version n + 1. A batch that is replayed after a failure has the same events and writes the same version
-    again."""
-    spark = payments.sparkSession
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        bookings = load_tables(spark, root, version=batch_id).bookings
-        updated = apply_payments(bookings, batch).drop("booked_month")
-        publish(updated, root, "bookings", version=batch_id + 1, replace=True)
 
+def stream_payments(
+    payments: DataFrame, log: str, checkpoint: str, late: str | None = None
+) -> StreamingQuery:
+    """Append completed payments to a log, each event exactly once. The bookings themselves are not rewritten
+    per batch; ``paid_bookings`` applies the log when they are read or when a new version is published."""
     return (
         completed_payments(payments, late)
-        .writeStream.foreachBatch(apply)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", log)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def paid_bookings(bookings: DataFrame, log: str) -> DataFrame:
+    """Bookings with all logged payments applied."""
+    schema = "booking_number string, payment_status string, paid_at timestamp_ntz"
+    return apply_payments(bookings, bookings.sparkSession.read.schema(schema).parquet(log))

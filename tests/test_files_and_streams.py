@@ -100,24 +100,27 @@ def test_daily_counters(spark, sf_dir, tmp_path):
     assert sum(r.revenue_today for r in got) == want.revenue_today
 
 
-def test_payment_stream_makes_versions(spark, tmp_path):
-    root, source = str(tmp_path / "lake"), str(tmp_path / "in")
+@pytest.mark.parametrize("late", [None, "1 day"])
+def test_payment_stream(spark, tmp_path, late):
+    root, log, source = (str(tmp_path / name) for name in ("lake", "log", "in"))
     made = frame(spark, "bookings", booking(1, booking_number="a"), booking(2, booking_number="b"), booking(3, booking_number="c"))
     warehouse.publish(made, root, "bookings", version=0)
     schema = "booking_number string, payment_status string, paid_at timestamp_ntz"
 
     def arrive(*events):
-        spark.createDataFrame([(*e, datetime(2001, 7, 1)) for e in events], schema).coalesce(1).write.mode("append").parquet(source)
+        new = spark.createDataFrame([(*e, datetime(2001, 7, 1)) for e in events], schema)
+        new.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        jobs.stream_payments(stream, root, str(tmp_path / "cp")).awaitTermination()
+        jobs.stream_payments(stream, log, str(tmp_path / "cp"), late).awaitTermination()
 
     arrive(("a", "COMPLETE"), ("a", "COMPLETE"), ("b", "FAILED"))
+    assert rows(spark.read.parquet(log), "booking_number") == [("a",)] * (2 if late is None else 1)
     arrive(("a", "COMPLETE"), ("c", "COMPLETE"))
-    versions = sorted(int(p.rsplit("v", 1)[1]) for p in glob.glob(f"{root}/bookings/v*"))
-    last = warehouse.load_tables(spark, root, version=versions[-1]).bookings
-    assert rows(last, "id", "payment_status") == [(1, "paid"), (2, None), (3, "paid")]
-    first = warehouse.load_tables(spark, root, version=0).bookings
-    assert rows(first, "payment_status") == [(None,)] * 3
+    assert rows(spark.read.parquet(log), "booking_number") == [("a",)] * (3 if late is None else 1) + [("c",)]
+    old = warehouse.load_tables(spark, root, version=0).bookings
+    warehouse.publish(jobs.paid_bookings(old, log).drop("booked_month"), root, "bookings", version=1)
+    assert rows(warehouse.load_tables(spark, root, version=1).bookings, "id", "payment_status") == [(1, "paid"), (2, None), (3, "paid")]
+    assert rows(old, "payment_status") == [(None,)] * 3
 
 
 def test_hot_users_are_cut_before_the_shuffle(spark, sf_dir):
