@@ -41,67 +41,55 @@ def running_number(
     )
 
 
+# Leading bits of a value that name its bin.
+BITS = 18
+
+
 def exact_median(
-    df: DataFrame, keys: list[str], value: str, name: str, few_keys: bool = False, bins: int = 4096
+    df: DataFrame, keys: list[str], value: str, name: str, few_keys: bool = False, bits: int = BITS
 ) -> DataFrame:
     """Median per key (mean of the two middle values when the count is even).
 
-    The value must be decimal with two places, not null. Equal values are counted first, then
-    the middle ranks are located in two rounds of equal-width bins of whole cents. After that
-    a bin is 1/bins² of the key's range, and the last step ranks only the distinct cents in that
-    sliver. Nothing collects or sorts a whole group. ``few_keys`` says that the number of
-    keys is fixed by the query, so the ranges searched (two rows per key) may be broadcast.
+    The value must be decimal with two places, not null. Equal values are counted first. Then values that share
+    their leading bits are counted together, the bin that holds each middle rank is found, and
+    only the distinct values of that bin are ranked. A key has at most 2^(bits-1) bins per power of two
+    that its values span, and a bin around v cents at most v / 2^(bits-1) distinct values, so no
+    step sorts or collects a whole group. ``few_keys`` says that the number of keys is fixed by the
+    query, so that the bins found (at most two per key) may be broadcast.
     """
     counts = df.groupBy(*keys, (F.col(value) * 100).cast("long").alias("_v")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    bounds = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_low"),
-        (F.max("_v") - F.min("_v") + 1).alias("_span"),
-        F.sum("_n").alias("_total"),
+    size = F.abs("_v")
+    span = F.expr(f"shiftleft(1L, greatest(0, length(bin(abs(_v))) - {bits}))")
+    floor = size - size % F.col("_span")
+    low = F.when(F.col("_v") >= 0, floor).otherwise(1 - floor - F.col("_span"))
+    bins = (
+        counts.withColumn("_span", span)
+        .groupBy(*keys, low.alias("_low"), "_span")
+        .agg(F.sum("_n").alias("_in"))
     )
-    # Two ranks per key; they are equal when the count is odd.
+    everything = Window.partitionBy(*keys)
+    seen = F.sum("_in").over(everything.orderBy("_low"))
+    placed = bins.withColumn("_total", F.sum("_in").over(everything)).withColumn("_before", seen - F.col("_in"))
+    # The two middle ranks are equal when the count is odd.
     ranks = F.array(
         F.struct(F.lit(0).alias("side"), F.floor((F.col("_total") + 1) / 2).alias("rank")),
         F.struct(F.lit(1).alias("side"), (F.floor(F.col("_total") / 2) + 1).alias("rank")),
     )
-    targets = bounds.select(*keys, "_low", "_span", F.inline(ranks).alias("_side", "_rank"))
-    for _ in range(2):
-        targets = _narrow(_hits(counts, targets, keys, few_keys), keys, bins)
-    upto = Window.partitionBy(*keys, "_side").orderBy("_v")
-    ranked = _hits(counts, targets, keys, few_keys).withColumn("_seen", F.sum("_n").over(upto))
-    middle = (
-        ranked.filter(F.col("_seen") >= F.col("_rank")).groupBy(*keys, "_side").agg(F.min("_v").alias("_v"))
+    inside = F.col("_rank") - F.col("_before")
+    found = (
+        placed.select(*keys, "_low", "_span", "_in", "_before", F.inline(ranks).alias("_side", "_rank"))
+        .filter((inside >= 1) & (inside <= F.col("_in")))
+        .select(*keys, "_side", "_low", "_span", inside.alias("_rank"))
     )
-    return middle.groupBy(*keys).agg((F.avg("_v") / 100).alias(name))
-
-
-def _hits(counts: DataFrame, targets: DataFrame, keys: list[str], few_keys: bool) -> DataFrame:
-    """Counted values inside the ranges still searched."""
-    joined = counts.join(F.broadcast(targets), keys) if few_keys else join_hot(counts, targets, keys)
+    joined = counts.join(F.broadcast(found), keys) if few_keys else join_hot(counts, found, keys)
     past_low = F.col("_v") - F.col("_low")
-    return joined.filter((past_low >= 0) & (past_low < F.col("_span")))
-
-
-def _narrow(hits: DataFrame, keys: list[str], bins: int) -> DataFrame:
-    """Replace each searched range by the one bin that holds its rank."""
-    wide = hits.withColumn("_width", F.floor((F.col("_span") - 1) / F.lit(bins)) + 1)
-    bin_of = F.floor((F.col("_v") - F.col("_low")) / F.col("_width"))
-    hist = wide.groupBy(*keys, "_side", "_rank", "_low", "_width", bin_of.alias("_bin")).agg(
-        F.sum("_n").alias("_n")
-    )
-    upto = Window.partitionBy(*keys, "_side").orderBy("_bin")
-    left = F.col("_rank") - F.col("_seen") + F.col("_n")
-    found = hist.withColumn("_seen", F.sum("_n").over(upto)).filter(
-        (left >= 1) & (F.col("_seen") >= F.col("_rank"))
-    )
-    return found.select(
-        *keys,
-        "_side",
-        left.alias("_rank"),
-        (F.col("_low") + F.col("_bin") * F.col("_width")).alias("_low"),
-        F.col("_width").alias("_span"),
-    )
+    hits = joined.filter((past_low >= 0) & (past_low < F.col("_span")))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_side").orderBy("_v"))
+    reached = hits.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("_rank"))
+    middle = reached.groupBy(*keys, "_side").agg(F.min("_v").alias("_v"))
+    return middle.groupBy(*keys).agg((F.avg("_v") / 100).alias(name))
 
 
 # Largest k for which the optimizer limits each group before the shuffle by itself.

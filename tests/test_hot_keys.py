@@ -23,12 +23,11 @@ def test_exact_median(spark, seed):
         for _ in range(n):
             value = 12345 if key == "same" else int(rng.lognormvariate(8, 2 + seed))
             data.append((key, Decimal(value) / 100))
-    # One far outlier puts nearly all values into the first bin of the first round.
     data.append(("hot", Decimal(10**13)))
     df = spark.createDataFrame(data, "k string, v decimal(18,2)")
     want = {k: statistics.median([v for key, v in data if key == k]) for k in ("hot", "even", "one", "same")}
     for few in (True, False):
-        got = {r.k: r.m for r in numbering.exact_median(df, ["k"], "v", "m", few_keys=few, bins=16 if seed else 4096).collect()}
+        got = {r.k: r.m for r in numbering.exact_median(df, ["k"], "v", "m", few_keys=few, bits=4 if seed else 18).collect()}
         assert got == {k: pytest.approx(float(v), abs=1e-9) for k, v in want.items()}
 
 
@@ -51,8 +50,13 @@ def test_operators_with_every_key_hot(spark, monkeypatch):
 
 
 def test_exact_median_of_negative_values(spark):
-    df = spark.createDataFrame([("a", Decimal(v)) for v in (-5, -1, 0, 4)], "k string, v decimal(18,2)")
-    assert numbering.exact_median(df, ["k"], "v", "m").collect()[0].m == -0.5
+    rng = random.Random(3)
+    values = [Decimal(rng.randint(-(10**9), 10**6)) / 100 for _ in range(801)]
+    for some in (values, values[:-1], [Decimal(v) for v in (-5, -1, 0, 4)], [Decimal(-3)]):
+        df = spark.createDataFrame([("a", v) for v in some], "k string, v decimal(18,2)")
+        for bits in (2, 18):
+            got = numbering.exact_median(df, ["k"], "v", "m", bits=bits).collect()[0].m
+            assert got == pytest.approx(float(statistics.median(some)), abs=1e-9)
 
 
 def test_running_number_over_slices(spark):
