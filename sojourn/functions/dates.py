@@ -76,6 +76,11 @@ def months_before(value: date, months: int) -> date:
     return first.replace(day=min(value.day, last.day))
 
 
+def last_days(now: date | datetime, days: int = 30) -> tuple[datetime, datetime]:
+    """The range of an export that names none."""
+    return stamp(now) - timedelta(days=days), stamp(now)
+
+
 def _end_of(next_start: date) -> datetime:
     return stamp(next_start) - timedelta(microseconds=1)
 

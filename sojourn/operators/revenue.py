@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from sojourn.functions import dates
 from sojourn.functions.money import mean, percent, ratio
-from sojourn.functions.numbering import first_rows
 from sojourn.schemas import BOOKABLE
 from sojourn.tables import Tables
 
@@ -356,24 +355,20 @@ def _ntz(now: datetime) -> str:
     return f"timestamp_ntz'{now.isoformat(sep=' ')}'"
 
 
-def sales_velocity(t: Tables, *, now: datetime) -> DataFrame:
-    """Moving average over the current and the three existing hours before it. The window has no key,
-    but its input is one row per hour of one day."""
+def velocity(hourly: DataFrame) -> DataFrame:
+    """Moving average over the current and the three existing hours before it, for one row per hour (also those
+    a stream has written). The window has no key; its input is as long as the report."""
     last4 = Window.orderBy("hour").rowsBetween(-3, 0)
     seen = F.count(F.lit(1)).over(last4)
-    return (
-        sales_by_hour(t, now=now)
-        .select(
-            "hour",
-            "bookings",
-            "revenue",
-            ratio(F.sum("bookings").over(last4), seen).alias("moving_avg_bookings"),
-            ratio(F.sum("revenue").over(last4), seen).alias("moving_avg_revenue"),
-        )
-        .orderBy(F.desc("hour"))
-    )
+    return hourly.select(
+        "hour",
+        "bookings",
+        "revenue",
+        ratio(F.sum("bookings").over(last4), seen).alias("moving_avg_bookings"),
+        ratio(F.sum("revenue").over(last4), seen).alias("moving_avg_revenue"),
+    ).orderBy(F.desc("hour"))
 
 
-def latest_per_user(t: Tables, k: int) -> DataFrame:
-    """The k latest bookings of every user."""
-    return first_rows(t.bookings, ["user_id"], [F.desc("booked_at"), F.desc("id")], k)
+def sales_velocity(t: Tables, *, now: datetime) -> DataFrame:
+    """Hourly sales of the last day with their moving averages."""
+    return velocity(sales_by_hour(t, now=now))

@@ -127,9 +127,9 @@ left join bookings b on cast(b.booked_at as date)=cal.d group by 1""",
 register(
     "ordered_images",
     lambda t: documents.ordered_images(t).select(
-        "tour_id", "part", F.array_join("images.image_url", " ").alias("images")
+        "tour_id", "part", "slice", F.array_join("images.image_url", " ").alias("images")
     ),
-    """select tour_id, cast(display_order//1000 as bigint) part, string_agg(image_url, ' ' order by display_order, id) images
+    """select tour_id, cast(display_order//1000 as bigint) part, cast(0 as bigint) slice, string_agg(image_url, ' ' order by display_order, id) images
 from tour_images group by 1, 2""",
 )
 register(
@@ -140,10 +140,10 @@ register(
 a as (select tour_id, string_agg(m.name, ', ' order by m.name) amenities from tour_amenities l join amenities m on m.id=l.amenity_id group by 1),
 c as (select tour_id, string_agg(c.name, ', ' order by c.name) categories, string_agg(c.color, ', ' order by c.name) colors
   from tour_categories l join categories c on c.id=l.category_id group by 1)
-select t.id, 0 part, title, u.name created_by_name, coalesce(i.n, 0) image_count, images, amenities, categories, colors
+select t.id, cast(0 as bigint) part, cast(0 as bigint) slice, title, u.name created_by_name, coalesce(i.n, 0) image_count, images, amenities, categories, colors
 from tours t left join users u on u.id=t.created_by left join i on i.tour_id=t.id left join a on a.tour_id=t.id
 left join c on c.tour_id=t.id
-union all select tour_id, cast(display_order//1000 as bigint), null, null, cast(count(*) as int),
+union all select tour_id, cast(display_order//1000 as bigint), 0, null, null, cast(count(*) as int),
   string_agg(image_url, ' ' order by display_order, id), null, null, null
 from tour_images where display_order>=1000 and tour_id in (select id from tours) group by 1, 2""",
 )

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# Header of the bookings report.
+REPORT_HEADER = ("Booking Number", "Customer Name", "Tour", "Total Price", "Status", "Booked At")
+
 
 def sink_csv(df: DataFrame, path: str, max_rows_per_file: int = 5_000_000) -> None:
     """Header line, quoted text, doubled quotes inside it, nothing for null."""
@@ -28,3 +31,8 @@ def sink_json(df: DataFrame, path: str, max_rows_per_file: int = 5_000_000) -> N
         .option("maxRecordsPerFile", max_rows_per_file)
         .json(path)
     )
+
+
+def sink_report(report: DataFrame, path: str) -> None:
+    """The bookings report (``bookings.report_bookings``) as CSV under its printed header."""
+    sink_csv(report.toDF(*REPORT_HEADER), path)

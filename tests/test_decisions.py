@@ -226,6 +226,16 @@ def test_documents_cut_long_lists(spark):
     ]
 
 
+def test_images_that_share_a_display_order_are_cut_by_id(spark):
+    made = [{"id": i, "tour_id": 1, "image_url": f"u{i}", "display_order": 0 if i < 19 else 1} for i in range(25)]
+    t = tables(spark, tours=[{"id": 1, "title": "a"}], tour_images=made)
+    got = documents.tour_document(t, part_size=5).orderBy("part", "slice").collect()
+    lists = [[i.image_url for i in r.images] for r in got if r.images]
+    assert [r.title for r in got] == ["a"] + [None] * (len(got) - 1)
+    assert max(len(x) for x in lists) <= 5
+    assert [u for x in lists for u in x] == [f"u{i}" for i in range(25)]
+
+
 def test_null_method_and_source(spark):
     t = tables(spark, bookings=[booking(1), booking(2, payment_method="card")], users=[{"id": 1}, {"id": 2, "utm_source": "ads"}])
     span = {"start": date(2001, 6, 1), "end": date(2001, 7, 1)}

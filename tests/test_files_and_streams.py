@@ -8,6 +8,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from sojourn.functions import dates
 from sojourn.operators import bookings as lists
 from sojourn.operators import kpis, revenue
 from sojourn.plans import QUERIES
@@ -25,6 +26,16 @@ def test_csv_escapes(spark, tmp_path):
         assert list(csv.reader(file)) == [["id", "text", "more"], ["1", 'a "b", c', ""], ["2", "line\nbreak", "x"]]
 
 
+def test_report_with_its_header(spark, tmp_path):
+    t = tables(spark, bookings=[booking(1, booking_number="n1", at="2001-06-15T10:20:30")],
+               users=[{"id": 1, "name": "Ann, A."}], tours=[{"id": 1, "title": "Hill"}])
+    path = str(tmp_path / "report")
+    start, end = dates.last_days(date(2001, 7, 1))
+    exports.sink_report(lists.report_bookings(t, start=start.date(), end=end.date()).coalesce(1), path)
+    with open(glob.glob(f"{path}/*.csv")[0], newline="") as file:
+        assert list(csv.reader(file)) == [list(exports.REPORT_HEADER), ["n1", "Ann, A.", "Hill", "100.00", "confirmed", "2001-06-15 10:20:30"]]
+
+
 def test_json_lines(spark, tmp_path):
     path = str(tmp_path / "json")
     exports.sink_json(spark.createDataFrame([(1, None)], "id int, text string"), path)
