@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from sojourn.functions import dates
 from sojourn.operators import bookings as lists
-from sojourn.operators import kpis, revenue
+from sojourn.operators import availability, catalog, customers, documents, kpis, quality, revenue, tours
 from sojourn.plans import QUERIES
+from sojourn.schemas import SCHEMAS
 from sojourn.sources import exports, warehouse
 from sojourn.sources.testdata import live, load_testdata
 from sojourn.streaming import jobs
@@ -61,6 +62,28 @@ def test_warehouse_round_trip_and_pruning(spark, tmp_path):
     assert "special_requests" not in read and "people_count" not in read
 
 
+def test_operators_on_a_published_warehouse(spark, sf_dir, tmp_path):
+    made = load_testdata(spark, sf_dir)
+    for name, schema in SCHEMAS.items():
+        source = getattr(made, name)
+        full = spark.createDataFrame([], schema).unionByName(source, allowMissingColumns=True).select(*schema.names)
+        warehouse.publish(full, str(tmp_path), name)
+    t = warehouse.load_tables(spark, str(tmp_path))
+    year = {"start": date(2000, 9, 1), "end": date(2001, 8, 31)}
+    for run in (
+        lambda x: revenue.revenue_trend(x, **year),
+        lambda x: customers.clv(x),
+        lambda x: tours.tour_performance(x, **year),
+        lambda x: catalog.browse_tours(x, search="tour"),
+        lambda x: documents.flatten(documents.tour_document(x)),
+        lambda x: availability.available_dates(x),
+        lambda x: quality.dq_foreign_keys(x),
+        lambda x: lists.user_upcoming(x, as_of=date(2001, 8, 1)),
+    ):
+        want = run(made)
+        assert rows(run(t), *want.columns) == rows(want, *want.columns)
+
+
 def test_a_busy_month_is_written_by_many_tasks(spark, tmp_path):
     busy = spark.range(200_000).selectExpr(
         "id", "concat('CT-', id) booking_number", "id user_id", "id tour_id", "sha2(cast(id as string), 256) special_requests",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sojourn.functions import numbering, skew
 from sojourn.operators import availability, catalog
+from sojourn.operators import bookings as lists
 from tests.frames import booking, rows, tables
 
 DAY = date(2001, 6, 15)
@@ -150,3 +151,33 @@ def test_similar_tours_equal_all_pairs(spark):
         want += [(a["id"], b["id"], n + 1) for n, b in enumerate(others[:4])]
     got = rows(catalog.similar_tours(t), "tour_id", "similar_id", "rank")
     assert got == sorted(want, key=repr)
+
+
+def test_a_hot_tour_and_a_hot_user_are_split_in_row_level_joins(spark):
+    n = 300_000
+    made = spark.range(n).selectExpr(
+        "id", "cast(null as string) booking_number", "if(id % 3 = 0, 1, id % 5000) user_id", "if(id % 3 = 1, 1, id % 5000) tour_id",
+        "1 people_count", "cast(id as decimal(18,2)) total_price", "'confirmed' status", "sha2(cast(id as string), 256) payment_method",
+        "timestamp_ntz'2001-06-01 00:00:00' booked_at", "cast(null as timestamp_ntz) confirmed_at", "cast(null as timestamp_ntz) cancelled_at",
+    )
+    t = tables(spark).replace(
+        bookings=made,
+        tours=spark.range(5000).selectExpr("id", "'t' title", "'s' slug", "'l' location", "current_date() start_date", "current_date() end_date", "1 duration_days"),
+        users=spark.range(5000).selectExpr("id", "'n' name", "'e' email"),
+    )
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+    }
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        joined = lists.booking_enriched(t)
+        assert len(joined.collect()) == n
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("(skew=true)") == 2
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
