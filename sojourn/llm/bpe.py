@@ -30,13 +30,15 @@ from sojourn.llm import pretokens, ragged
 from sojourn.llm.scratch import written
 
 # Bytes of text in a block (one longer text is a block of its own).
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 # The most frequent words of a block come first in its list, which keeps their positions short.
 FREQUENT = 4096
 # Words whose ids a task remembers.
 CACHE_WORDS = 1_000_000
+# Occurrences compared with their word at a time.
+COMPARED = 100_000
 # Tokens laid out at a time.
-CHUNK_TOKENS = 500_000
+CHUNK_TOKENS = 200_000
 
 BLOCKS = (
     "block long, doc_ids array<long>, n_pretokens array<long>, positions binary, frequent_buckets binary, "
@@ -83,10 +85,12 @@ def distinct_words(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) ->
     # Equal hashes must be equal words; should they ever not be, words are told apart by their characters.
     long = stops - starts
     same = np.array_equal(long, long[first][word])
-    if same:
-        at = ragged.ends(long)
-        inside = np.arange(at[-1]) - np.repeat(at[:-1], long)
-        same = np.array_equal(codes[np.repeat(starts, long) + inside], codes[np.repeat(starts[first][word], long) + inside])
+    for i in range(0, len(starts) * same, COMPARED):
+        some = slice(i, i + COMPARED)
+        at = ragged.ends(long[some])
+        inside = np.arange(at[-1]) - np.repeat(at[:-1], long[some])
+        here, there = np.repeat(starts[some], long[some]), np.repeat(starts[first][word[some]], long[some])
+        same = same and np.array_equal(codes[here + inside], codes[there + inside])
     if not same:
         words = [codes[a:b].tobytes() for a, b in zip(starts, stops, strict=True)]
         known = {w: i for i, w in enumerate(dict.fromkeys(words))}

@@ -55,9 +55,12 @@ class RangeHash:
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        terms = (values.astype(np.uint64) + np.uint64(0x51)) * _powers("up", _BASE, n)[:-1]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(terms, out=self.sums[1:], dtype=np.uint64)
+        terms = self.sums[1:]
+        terms[:] = values
+        terms += np.uint64(0x51)
+        terms *= _powers("up", _BASE, n)[:-1]
+        np.cumsum(terms, out=terms)
         self.down = _powers("down", pow(_BASE, -1, 1 << 64), n)
 
     def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
