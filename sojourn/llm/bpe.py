@@ -16,6 +16,7 @@ Nulls: a null text is an empty one (no ids). Rows with equal or null ``doc_id``
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn.llm import pretokens, ragged
-from sojourn.llm.scratch import written
+from sojourn.llm.scratch import small_batches, written
 
-# Bytes of text in a block (one longer text is a block of its own).
-BLOCK_BYTES = 4_000_000
-# The most frequent words of a block come first in its list, which keeps their positions short.
-FREQUENT = 4096
+# Characters handled at a time; a longer text is cut before a space.
+STEP_CHARS = 1_000_000
+# A block ends at so many distinct words or characters.
+BLOCK_WORDS = 500_000
+BLOCK_CHARS = 12_000_000
 # Words whose ids a task remembers.
 CACHE_WORDS = 1_000_000
 # Occurrences compared with their word at a time.
@@ -41,7 +43,7 @@ COMPARED = 100_000
 CHUNK_TOKENS = 200_000
 
 BLOCKS = (
-    "block long, doc_ids array<long>, n_pretokens array<long>, positions binary, frequent_buckets binary, "
+    "block long, doc_ids array<long>, n_pretokens array<long>, positions array<binary>, word_buckets binary, "
     "buckets array<struct<bucket:int,n:int,words:binary>>"
 )
 
@@ -102,47 +104,120 @@ def distinct_words(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) ->
     return values, first, count, word
 
 
-def to_block(number: int, doc_ids: list, texts: list[str], n_buckets: int) -> tuple:
-    codes, firsts = pretokens.codes_of(texts)
-    starts, stops = pretokens.token_bounds(codes)
-    per_text = np.diff(np.searchsorted(starts, firsts))
-    ids = [None if pd.isna(x) else int(x) for x in doc_ids]
-    if len(starts) == 0:
-        return number, ids, per_text.tolist(), pack(starts), pack(starts), []
-    values, first, count, word = distinct_words(codes, starts, stops)
-    words = ["".join(map(chr, codes[a:b].tolist())).encode() for a, b in zip(starts[first], stops[first], strict=True)]
-    bucket = (values % np.uint64(n_buckets)).astype(np.int64)
-    # The list: frequent words by count, then all others by bucket and spelling.
-    by_count = np.argsort(-count, kind="stable")
-    head, tail = by_count[:FREQUENT], by_count[FREQUENT:]
-    tail = np.array(sorted(tail.tolist(), key=lambda i: (bucket[i], words[i])), np.int64)
-    listed = np.concatenate([head, tail])
-    place = np.empty(len(listed), np.int64)
-    place[listed] = np.arange(len(listed))
-    rows = []
-    grouped = listed[np.argsort(bucket[listed], kind="stable")]
-    at = np.flatnonzero(np.diff(bucket[grouped], prepend=-1))
-    for a, b in zip(at, np.append(at[1:], len(grouped)), strict=True):
-        rows.append((int(bucket[grouped[a]]), int(b - a), pack_words([words[i] for i in grouped[a:b]])))
-    return number, ids, per_text.tolist(), pack(place[word]), pack(bucket[head]), rows
+def check_hashes(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A second hash of each word, unlike the first."""
+    at = ragged.ends(stops - starts)
+    inside = np.arange(at[-1]) - np.repeat(at[:-1], stops - starts)
+    terms = ragged.splitmix(codes[np.repeat(starts, stops - starts) + inside].astype(np.uint64) * np.uint64(0x10001) + inside.astype(np.uint64))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
+    return sums[at[1:]] - sums[at[:-1]]
+
+
+class Block:
+    """Texts whose pre-tokens are kept as numbers of distinct words, in order of first appearance."""
+
+    def __init__(self, number: int, n_buckets: int):
+        self.number, self.n_buckets = number, n_buckets
+        self.ids: list = []
+        self.per_text: list[int] = []
+        self.positions: list[bytes] = []
+        self.words: list[bytes] = []
+        self.hashes = np.zeros(0, np.uint64)
+        self.numbers = np.zeros(0, np.int64)
+        self.checks = np.zeros(0, np.uint64)
+        self.buckets = np.zeros(0, np.int64)
+        self.size = 0
+
+    def add(self, doc_ids: list, texts: list[str], goes_on: bool) -> bool:
+        """Takes the texts in (the first may go on the last one), unless a hash means two words."""
+        codes, firsts = pretokens.codes_of(texts)
+        starts, stops = pretokens.token_bounds(codes)
+        if len(starts):
+            values, first, _, word = distinct_words(codes, starts, stops)
+            checks = check_hashes(codes, starts[first], stops[first])
+            at = np.minimum(np.searchsorted(self.hashes, values), max(0, len(self.hashes) - 1))
+            old = self.hashes[at] == values if len(self.hashes) else np.zeros(len(values), bool)
+            if (self.checks[at[old]] != checks[old]).any() or len(np.unique(values)) < len(values):
+                if len(self.hashes):
+                    return False
+            # New words are numbered as they appear, so their numbers follow each other.
+            new = np.flatnonzero(~old)
+            new = new[np.argsort(first[new], kind="stable")]
+            number = np.empty(len(values), np.int64)
+            number[old] = self.numbers[at[old]]
+            number[new] = len(self.words) + np.arange(len(new))
+            where = zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)
+            self.words += ["".join(map(chr, codes[a:b].tolist())).encode() for a, b in where]
+            self.buckets = np.concatenate([self.buckets, (values[new] % np.uint64(self.n_buckets)).astype(np.int64)])
+            hashes = np.concatenate([self.hashes, values[new]])
+            order = np.argsort(hashes, kind="stable")
+            self.hashes = hashes[order]
+            self.numbers = np.concatenate([self.numbers, number[new]])[order]
+            self.checks = np.concatenate([self.checks, checks[new]])[order]
+            self.positions.append(pack(number[word]))
+        counts = np.diff(np.searchsorted(starts, firsts)).tolist()
+        if goes_on:
+            self.per_text[-1] += counts.pop(0)
+        self.per_text += counts
+        self.ids += [None if pd.isna(x) else int(x) for x in doc_ids]
+        self.size += len(codes)
+        return True
+
+    def row(self) -> pd.DataFrame:
+        rows = []
+        grouped = np.argsort(self.buckets, kind="stable")
+        at = np.flatnonzero(np.diff(self.buckets[grouped], prepend=-1))
+        for a, b in zip(at, np.append(at[1:], len(grouped)), strict=True):
+            some = grouped[a:b].tolist()
+            rows.append((int(self.buckets[some[0]]), b - a, pack_words([self.words[i] for i in some])))
+        # The bucket of each word tells where its ids are when they come back.
+        order = pack(self.buckets)
+        return pd.DataFrame(
+            [(self.number, self.ids, self.per_text, self.positions, order, rows)],
+            columns=["block", "doc_ids", "n_pretokens", "positions", "word_buckets", "buckets"],
+        )
+
+
+def steps(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str], bool]]:
+    """Texts in steps of bounded size: ids, texts, and whether the first goes on the last text of the step before."""
+    ids, texts, size = [], [], 0
+    for frame in frames:
+        for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+            text = text if isinstance(text, str) else ""
+            if texts and size + len(text) > STEP_CHARS:
+                yield ids, texts, False
+                ids, texts, size = [], [], 0
+            goes_on = False
+            while len(text) > STEP_CHARS:
+                # Before a space that follows something else, no match reaches across.
+                cut = re.compile(r"(?<=\S) ").search(text, STEP_CHARS)
+                if not cut:
+                    break
+                yield [] if goes_on else [doc_id], [text[: cut.start()]], goes_on
+                text, goes_on = text[cut.start() :], True
+            if goes_on:
+                yield [], [text], True
+                continue
+            ids.append(doc_id)
+            texts.append(text)
+            size += len(text)
+    if texts:
+        yield ids, texts, False
 
 
 def to_blocks(n_buckets: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["block", "doc_ids", "n_pretokens", "positions", "frequent_buckets", "buckets"]
-        number = TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
-        for frame in frames:
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                text = text if isinstance(text, str) else ""
-                if texts and size + len(text) > BLOCK_BYTES:
-                    yield pd.DataFrame([to_block(number, ids, texts, n_buckets)], columns=columns)
-                    number, ids, texts, size = number + 1, [], [], 0
-                ids.append(doc_id)
-                texts.append(text)
-                size += len(text)
-        if texts:
-            yield pd.DataFrame([to_block(number, ids, texts, n_buckets)], columns=columns)
+        block = Block(TaskContext.get().partitionId() << 32, n_buckets)
+        for ids, texts, goes_on in steps(frames):
+            full = len(block.words) >= BLOCK_WORDS or block.size >= BLOCK_CHARS
+            if not goes_on and block.ids and full or not block.add(ids, texts, goes_on):
+                if goes_on:
+                    raise ValueError("two words of one text have one hash")
+                yield block.row()
+                block = Block(block.number + 1, n_buckets)
+                block.add(ids, texts, False)
+        if block.ids:
+            yield block.row()
 
     return run
 
@@ -173,45 +248,35 @@ def encode_words(ranks: bytes):
 def lay_out(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """The ids of a block's texts by position."""
     row = block.iloc[0]
-    positions = unpack(row["positions"]).astype(np.int64)
-    heads = unpack(row["frequent_buckets"]).astype(np.int64)
-    # Words came back by bucket; the list has the frequent ones first and the others by bucket.
-    lengths, flat, where, others = [], [], [], []
+    # Ids came back by bucket, and within a bucket in the order of the block's list.
+    listed = np.argsort(unpack(row["word_buckets"]), kind="stable")
     found = found.sort_values("bucket")
-    for bucket, long, ids in zip(found["bucket"], found["lengths"], found["ids"], strict=True):
-        lengths.append(unpack(long).astype(np.int64))
-        flat.append(unpack(ids))
-        frequent = np.flatnonzero(heads == bucket)
-        where.append(frequent)
-        others.append(len(lengths[-1]) - len(frequent))
-    place, tail = [], len(heads)
-    for frequent, n in zip(where, others, strict=True):
-        place += (frequent, np.arange(tail, tail + n))
-        tail += n
-    nothing = np.zeros(0, np.int64)
-    came = np.concatenate(place) if place else nothing
-    order = np.empty(len(came), np.int64)
-    order[came] = np.arange(len(came))
-    at = ragged.ends(np.concatenate(lengths) if lengths else nothing)
-    ids = np.concatenate(flat) if flat else nothing.astype("<u4")
-    if len(came) and (positions.max(initial=-1) >= len(came) or came.max() != len(came) - 1):
+    lengths = np.concatenate([np.zeros(0, np.int64), *(unpack(x).astype(np.int64) for x in found["lengths"])])
+    ids = np.concatenate([np.zeros(0, "<u4"), *(unpack(x) for x in found["ids"])])
+    if len(listed) != len(lengths):
         raise ValueError("a word of the block has no ids")
-    bounds = ragged.ends(np.asarray(row["n_pretokens"], np.int64))
-    out_ids, out_n = [], []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        parts = [
-            ragged.take(ids, at, order[positions[i : min(i + CHUNK_TOKENS, b)]])[0].astype("<u4").tobytes()
-            for i in range(a, b, CHUNK_TOKENS)
-        ]
-        out_ids.append(b"".join(parts))
-        out_n.append(len(out_ids[-1]) // 4)
+    place = np.empty(len(listed), np.int64)
+    place[listed] = np.arange(len(listed))
+    at = ragged.ends(lengths)
+    parts, sizes = [], []
+    for raw in row["positions"]:
+        words = unpack(raw)
+        for i in range(0, len(words), CHUNK_TOKENS):
+            flat, bounds = ragged.take(ids, at, place[words[i : i + CHUNK_TOKENS]])
+            parts.append(flat.tobytes())
+            sizes.append(np.diff(bounds).astype(np.uint8 if lengths.max() < 256 else np.uint32))
+    flat, size = b"".join(parts), np.concatenate([np.zeros(0, np.uint8), *sizes])
+    per_word = ragged.ends(size)
+    bounds = 4 * per_word[ragged.ends(np.asarray(row["n_pretokens"], np.int64))]
+    out = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     doc_ids = pd.array([None if pd.isna(x) else int(x) for x in row["doc_ids"]], dtype="Int64")
-    return pd.DataFrame({"doc_id": doc_ids, "n_tokens": out_n, "ids": out_ids})
+    return pd.DataFrame({"doc_id": doc_ids, "n_tokens": np.diff(bounds) // 4, "ids": out})
 
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit) of every whole text."""
     spark = docs.sparkSession
+    small_batches(spark)
     ranks = read_ranks(ranks_path)
     n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = written(docs.select("doc_id", "text").mapInPandas(to_blocks(n_buckets), BLOCKS), "bpe-blocks")
