@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sojourn.llm.scratch import written
+from sojourn.llm.scratch import small_batches, written
 
 CAPACITY = 2048
 END_TOKEN = 0
@@ -254,6 +254,7 @@ def place(plan: np.ndarray):
 
 def pack(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_token: int = END_TOKEN) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
+    small_batches(docs.sparkSession)
     cut = docs.select("doc_id", "text").mapInPandas(tokenize_pieces(tokenizer_json, capacity, end_token), PIECES)
     pieces = written(cut, "pieces")
     # At most ``capacity`` rows.
