@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn.llm import pretokens, ragged
-from sojourn.llm.scratch import small_batches, written
+from sojourn.llm.scratch import small_batches
 
 # Characters handled at a time; a longer text is cut before a space.
 STEP_CHARS = 1_000_000
@@ -42,10 +43,8 @@ COMPARED = 100_000
 # Tokens laid out at a time.
 CHUNK_TOKENS = 200_000
 
-BLOCKS = (
-    "block long, doc_ids array<long>, n_pretokens array<long>, positions array<binary>, word_buckets binary, "
-    "buckets array<struct<bucket:int,n:int,words:binary>>"
-)
+LISTS = "block long, mark long, bucket int, n int, words binary"
+TEXTS = "block long, mark long, doc_ids array<long>, n_pretokens array<long>, positions array<binary>, word_buckets binary"
 
 
 def read_ranks(path: str) -> bytes:
@@ -163,19 +162,25 @@ class Block:
         self.size += len(codes)
         return True
 
-    def row(self) -> pd.DataFrame:
+    def mark(self) -> int:
+        """A checksum of the block's texts and words."""
+        sizes = np.array([len(self.ids), self.size, len(self.words)], np.int64)
+        return zlib.crc32(self.checks.tobytes() + self.numbers.tobytes() + sizes.tobytes() + repr(self.ids).encode())
+
+    def lists(self) -> pd.DataFrame:
         rows = []
         grouped = np.argsort(self.buckets, kind="stable")
         at = np.flatnonzero(np.diff(self.buckets[grouped], prepend=-1))
+        mark = self.mark()
         for a, b in zip(at, np.append(at[1:], len(grouped)), strict=True):
             some = grouped[a:b].tolist()
-            rows.append((int(self.buckets[some[0]]), b - a, pack_words([self.words[i] for i in some])))
+            rows.append((self.number, mark, int(self.buckets[some[0]]), b - a, pack_words([self.words[i] for i in some])))
+        return pd.DataFrame(rows, columns=["block", "mark", "bucket", "n", "words"])
+
+    def texts(self) -> pd.DataFrame:
         # The bucket of each word tells where its ids are when they come back.
-        order = pack(self.buckets)
-        return pd.DataFrame(
-            [(self.number, self.ids, self.per_text, self.positions, order, rows)],
-            columns=["block", "doc_ids", "n_pretokens", "positions", "word_buckets", "buckets"],
-        )
+        row = (self.number, self.mark(), self.ids, self.per_text, self.positions, pack(self.buckets))
+        return pd.DataFrame([row], columns=["block", "mark", "doc_ids", "n_pretokens", "positions", "word_buckets"])
 
 
 def steps(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str], bool]]:
@@ -205,7 +210,7 @@ def steps(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str], boo
         yield ids, texts, False
 
 
-def to_blocks(n_buckets: int):
+def to_blocks(n_buckets: int, what: Callable[[Block], pd.DataFrame]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = Block(TaskContext.get().partitionId() << 32, n_buckets)
         for ids, texts, goes_on in steps(frames):
@@ -213,11 +218,11 @@ def to_blocks(n_buckets: int):
             if not goes_on and block.ids and full or not block.add(ids, texts, goes_on):
                 if goes_on:
                     raise ValueError("two words of one text have one hash")
-                yield block.row()
+                yield what(block)
                 block = Block(block.number + 1, n_buckets)
                 block.add(ids, texts, False)
         if block.ids:
-            yield block.row()
+            yield what(block)
 
     return run
 
@@ -229,7 +234,7 @@ def encode_words(ranks: bytes):
         known: dict[bytes, list[int]] = {}
         for frame in frames:
             out = []
-            for block, bucket, n, raw in zip(frame["block"], frame["bucket"], frame["n"], frame["words"], strict=True):
+            for block, mark, bucket, n, raw in zip(*(frame[c] for c in ("block", "mark", "bucket", "n", "words")), strict=True):
                 ids, lengths = [], np.zeros(n, np.int64)
                 for i, word in enumerate(unpack_words(raw, n)):
                     found = known.get(word)
@@ -239,14 +244,16 @@ def encode_words(ranks: bytes):
                         found = known[word] = encoding.encode_ordinary(word.decode())
                     ids += found
                     lengths[i] = len(found)
-                out.append((block, bucket, pack(lengths), pack(np.array(ids, np.int64))))
-            yield pd.DataFrame(out, columns=["block", "bucket", "lengths", "ids"])
+                out.append((block, mark, bucket, pack(lengths), pack(np.array(ids, np.int64))))
+            yield pd.DataFrame(out, columns=["block", "mark", "bucket", "lengths", "ids"])
 
     return run
 
 
 def lay_out(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """The ids of a block's texts by position."""
+    if block.empty:
+        raise ValueError("the rows came in another order when they were read again; write them to a table first")
     row = block.iloc[0]
     # Ids came back by bucket, and within a bucket in the order of the block's list.
     listed = np.argsort(unpack(row["word_buckets"]), kind="stable")
@@ -274,16 +281,19 @@ def lay_out(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
 
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit) of every whole text."""
+    """``doc_id``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit) of every whole text. The rows are read twice and must
+    come in the same order, as those of files do; if they do not, the query fails."""
     spark = docs.sparkSession
     small_batches(spark)
     ranks = read_ranks(ranks_path)
     n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = written(docs.select("doc_id", "text").mapInPandas(to_blocks(n_buckets), BLOCKS), "bpe-blocks")
-    lists = blocks.select("block", F.inline("buckets")).repartition("bucket")
-    ids = lists.mapInPandas(encode_words(ranks), "block long, bucket int, lengths binary, ids binary")
-    texts = blocks.drop("buckets").groupBy("block")
-    return texts.cogroup(ids.groupBy("block")).applyInPandas(lay_out, "doc_id long, n_tokens long, ids binary")
+    texts = docs.select("doc_id", "text")
+    # The texts are cut twice rather than written and shuffled: the same files give the same blocks, and ids reach a block
+    # only under its checksum.
+    lists = texts.mapInPandas(to_blocks(n_buckets, Block.lists), LISTS).repartition("bucket")
+    ids = lists.mapInPandas(encode_words(ranks), "block long, mark long, bucket int, lengths binary, ids binary")
+    blocks = texts.mapInPandas(to_blocks(n_buckets, Block.texts), TEXTS).groupBy("block", "mark")
+    return blocks.cogroup(ids.groupBy("block", "mark")).applyInPandas(lay_out, "doc_id long, n_tokens long, ids binary")
 
 
 def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
