@@ -36,7 +36,7 @@ from sojourn.llm.scratch import small_batches, written
 GROUP_SIZE = 64
 QUESTIONS = 256
 
-SETS = "row long, doc_id long, n long, s1 long, s2 long, head array<long>"
+SETS = "row long, doc_id long, key binary, n long, s1 long, s2 long, head array<long>"
 FULL = "s1 long, s2 long, tokens array<long>"
 
 
@@ -64,14 +64,14 @@ def set_rows(size: int, percent: int):
         row = TaskContext.get().partitionId() << 40
         for frame in frames:
             out = []
-            for doc_id, found in zip(frame["doc_id"], shingles.shingle_sets(list(frame["text"]), size), strict=True):
+            for doc_id, key, found in zip(frame["doc_id"], frame["key"], shingles.shingle_sets(list(frame["text"]), size), strict=True):
                 n = len(found)
                 s1 = int(np.bitwise_xor.reduce(found * np.uint64(0x9FB21C651E98DF25))) if n else 0
                 s2 = int(np.add.reduce(ragged.splitmix(found))) if n else 0
                 head = found[: head_size(n, percent)[0]].view(np.int64) if n else found.view(np.int64)
-                out.append((row, doc_id, n, _signed(s1), _signed(s2 & (2**64 - 1)), head))
+                out.append((row, doc_id, key, n, _signed(s1), _signed(s2 & (2**64 - 1)), head))
                 row += 1
-            rows = pd.DataFrame(out, columns=["row", "doc_id", "n", "s1", "s2", "head"])
+            rows = pd.DataFrame(out, columns=["row", "doc_id", "key", "n", "s1", "s2", "head"])
             rows["doc_id"] = rows["doc_id"].astype("Int64")
             yield rows
 
@@ -221,10 +221,14 @@ def links_of_classes(full: DataFrame, percent: int) -> DataFrame:
     return stars.unionByName(found)
 
 
-def components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id`` (the smallest ``doc_id`` that links reach)."""
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
+
+
+def joined_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each document with its digest, and the component of each digest: its number and its smallest ``doc_id``."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = keyed_texts(docs)
     sets = written(texts.mapInPandas(set_rows(size, percent), SETS), "shingle-sets")
     classes = written(
         sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("c"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id")),
@@ -249,7 +253,28 @@ def components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     labels = connected_components(links_of_classes(full, percent))
     joined = classes.join(labels, F.col("c") == F.col("node"), "left").withColumn("k", F.coalesce("component", "c"))
     smallest = joined.groupBy("k").agg(F.min("doc_id").alias("component_id"))
-    answer = written(joined.join(smallest, "k").select("s1", "s2", "component_id"), "components")
+    return sets, written(joined.join(smallest, "k").select("s1", "s2", "k", "component_id"), "components")
+
+
+def components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id`` (the smallest ``doc_id`` that links reach)."""
+    sets, answer = joined_sets(docs, size, percent)
     empty = sets.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     filled = sets.filter("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(answer, ["s1", "s2"])
     return filled.select("doc_id", "n_shingles", "component_id").unionByName(empty)
+
+
+def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """The documents without copies: of each component the one with the smallest ``doc_id`` stays (any of them if several rows have
+    it), with all its columns. Documents without words link to nothing and all stay."""
+    sets, answer = joined_sets(docs, size, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "row")).alias("one")
+    one = sets.filter("n > 0").join(answer, ["s1", "s2"]).groupBy("k").agg(first)
+    chosen = written(one.select(F.col("one.doc_id").alias("_id"), F.col("one.key").alias("_of")), "chosen")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    at = {c.lower(): names[i] for i, c in enumerate(docs.columns)}
+    whole = docs.toDF(*names).withColumn("_key", F.unhex(F.md5(F.coalesce(at["text"], F.lit("")))))
+    worded = F.coalesce(at["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    mine = (F.col("_key") == F.col("_of")) & F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_id"))
+    found = whole.filter(worded).join(chosen, mine).groupBy("_of", "_id").agg(*[F.first(c).alias(c) for c in names])
+    return found.select(*names).unionByName(whole.filter(~worded).select(*names)).toDF(*docs.columns)
