@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sojourn.llm import bpe, jaccard, outliers, packing, quality, repeats, toxicity
+from sojourn.llm import bpe, jaccard, outliers, packing, quality, repeats, sketches, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judged(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
