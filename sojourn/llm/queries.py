@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sojourn.llm import bpe, jaccard, outliers, packing, quality, repeats, sketches, toxicity
+from sojourn.llm import bpe, jaccard, licenses, outliers, packing, quality, repeats, rollups, sketches, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,16 @@ def op9_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.as_files(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.corpus_totals(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_token_totals"] = rollups.CORPUS_SQL
