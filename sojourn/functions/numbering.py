@@ -2,45 +2,88 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sojourn.functions.skew import join_hot
 
 SLICE_ROWS = 100_000
+# Slices of one table at most: so many totals of one key meet in one task.
+MOST_SLICES = 50_000
+
+
+def _sortable(df: DataFrame, column: str) -> Column:
+    """A whole number in the order of the column: the column itself, or for texts (UUIDs, say) the seven bytes after what all
+    of them begin with."""
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return F.col(column).cast("long")
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    same = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
+    after = F.hex(F.substring(F.col(column).cast("binary"), same + 1, 7))
+    return F.conv(F.rpad(after, 14, "0"), 16, 10).cast("long")
+
 
+def sliced(df: DataFrame, column: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """Adds ``_slice``: slices of about ``rows`` rows each that follow each other in the order of the column.
 
-def running_number(
-    df: DataFrame, keys: list[str], id_column: str, name: str, rows: int = SLICE_ROWS
+    The bounds are quantiles, so ids may be dense, sparse or hashes. They are taken at once (two small results reach
+    the driver) and are fixed numbers from then on: a task that runs again cuts the same slices.
+    """
+    number = _sortable(df, column)
+    n = df.count()
+    slices = max(1, min(MOST_SLICES, -(-n // rows)))
+    bounds: list[int] = []
+    if slices > 1:
+        shares = [i / slices for i in range(1, slices)]
+        bounds = sorted(set(df.agg(F.percentile_approx(number, shares, 10 * slices)).first()[0] or []))
+    if not bounds:
+        return df.withColumn("_slice", F.lit(0))
+    # How many bounds are at or below the number, by halving.
+    steps = F.array(*[F.lit(2**k) for k in reversed(range(len(bounds).bit_length()))])
+    reached = lambda at, step: (at + step <= len(bounds)) & (F.get("_bounds", at + step - 1) <= F.col("_number"))
+    at = F.aggregate(steps, F.lit(0), lambda at, step: F.when(reached(at, step), at + step).otherwise(at))
+    # One literal, however many bounds there are.
+    listed = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    return df.withColumns({"_number": number, "_bounds": listed}).withColumn("_slice", at).drop("_number", "_bounds")
+
+
+def running_total(
+    df: DataFrame, keys: list[str], order: str, weight: Column, name: str, rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """``row_number`` per key in order of a unique integer id.
+    """Sum of the weights of the rows before each row of its key, in order of a column that is unique within the key.
 
-    A slice covers ``rows`` consecutive ids, so it holds at most that many rows however
-    hot its key is. Rows are numbered inside their slice, and each slice starts after the
-    total of the slices before it; only the slice totals meet per key.
+    Sums run inside a slice, which holds about ``rows`` rows however hot its key is, and each slice starts after the total
+    of the slices before it; only the slice totals meet per key.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(id_column) / F.lit(rows)))
-    totals = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = (
-        Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    cut = sliced(df, order, rows).withColumn("_weight", weight.cast("long"))
+    totals = cut.groupBy(*keys, "_slice").agg(F.sum("_weight").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         *[F.col(k).alias(f"_{k}") for k in keys],
         F.col("_slice").alias("_of"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(id_column)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     same = F.col("_of") == F.col("_slice")
     for k in keys:
         same = same & F.col(f"_{k}").eqNullSafe(F.col(k))
     return (
-        sliced.withColumn("_at", F.row_number().over(inside))
+        cut.withColumn("_at", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
         .join(starts, same)
         .withColumn(name, F.col("_at") + F.col("_before"))
-        .drop("_slice", "_at", "_of", "_before", *[f"_{k}" for k in keys])
+        .drop("_slice", "_weight", "_at", "_of", "_before", *[f"_{k}" for k in keys])
     )
 
 
+def running_number(df: DataFrame, keys: list[str], id_column: str, name: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """``row_number`` per key (of the whole table without keys) in order of a unique id, a whole number or a text."""
+    return running_total(df, keys, id_column, F.lit(1), name, rows).withColumn(name, F.col(name) + 1)
+
+
 # Leading bits of a value that name its bin.
 BITS = 18
 

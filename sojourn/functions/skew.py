@@ -12,10 +12,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is split into shares of about this size. There are at most
-# rows / HOT_ROWS hot keys, and as many shares, so the broadcast list of hot keys stays small: a million
-# short rows for 10^12.
+# A key with more rows than this is split into shares of about this size.
 HOT_ROWS = 1_000_000
+# The broadcast list names the keys with the most rows, this many at most. A key beyond it has less than one row in
+# HOT_KEYS of the whole table, which one task can take.
+HOT_KEYS = 10_000
 # Rows with a null key match nothing; they only need to be spread.
 NULL_SHARES = 1024
 
@@ -39,7 +40,8 @@ def join_hot(
     limit = HOT_ROWS if hot_rows is None else hot_rows
     counts = (rows if counted is None else counted).dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     shares = F.ceil(F.col("_n") / F.lit(limit)).alias("_shares")
-    hot = F.broadcast(counts.filter(F.col("_n") > limit).select(*keys, shares))
+    hottest = counts.filter(F.col("_n") > limit).orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
+    hot = F.broadcast(hottest.select(*keys, shares))
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     width = F.when(no_key, F.lit(NULL_SHARES)).otherwise(F.coalesce("_shares", F.lit(1)))
     # A hash of the row itself: a task that runs again spreads its rows the same way.

@@ -17,6 +17,7 @@ from sojourn.functions import dates
 from sojourn.functions.numbering import first_rows
 from sojourn.functions.skew import join_hot
 from sojourn.functions.text import contains_any
+from sojourn.operators import customers
 from sojourn.operators.catalog import bookable, main_images, paginate, with_totals
 from sojourn.operators.revenue import When, confirmed, fill_calendar, zero_if_null
 from sojourn.tables import Tables
@@ -126,7 +127,7 @@ def user_bookings(
         shown = paginate(rows, latest_first(), page, size).withColumn("rank", at + (page - 1) * size)
     totals = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
     tours = t.tours.select(F.col("id").alias("tour_id"), "title").join(main_images(t), "tour_id", "left")
-    return join_hot(shown.join(totals, "user_id"), tours, ["tour_id"], counted=rows)
+    return join_hot(shown.join(totals, "user_id"), tours, ["tour_id"], counted=shown)
 
 
 def user_recent(t: Tables, *, k: int = 5) -> DataFrame:
@@ -146,7 +147,7 @@ def user_upcoming(t: Tables, *, as_of: date, k: int = 3) -> DataFrame:
     rows = confirmed(t).select(*SHOWN).join(ahead, F.col("_tour") == F.col("tour_id")).drop("_tour")
     soonest = first_rows(rows, ["user_id"], [F.asc("start_date"), F.asc("id")], k)
     images = main_images(t).withColumnRenamed("main_image", "image")
-    return join_hot(soonest, images, ["tour_id"], "left", counted=t.bookings).select(
+    return join_hot(soonest, images, ["tour_id"], "left").select(
         "user_id", "rank", "id", "people_count", "total_price", "booked_at", "title", "start_date", "location", "image"
     )
 
@@ -161,17 +162,18 @@ def user_favorites(t: Tables, *, k: int = 12) -> DataFrame:
     )
     newest = first_rows(liked.drop("_tour"), ["user_id"], [F.desc("favorited_at"), F.asc("tour_id")], k)
     images = main_images(t).withColumnRenamed("main_image", "image")
-    return join_hot(newest, images, ["tour_id"], "left", counted=t.favorites)
+    return join_hot(newest, images, ["tour_id"], "left")
 
 
 def user_favorites_counts(t: Tables) -> DataFrame:
     """Favourites of every user: all of them, and those that can be booked."""
     offered = t.tours.filter(bookable()).select(F.col("id").alias("_tour"), F.lit(1).alias("one"))
-    return (
+    facts = (
         t.favorites.join(offered, F.col("_tour") == F.col("tour_id"), "left")
         .groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("total"), F.count("one").alias("bookable"))
     )
+    return customers.for_every_user(t, facts)
 
 
 def user_notifications(t: Tables, *, k: int = 20) -> DataFrame:

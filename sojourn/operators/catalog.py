@@ -363,7 +363,8 @@ def lookup_list(t: Tables, table: str, label: str = "name", limit: int | None =
 
 
 def lookup_lists(t: Tables) -> DataFrame:
-    """The lists of the forms: categories, the first six of them, amenities and tours."""
+    """The lists of the forms: categories, the first six of them, amenities and tours. One order holds for all of them:
+    by the list's number, label and id."""
     lists = [
         ("categories", lookup_list(t, "categories")),
         ("home_categories", lookup_list(t, "categories", limit=6)),
@@ -371,10 +372,10 @@ def lookup_lists(t: Tables) -> DataFrame:
         ("tours", lookup_list(t, "tours", "title")),
     ]
     stacked = None
-    for name, rows in lists:
-        rows = rows.withColumn("list", F.lit(name))
+    for number, (name, rows) in enumerate(lists):
+        rows = rows.withColumns({"list": F.lit(name), "list_number": F.lit(number)})
         stacked = rows if stacked is None else stacked.unionByName(rows)
-    return stacked
+    return stacked.orderBy("list_number", "label", "id")
 
 
 def knowledge_base_list(t: Tables) -> DataFrame:

@@ -199,7 +199,7 @@ def find_or_create_user(users: DataFrame, contacts: DataFrame) -> DataFrame:
         .select("email", "_first.*")
         .join(users.select("email"), "email", "left_anti")
     )
-    numbered = running_number(fresh.withColumn("_all", F.lit(1)), ["_all"], "contact_id", "_n")
+    numbered = running_number(fresh, [], "contact_id", "_n")
     last_id = users.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     rows = numbered.select(
         (last_id + F.col("_n")).alias("id"), "name", "email", "phone",
@@ -213,7 +213,7 @@ def next_booking_number(bookings: DataFrame, fresh: DataFrame) -> DataFrame:
     digits count; a random tail without letters counts too, so the new number differs from it."""
     day = F.to_date("booked_at")
     taken = (
-        bookings.filter(F.col("booking_number").startswith(text.NUMBER_PREFIX))
+        bookings.filter(F.col("booking_number").rlike(f"^{text.NUMBER_PREFIX}[0-9]{{6}}-"))
         .groupBy(F.substring("booking_number", 1, len(text.NUMBER_PREFIX) + 7).alias("_stem"))
         .agg(F.max(text.number_sequence("booking_number")).alias("_last"))
     )
@@ -263,16 +263,25 @@ def delete_rows(table: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame
     return table.join(gone.select(F.col(key)).distinct(), key, "left_anti").select(*table.columns)
 
 
+def _booked(t: Tables) -> DataFrame:
+    """Tours with a booking, once each: a tour that holds most bookings is one row."""
+    return t.bookings.select(F.col("tour_id").alias("id")).distinct()
+
+
+def deletable(t: Tables, gone: DataFrame) -> DataFrame:
+    """Tours (id) that no booking refers to. Write the result to hand it to ``guarded_delete``."""
+    return gone.select("id").distinct().join(_booked(t), "id", "left_anti")
+
+
 def refused_deletes(t: Tables, gone: DataFrame) -> DataFrame:
     """Tours that may not be deleted because a booking refers to them."""
-    booked = t.bookings.select(F.col("tour_id").alias("id"))
-    return gone.select("id").distinct().join(booked, "id", "left_semi")
+    return gone.select("id").distinct().join(_booked(t), "id", "left_semi")
 
 
-def guarded_delete(t: Tables, gone: DataFrame) -> Tables:
-    """Delete the tours no booking refers to, with their images, links and favourites."""
-    ids = gone.select("id").distinct()
-    free = ids.join(t.bookings.select(F.col("tour_id").alias("id")), "id", "left_anti")
+def guarded_delete(t: Tables, gone: DataFrame, free: DataFrame | None = None) -> Tables:
+    """Delete the tours no booking refers to, with their images, links and favourites. Each of the five tables needs to
+    know which these are; ``free`` is the written result of ``deletable``, so that the bookings are folded only once."""
+    free = deletable(t, gone) if free is None else free
     as_child = free.select(F.col("id").alias("tour_id"))
     children = ("tour_images", "tour_categories", "tour_amenities", "favorites")
     frames = {
@@ -321,8 +330,10 @@ def apply_payments(bookings: DataFrame, payments: DataFrame, method: str = "payf
         .select(F.col("booking_number").alias("_key"))
         .distinct()
     )
-    joined = bookings.join(paid, F.col("_key") == F.col("booking_number"), "left")
-    hit = F.col("_key").isNotNull()
+    # Bookings without a number all have the null key, which is spread.
+    paid = paid.select(F.col("_key").alias("booking_number"), F.lit(True).alias("_paid"))
+    joined = join_hot(bookings, paid, ["booking_number"], "left")
+    hit = F.col("_paid").isNotNull()
     updated = {
         "payment_status": F.when(hit, F.lit("paid")).otherwise(F.col("payment_status")),
         "payment_method": F.when(hit, F.lit(method)).otherwise(F.col("payment_method")),
@@ -334,4 +345,5 @@ def slugify_tours(tours: DataFrame) -> DataFrame:
     """Slug of every title and how many tours share it."""
     slugs = tours.select("id", "title", text.slugify("title").alias("slug"))
     shared = slugs.groupBy("slug").agg(F.count(F.lit(1)).alias("tours"))
-    return slugs.join(shared, "slug").select("id", "title", "slug", "tours")
+    # Titles without Latin letters all have one slug.
+    return join_hot(slugs, shared, ["slug"]).select("id", "title", "slug", "tours")

@@ -321,14 +321,21 @@ def user_count(t: Tables, *, role: str | None = None, search: str | None = None)
 
 
 def user_stats(t: Tables) -> DataFrame:
-    """Trips by state and confirmed spend of every user that booked."""
+    """Trips by state and confirmed spend of every user, zeros without bookings."""
     state = F.col("status")
-    return t.bookings.groupBy("user_id").agg(
+    facts = t.bookings.groupBy("user_id").agg(
         F.count_if(state == "confirmed").alias("total_trips"),
         F.count_if(state == "pending").alias("pending_trips"),
         F.count_if(state == "cancelled").alias("cancelled_trips"),
         sum_if(state == "confirmed", F.col("total_price")).alias("total_spent"),
     )
+    return for_every_user(t, facts)
+
+
+def for_every_user(t: Tables, facts: DataFrame) -> DataFrame:
+    """Facts of one row per ``user_id`` for all users, zero where there are none."""
+    known = t.users.select(F.col("id").alias("user_id")).join(facts, "user_id", "left")
+    return known.select("user_id", *[zero_if_null(c) for c in facts.columns if c != "user_id"])
 
 
 def live_users(t: Tables, *, now: datetime, limit: int = 10) -> DataFrame:

@@ -1,7 +1,7 @@
 """Tours as nested documents.
 
 A list with no natural bound is cut into parts of consecutive positions, and each part is one row. The
-first row of a tour (part 0, slice 0) carries the tour itself. A tour with fewer images than one part (all but the
+first row of a tour (part 0) carries the tour itself. A tour with no more images than one part (all but the
 extreme ones) is exactly one row, and a tour that holds a third of all images is many rows made by many tasks.
 """
 
@@ -10,36 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sojourn.functions.numbering import running_number, running_total
 from sojourn.functions.skew import join_hot
 from sojourn.tables import Tables
 
 PART_SIZE = 1000
-# Display orders of one part get this distance, so that ids of the same order fit between them.
-ORDER_STEP = 2**40
 
 
 def ordered_images(t: Tables, *, part_size: int = PART_SIZE) -> DataFrame:
-    """The images of each tour by display order, in parts of ``part_size`` orders.
+    """The images of each tour by display order and id, in parts of ``part_size`` positions.
 
-    Display orders are normally handed out one by one. Where very many images share an order
-    (its default is 0), the part is cut into slices by order and id, numbered from 1 upwards in the order of the list
-    but not densely. A list never holds more than four parts' worth of images.
+    The position of an image is the number of the tour's images of lower orders and, within its order, of lower ids.
     """
     order = F.coalesce("display_order", F.lit(0)).alias("display_order")
-    images = t.tour_images.select("tour_id", "id", "image_url", "is_main", order).withColumn(
-        "part", F.floor(F.col("display_order") / F.lit(part_size))
-    )
-    key = ["tour_id", "part"]
-    crowded = (
-        images.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > 4 * part_size)
-        .select(*key, F.lit(True).alias("crowded"))
-    )
-    at = F.pmod("display_order", F.lit(part_size)) * ORDER_STEP + F.floor(F.col("id") / F.lit(part_size))
-    sliced = join_hot(images, crowded, key, "left").withColumn("slice", F.when(F.col("crowded"), at + 1).otherwise(0))
+    images = t.tour_images.select("tour_id", "id", "image_url", "is_main", order)
+    key = ["tour_id", "display_order"]
+    sizes = images.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"))
+    lower = running_total(sizes, ["tour_id"], "display_order", F.col("_size"), "_lower").drop("_size")
+    placed = join_hot(running_number(images, key, "id", "_n"), lower, key)
+    part = F.floor((F.col("_lower") + F.col("_n") - 1) / F.lit(part_size)).alias("part")
     payload = F.struct("display_order", "id", "image_url", "is_main")
-    return sliced.groupBy(*key, "slice").agg(F.sort_array(F.collect_list(payload)).alias("images"))
+    return placed.groupBy("tour_id", part).agg(F.sort_array(F.collect_list(payload)).alias("images"))
 
 
 def _named(t: Tables, link: str, key: str, dimension: str, columns: list[str], name: str) -> DataFrame:
@@ -71,14 +62,13 @@ def tour_document(t: Tables, *, part_size: int = PART_SIZE) -> DataFrame:
         .drop("_creator", "_amenities_tour", "_categories_tour")
     )
     images = ordered_images(t, part_size=part_size)
-    is_first = (F.col("part") == 0) & (F.col("slice") == 0)
+    is_first = F.col("part") == 0
     first = images.filter(is_first).select(F.col("tour_id").alias("_tour"), "images")
     more = images.filter(~is_first).join(tours.select(F.col("id").alias("tour_id")), "tour_id", "left_semi")
     return (
         heads.join(first, F.col("_tour") == F.col("id"), "left")
         .drop("_tour")
         .withColumn("part", F.lit(0).cast("long"))
-        .withColumn("slice", F.lit(0).cast("long"))
         .unionByName(more.withColumnRenamed("tour_id", "id"), allowMissingColumns=True)
     )
 
@@ -86,7 +76,7 @@ def tour_document(t: Tables, *, part_size: int = PART_SIZE) -> DataFrame:
 def flatten(documents: DataFrame) -> DataFrame:
     """Documents with each list as text, for flat files."""
     return documents.select(
-        "id", "part", "slice", "title", "created_by_name",
+        "id", "part", "title", "created_by_name",
         F.size(F.coalesce("images", F.array())).alias("image_count"),
         F.array_join(F.col("images.image_url"), " ").alias("images"),
         F.array_join(F.col("amenities.name"), ", ").alias("amenities"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sojourn.functions import dates
 from sojourn.functions.money import growth, percent, ratio, sum_if
+from sojourn.operators import customers
 from sojourn.operators.revenue import When, confirmed
 from sojourn.schemas import BOOKABLE, BOOKING_STATUSES
 from sojourn.tables import Tables
@@ -298,10 +299,11 @@ def booking_status_summary(t: Tables, *, start: When | None = None, end: When |
 
 
 def user_status_counts(t: Tables) -> DataFrame:
-    """Bookings of each user by state, one column per state."""
-    return t.bookings.groupBy("user_id").agg(
+    """Bookings of every user by state, one column per state."""
+    facts = t.bookings.groupBy("user_id").agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in BOOKING_STATUSES]
     )
+    return customers.for_every_user(t, facts)
 
 
 def _sales_since(t: Tables, first: datetime, suffix: str) -> DataFrame:

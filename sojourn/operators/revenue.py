@@ -338,7 +338,7 @@ def seasonal_by_tour(t: Tables, *, as_of: date, months: int = 24) -> DataFrame:
     )
     return facts.join(t.tours.select("id", "title"), F.col("id") == F.col("tour_id")).select(
         "id", "title", "month", "bookings", "revenue", "avg_value"
-    )
+    ).orderBy("title", "month", "id")
 
 
 def sales_by_hour(t: Tables, *, now: datetime, hours: int = 24) -> DataFrame:

@@ -148,7 +148,7 @@ def math(t: Tables) -> DataFrame:
 
 def membership(t: Tables) -> DataFrame:
     """IN list, BETWEEN with both ends, IN subquery."""
-    liked = t.favorites.select(F.col("tour_id").alias("id"))
+    liked = t.favorites.select(F.col("tour_id").alias("id")).distinct()
     return (
         t.tours.filter(F.col("status").isin(*BOOKABLE) & F.col("capacity").between(60, 100))
         .join(liked, "id", "left_semi")

@@ -84,8 +84,8 @@ where t.status in ('upcoming','available') qualify "rank"<=2""",
 register(
     "user_favorites_counts",
     lambda t: op.user_favorites_counts(t),
-    """select user_id, count(*) total, count(case when t.status in ('upcoming','available') then 1 end) bookable
-from favorites f left join tours t on t.id=f.tour_id group by 1""",
+    """select u.id user_id, count(f.user_id) total, count(case when t.status in ('upcoming','available') then 1 end) bookable
+from users u left join favorites f on f.user_id=u.id left join tours t on t.id=f.tour_id group by 1""",
 )
 register(
     "user_notifications",
@@ -124,28 +124,29 @@ register(
 from (select cast(unnest(generate_series(timestamp '2001-06-01', timestamp '2001-08-10', interval 1 day)) as date) d) cal
 left join bookings b on cast(b.booked_at as date)=cal.d group by 1""",
 )
+_PLACED = """(select *, cast((row_number() over (partition by tour_id order by display_order, id)-1)//1000 as bigint) part
+  from tour_images) p"""
 register(
     "ordered_images",
     lambda t: documents.ordered_images(t).select(
-        "tour_id", "part", "slice", F.array_join("images.image_url", " ").alias("images")
+        "tour_id", "part", F.array_join("images.image_url", " ").alias("images")
     ),
-    """select tour_id, cast(display_order//1000 as bigint) part, cast(0 as bigint) slice, string_agg(image_url, ' ' order by display_order, id) images
-from tour_images group by 1, 2""",
+    f"""select tour_id, part, string_agg(image_url, ' ' order by display_order, id) images from {_PLACED} group by 1, 2""",
 )
 register(
     "tour_document",
     lambda t: documents.flatten(documents.tour_document(t)),
-    """with i as (select tour_id, cast(count(*) as int) n, string_agg(image_url, ' ' order by display_order, id) images
-  from tour_images where display_order<1000 group by 1),
+    f"""with i as (select tour_id, cast(count(*) as int) n, string_agg(image_url, ' ' order by display_order, id) images
+  from {_PLACED} where part=0 group by 1),
 a as (select tour_id, string_agg(m.name, ', ' order by m.name) amenities from tour_amenities l join amenities m on m.id=l.amenity_id group by 1),
 c as (select tour_id, string_agg(c.name, ', ' order by c.name) categories, string_agg(c.color, ', ' order by c.name) colors
   from tour_categories l join categories c on c.id=l.category_id group by 1)
-select t.id, cast(0 as bigint) part, cast(0 as bigint) slice, title, u.name created_by_name, coalesce(i.n, 0) image_count, images, amenities, categories, colors
+select t.id, cast(0 as bigint) part, title, u.name created_by_name, coalesce(i.n, 0) image_count, images, amenities, categories, colors
 from tours t left join users u on u.id=t.created_by left join i on i.tour_id=t.id left join a on a.tour_id=t.id
 left join c on c.tour_id=t.id
-union all select tour_id, cast(display_order//1000 as bigint), 0, null, null, cast(count(*) as int),
+union all select tour_id, part, null, null, cast(count(*) as int),
   string_agg(image_url, ' ' order by display_order, id), null, null, null
-from tour_images where display_order>=1000 and tour_id in (select id from tours) group by 1, 2""",
+from {_PLACED} where part>0 and tour_id in (select id from tours) group by 1, 2""",
 )
 register(
     "topk",

@@ -148,10 +148,10 @@ where featured and {BOOKABLE} and (list_contains(string_split(names, ', '), 'rin
 register(
     "lookup_lists",
     lambda t: op.lookup_lists(t),
-    """select 'categories' as list, id, name as label from categories
-union all select * from (select 'home_categories', id, name from categories order by name limit 6) h
-union all select 'amenities', id, name from amenities
-union all select 'tours', cast(id as varchar), title from tours""",
+    """select 'categories' as list, 0 as list_number, id, name as label from categories
+union all select * from (select 'home_categories', 1, id, name from categories order by name limit 6) h
+union all select 'amenities', 2, id, name from amenities
+union all select 'tours', 3, cast(id as varchar), title from tours""",
 )
 register(
     "knowledge_base_list",

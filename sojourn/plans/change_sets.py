@@ -1,4 +1,4 @@
-"""Change sets derived from the events, for the registered change queries."""
+"""Change sets derived from the events, with ids from the whole range of the keys, for the registered change queries."""
 
 from __future__ import annotations
 
@@ -9,10 +9,10 @@ from sojourn.tables import Tables
 # name -> (Spark rows, DuckDB rows). Both read the whole events table.
 CHANGE_SQL = {
     "status_changes": """
-select event_id%5000 id, case event_id%4 when 0 then 'confirmed' when 1 then 'cancelled' when 2 then 'completed' else 'lost' end new_status,
+select event_id*7919%(select max(o_orderkey)+1 from orders) id, case event_id%4 when 0 then 'confirmed' when 1 then 'cancelled' when 2 then 'completed' else 'lost' end new_status,
   ts changed_at, event_id seq, 'reason '||(event_id%7) reason from events where event_type='purchase'""",
     "profile_changes": """
-select user_id%700 id, case when event_id%3=0 then 'Name '||event_id when event_id%3=1 then ' ' end as name,
+select user_id id, case when event_id%3=0 then 'Name '||event_id when event_id%3=1 then ' ' end as name,
   case when event_id%5=0 then '+27 65 '||event_id end phone, ts changed_at, event_id seq from events where event_type='view'""",
     "role_changes": """
 select user_id id, case event_id%4 when 0 then 'admin' when 1 then 'manager' when 2 then 'user' else 'owner' end as role, ts changed_at, event_id seq
@@ -29,7 +29,7 @@ select event_id+100000000 id, user_id, cast({k} as bigint) tour_id, cast(1+event
   cast(value as decimal(18,2)) total_price, ts booked_at from events where event_type='purchase'""",
     "contacts": """
 select event_id contact_id, case when event_id%2=0 then 'customer.'||lpad(cast(user_id as {text}),9,'0')||'@example.com'
-  else 'new'||(user_id%300)||'@example.com' end email, 'Guest '||event_id as name, cast(null as {text}) phone, ts arrived_at
+  else 'new'||user_id||'@example.com' end email, 'Guest '||event_id as name, cast(null as {text}) phone, ts arrived_at
 from events where event_type='click'""",
     "uploads": """
 select event_id id, cast({k} as bigint) tour_id, 'https://images.example.com/up/tours/'||event_id||'.jpg' image_url
@@ -44,7 +44,7 @@ select distinct cast({k} as bigint)*20 id from events where event_type='click'""
     "gone_users": """
 select distinct user_id id from events where event_type='purchase' and event_id%3=0""",
     "payments": """
-select 'CT-240101-'||lpad(cast(event_id%3000 as {text}),5,'0') booking_number, case when event_id%3=0 then 'FAILED' else 'COMPLETE' end payment_status
+select 'CT-240101-'||lpad(cast(event_id*7919%(select max(o_orderkey)+1 from orders) as {text}),9,'0') booking_number, case when event_id%3=0 then 'FAILED' else 'COMPLETE' end payment_status
 from events where event_type='purchase'""",
     "tour_edits": """
 select cast({k} as bigint) id, 'Tour '||event_id title, cast(value as decimal(10,2)) price, cast(null as {text}) location, ts changed_at, event_id seq
@@ -58,4 +58,6 @@ def oracle(name: str) -> str:
 
 def change_set(t: Tables, name: str) -> DataFrame:
     sql = CHANGE_SQL[name].format(k="get_json_object(props,'$.k')", text="string")
-    return t.spark.sql(sql.replace("from events", "from {events}"), events=t.raw_events)
+    sql = sql.replace("from events", "from {events}").replace("from orders", "from {orders}")
+    frames = {name: getattr(t, f"raw_{name}") for name in ("events", "orders") if f"{{{name}}}" in sql}
+    return t.spark.sql(sql, **frames)

@@ -216,10 +216,10 @@ register(
 register(
     "apply_payments",
     lambda t: op.apply_payments(
-        t.bookings.select("id", F.concat(F.lit("CT-240101-"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("booking_number"), "payment_status", "payment_method"),
+        t.bookings.select("id", F.concat(F.lit("CT-240101-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("booking_number"), "payment_status", "payment_method"),
         change_set(t, "payments"),
     ),
-    """with b as (select id, 'CT-240101-'||lpad(cast(id as varchar),5,'0') booking_number, payment_method from bookings),
+    """with b as (select id, 'CT-240101-'||lpad(cast(id as varchar),9,'0') booking_number, payment_method from bookings),
 p as (select distinct booking_number k from payments where payment_status='COMPLETE')
 select id, booking_number, case when k is not null then 'paid' end payment_status,
   case when k is not null then 'payfast' else payment_method end payment_method from b left join p on k=booking_number""",

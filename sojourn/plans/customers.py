@@ -136,9 +136,9 @@ register(
 register(
     "user_stats",
     lambda t: op.user_stats(t),
-    f"""select user_id, count(case when status='confirmed' then 1 end) total_trips,
+    f"""select u.id user_id, count(case when status='confirmed' then 1 end) total_trips,
   count(case when status='pending' then 1 end) pending_trips, count(case when status='cancelled' then 1 end) cancelled_trips,
-  {money_if(CONFIRMED)} total_spent from bookings group by 1""",
+  {money_if(CONFIRMED)} total_spent from users u left join bookings b on b.user_id=u.id group by 1""",
 )
 register(
     "live_users",

@@ -165,7 +165,7 @@ register(
 register(
     "user_status_counts",
     lambda t: op.user_status_counts(t),
-    f"""select user_id, {_STATES}, {_count("status='completed'", "completed")} from bookings group by 1""",
+    f"""select u.id user_id, {_STATES}, {_count("status='completed'", "completed")} from users u left join bookings b on b.user_id=u.id group by 1""",
 )
 _LIVE = f"""from live_bookings_src where {CONFIRMED}"""
 register(

@@ -50,8 +50,8 @@ select distinct category_id id, category_id as name, cast(null as varchar) descr
 select distinct amenity_id id, amenity_id as name, cast(null as varchar) description, 'icon-'||lower(amenity_id) icon
 from tour_amenities""",
     "tour_images": """
-select page_id id, page_id%100 tour_id, url image_url, page_id<100 is_main, cast(floor(page_id/100) as int) display_order
-from pages""",
+select page_id id, page_id*7919%((select max(p_partkey)//8 from part)+1) tour_id, url image_url, page_id%3=0 is_main,
+  cast(page_id%4 as int) display_order from pages""",
     "favorites": """
 select user_id, cast(json_extract(props,'$.k') as bigint) tour_id, min(ts)-interval '8400' day created_at
 from events where event_type='click' group by 1, 2""",

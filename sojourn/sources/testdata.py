@@ -145,9 +145,11 @@ def load_testdata(spark: SparkSession, sf_dir: str) -> Tables:
         )
 
     def tour_images() -> DataFrame:
-        return raw("pages").selectExpr(
-            "page_id id", "page_id % 100 tour_id", "url image_url", "page_id < 100 is_main",
-            "cast(null as string) alt_text", "cast(floor(page_id / 100) as int) display_order",
+        # Spread over all tours, several to a tour, with equal display orders among them.
+        last = raw("part").agg((F.max("p_partkey") / 8).cast("long")).scalar()
+        return raw("pages").withColumn("n", last).selectExpr(
+            "page_id id", "page_id * 7919 % (n + 1) tour_id", "url image_url", "page_id % 3 = 0 is_main",
+            "cast(null as string) alt_text", "cast(page_id % 4 as int) display_order",
         )
 
     def favorites() -> DataFrame:
@@ -211,6 +213,8 @@ def load_testdata(spark: SparkSession, sf_dir: str) -> Tables:
         )
     }
     builders["raw_events"] = lambda: raw("events")
+    builders["raw_orders"] = lambda: raw("orders")
+    builders["raw_part"] = lambda: raw("part")
     tables = Tables(spark, builders)
     return tables
 

@@ -20,7 +20,7 @@ def _timed(bookings: DataFrame, late: str) -> DataFrame:
 
 def stream_hourly_sales(bookings: DataFrame, late: str = "2 hours") -> DataFrame:
     """Confirmed count and revenue per hour. In append mode an hour comes out once, after the
-    watermark has passed it; rows later than ``late`` are dropped."""
+    watermark has passed it; rows later than ``late`` are in no hour, and ``late_rows`` counts them."""
     hourly = (
         _timed(bookings.filter(F.col("status") == "confirmed"), late)
         .groupBy(F.window("at", "1 hour").alias("w"))
@@ -29,41 +29,65 @@ def stream_hourly_sales(bookings: DataFrame, late: str = "2 hours") -> DataFrame
     return hourly.select(dates.as_clock("w.start").alias("hour"), "bookings", "revenue")
 
 
-def stream_today_counters(bookings: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Running counters per day, for update mode. Distinct customers are an estimate, because an exact count
-    would need every customer in the state."""
+def stream_user_days(bookings: DataFrame, late: str = "2 hours") -> DataFrame:
+    """Running count and revenue per day and customer, for update mode. ``day_counters`` folds the last row of each to the
+    day's exact numbers at any time."""
     daily = (
         _timed(bookings.filter(F.col("status") == "confirmed"), late)
-        .groupBy(F.window("at", "1 day").alias("w"))
-        .agg(
-            F.count(F.lit(1)).alias("bookings_today"),
-            F.sum("total_price").alias("revenue_today"),
-            F.approx_count_distinct("user_id").alias("customers_today"),
-        )
+        .groupBy(F.window("at", "1 day").alias("w"), "user_id")
+        .agg(F.count(F.lit(1)).alias("bookings"), F.sum("total_price").alias("revenue"))
+    )
+    return daily.select(F.to_date(dates.as_clock("w.start")).alias("day"), "user_id", "bookings", "revenue")
+
+
+def day_counters(user_days: DataFrame) -> DataFrame:
+    """Counters per day from one row per day and customer."""
+    return user_days.groupBy("day").agg(
+        F.sum("bookings").alias("bookings_today"),
+        F.sum("revenue").cast("decimal(28,2)").alias("revenue_today"),
+        F.count("user_id").alias("customers_today"),
+    )
+
+
+def stream_today_counters(bookings: DataFrame, late: str = "2 hours") -> DataFrame:
+    """Counters per day, exact distinct customers among them. In append mode a day comes out once, after the watermark has
+    passed it: the rows of a day and customer are folded first, and these are counted."""
+    per_user = (
+        _timed(bookings.filter(F.col("status") == "confirmed"), late)
+        .groupBy(F.window("at", "1 day").alias("w"), "user_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("total_price").alias("s"))
+    )
+    daily = per_user.groupBy(F.window(F.window_time("w"), "1 day").alias("d")).agg(
+        F.sum("n").alias("bookings_today"),
+        F.sum("s").cast("decimal(28,2)").alias("revenue_today"),
+        F.count("user_id").alias("customers_today"),
     )
     return daily.select(
-        F.to_date(dates.as_clock("w.start")).alias("day"), "bookings_today", "revenue_today", "customers_today"
+        F.to_date(dates.as_clock("d.start")).alias("day"), "bookings_today", "revenue_today", "customers_today"
+    )
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and are in no result, over the progress that the query still holds. When it is not zero,
+    build the hours or days in question anew from the bookings themselves: the batch form of each job takes them."""
+    return sum(
+        int(state.get("numRowsDroppedByWatermark", 0))
+        for progress in query.recentProgress
+        for state in dict(progress).get("stateOperators", [])
     )
 
 
-def completed_payments(payments: DataFrame, late: str | None = None) -> DataFrame:
-    """Completed payment events (booking_number, payment_status, paid_at). With ``late`` a booking comes out
-    once per that time, at the price that events older than the watermark are dropped; without it every
-    event is kept, and applying a payment twice changes nothing."""
-    done = payments.filter(F.col("payment_status") == "COMPLETE")
-    if late is None:
-        return done
-    timed = done.withColumn("at", dates.as_instant("paid_at")).withWatermark("at", late)
-    return timed.dropDuplicatesWithinWatermark(["booking_number"]).drop("at")
+def completed_payments(payments: DataFrame) -> DataFrame:
+    """Completed payment events (booking_number, payment_status, paid_at). Every event is kept, however late it comes, and
+    applying a payment twice changes nothing."""
+    return payments.filter(F.col("payment_status") == "COMPLETE")
 
 
-def stream_payments(
-    payments: DataFrame, log: str, checkpoint: str, late: str | None = None
-) -> StreamingQuery:
+def stream_payments(payments: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
     """Append completed payments to a log, each event exactly once. The bookings themselves are not rewritten
     per batch; ``paid_bookings`` applies the log when they are read or when a new version is published."""
     return (
-        completed_payments(payments, late)
+        completed_payments(payments)
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", log)
