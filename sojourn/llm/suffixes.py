@@ -12,13 +12,14 @@ import numpy as np
 from sojourn.llm import ragged
 
 
-def suffix_order(x: np.ndarray) -> np.ndarray:
-    """Cyclic suffixes of small whole numbers (below 512) in order, by doubling the compared length from 7."""
+def suffix_order(x: np.ndarray, least: int) -> np.ndarray:
+    """Cyclic suffixes of small whole numbers (below 512) in the order of their first characters, more than ``least`` of them, by
+    doubling the compared length from 7. Intervals of shorter prefixes are the same whatever the order of equal ones."""
     n = len(x)
     key = np.zeros(n, np.int64)
     for i in range(7):
         key = (key << 9) | np.roll(x, -i).astype(np.int64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     length = 7
     while True:
         step = np.empty(n, np.int64)
@@ -27,10 +28,10 @@ def suffix_order(x: np.ndarray) -> np.ndarray:
         np.cumsum(sorted_key[1:] != sorted_key[:-1], out=step[1:])
         rank = np.empty(n, np.int64)
         rank[order] = step
-        if step[-1] == n - 1 or length >= n:
+        if step[-1] == n - 1 or length > least:
             return order
         key = rank * n + np.roll(rank, -length)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         length *= 2
 
 
@@ -41,24 +42,28 @@ def boundaries(x: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     by_character = np.argsort(last_column, kind="stable")
     back = np.empty(n, np.int64)
     back[by_character] = np.arange(n)
-    # The next place with the same character before it.
-    after = np.full(n, n, np.int64)
+    # The next and the last place with the same character before it.
+    after, ahead = np.full(n, n, np.int64), np.full(n, -1, np.int64)
     same = last_column[by_character[1:]] == last_column[by_character[:-1]]
     after[by_character[:-1][same]] = by_character[1:][same]
+    ahead[by_character[1:][same]] = by_character[:-1][same]
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
-    new = np.array([n])
+    left, right = np.array([0]), np.array([n])
     for _ in range(least):
-        every = np.flatnonzero(known)
-        left = every[np.searchsorted(every, new) - 1]
-        at = ragged.ends(new - left)
-        inside = np.repeat(left - at[:-1], new - left) + np.arange(at[-1])
-        last = after[inside] >= np.repeat(new, new - left)
-        found = back[inside[last]] + 1
-        new = np.unique(found[~known[found]])
-        if not len(new):
+        # All places of the intervals, and of each character in an interval the first and the last place.
+        size = right - left
+        at = ragged.ends(size)
+        inside = np.repeat(left - at[:-1], size) + np.arange(at[-1])
+        first = inside[ahead[inside] < np.repeat(left, size)]
+        last = inside[after[inside] >= np.repeat(right, size)]
+        # The intervals of one more character do not overlap, so their ends pair up in order.
+        left, right = np.sort(back[first]), np.sort(back[last]) + 1
+        new = ~known[right]
+        left, right = left[new], right[new]
+        if not len(right):
             break
-        known[new] = True
+        known[right] = True
     return known
 
 
@@ -68,7 +73,7 @@ def repeated_starts(strings: list[bytes], least: int) -> list[np.ndarray]:
     x = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int16) + 1
     at = ragged.ends(lengths + 1)
     x[at[1:] - 1] = 0
-    order = suffix_order(x)
+    order = suffix_order(x, least)
     known = boundaries(x, order, least)
     shares = np.empty(len(x), bool)
     shares[order] = ~known[:-1] | ~known[1:]
