@@ -172,7 +172,7 @@ class Block:
         grouped = np.argsort(self.buckets, kind="stable")
         at = np.flatnonzero(np.diff(self.buckets[grouped], prepend=-1))
         mark = self.mark()
-        for a, b in zip(at, np.append(at[1:], len(grouped)), strict=True):
+        for a, b in zip(at, [*at[1:], len(grouped)][: len(at)], strict=True):
             some = grouped[a:b].tolist()
             rows.append((self.number, mark, int(self.buckets[some[0]]), b - a, pack_words([self.words[i] for i in some])))
         return pd.DataFrame(rows, columns=["block", "mark", "bucket", "n", "words"])
@@ -287,7 +287,8 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     small_batches(spark)
     ranks = read_ranks(ranks_path)
     n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select("doc_id", "text")
+    # Ids go through Python as text, since pandas has no whole numbers with nulls.
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     # The texts are cut twice rather than written and shuffled: the same files give the same blocks, and ids reach a block
     # only under its checksum.
     lists = texts.mapInPandas(to_blocks(n_buckets, Block.lists), LISTS).repartition("bucket")
@@ -306,18 +307,18 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds ``decoded``, the bytes of all ids. The token table has as many rows as the vocabulary, so every task holds it
     whole and looks up all ids of a text at once. An unknown id is an error."""
     ranks = read_ranks(ranks_path)
-    schema = encoded.select("*", F.lit(None).cast("binary").alias("decoded")).schema
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = parse_ranks(ranks)
         lengths = np.full(max(known.values(), default=0) + 1, -1, np.int64)
         for token, i in known.items():
             lengths[i] = len(token)
         at = ragged.ends(np.maximum(lengths, 0))
         flat = np.frombuffer(b"".join(t for t, _ in sorted(known.items(), key=lambda x: x[1])), np.uint8)
-        for frame in frames:
+        for column in columns:
             out = []
-            for raw in frame["ids"]:
+            for raw in column:
                 ids = np.frombuffer(raw or b"", "<u4")
                 if len(ids) and (ids.max() >= len(lengths) or lengths[ids].min() < 0):
                     raise ValueError("an id is not in the token table")
@@ -326,9 +327,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                     for i in range(0, len(ids), CHUNK_TOKENS)
                 ]
                 out.append(b"".join(parts))
-            yield frame.assign(decoded=out)
+            yield pd.Series(out, dtype=object)
 
-    return encoded.mapInPandas(run, schema)
+    return encoded.withColumn("decoded", run("ids"))
 
 
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:

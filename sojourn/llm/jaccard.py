@@ -69,7 +69,7 @@ def set_rows(size: int, percent: int):
                 s1 = int(np.bitwise_xor.reduce(found * np.uint64(0x9FB21C651E98DF25))) if n else 0
                 s2 = int(np.add.reduce(ragged.splitmix(found))) if n else 0
                 head = found[: head_size(n, percent)[0]].view(np.int64) if n else found.view(np.int64)
-                out.append((row, doc_id, key, n, _signed(s1), _signed(s2 & (2**64 - 1)), head))
+                out.append((row, None if doc_id is None else int(doc_id), key, n, _signed(s1), _signed(s2 & (2**64 - 1)), head))
                 row += 1
             rows = pd.DataFrame(out, columns=["row", "doc_id", "key", "n", "s1", "s2", "head"])
             rows["doc_id"] = rows["doc_id"].astype("Int64")
@@ -229,7 +229,9 @@ def joined_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
     """A row for each document with its digest, and the component of each digest: its number and its smallest ``doc_id``."""
     small_batches(docs.sparkSession)
     texts = keyed_texts(docs)
-    sets = written(texts.mapInPandas(set_rows(size, percent), SETS), "shingle-sets")
+    # Ids go through Python as text, since pandas has no whole numbers with nulls.
+    as_text = texts.withColumn("doc_id", F.col("doc_id").cast("string"))
+    sets = written(as_text.mapInPandas(set_rows(size, percent), SETS), "shingle-sets")
     classes = written(
         sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("c"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id")),
         "classes",

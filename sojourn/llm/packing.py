@@ -6,7 +6,7 @@
    for as much of it as can be in full ones. Multiplicative weights solve it: a length's price rises as it is used up, and a
    knapsack over token counts finds the cheapest full configurations.
 3. Multiplicities are rounded to whole numbers that fit, the program is solved again for what is left while that gains
-   anything, and the rest goes by best fit, longest first.
+   anything, and the rest goes by best fit, longest first; of these rounds as many count as give the fewest sequences.
 4. Every piece gets its rank among the pieces of its length, and a table of rank intervals (its size is that of the
    histogram) names its sequence and offset.
 
@@ -75,7 +75,7 @@ def tokenize_pieces(tokenizer_json: str, capacity: int, end_token: int):
                 ids = b"".join([known[w] for w in words]) + end
                 for piece, a in enumerate(range(0, len(ids), step)):
                     part = ids[a : a + step]
-                    out.append((doc_id, piece, a // 4, len(part) // 4, zlib.crc32(part)))
+                    out.append((None if doc_id is None else int(doc_id), piece, a // 4, len(part) // 4, zlib.crc32(part)))
             rows = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             rows["doc_id"] = rows["doc_id"].astype("Int64")
             yield rows
@@ -197,17 +197,23 @@ def whole_configurations(counts: dict[int, int], capacity: int) -> list[tuple[di
                 if not left[x]:
                     del left[x]
 
-    # Rounding down leaves less each time; the program is solved again for what is left.
+    # Rounding down leaves less each time; the program is solved again for what is left. What best fit makes of the rest
+    # decides after how many of these rounds to stop.
+    rest = best_fit(left, capacity)
+    taken, fewest = 0, sum(n for _, n in rest)
     while left:
         before = len(out)
         fractional = multiplicative_weights(left, capacity, ROUNDS if not out else AGAIN)
-        for key, times in sorted(fractional.items(), key=lambda x: (-(x[1] % 1), x[0])):
-            use(dict(key), int(times))
-        for key, times in sorted(fractional.items(), key=lambda x: (-(x[1] % 1), x[0])):
-            use(dict(key), int(times % 1 > 0))
+        for whole in (True, False):
+            for key, times in sorted(fractional.items(), key=lambda x: (-(x[1] % 1), x[0])):
+                use(dict(key), int(times) if whole else int(times % 1 > 0))
         if len(out) == before:
             break
-    return out + best_fit(left, capacity)
+        fitted = best_fit(left, capacity)
+        total = sum(n for _, n in out) + sum(n for _, n in fitted)
+        if total <= fewest:
+            rest, taken, fewest = fitted, len(out), total
+    return out[:taken] + rest
 
 
 def intervals(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:
@@ -255,10 +261,14 @@ def place(plan: np.ndarray):
 def pack(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_token: int = END_TOKEN) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     small_batches(docs.sparkSession)
-    cut = docs.select("doc_id", "text").mapInPandas(tokenize_pieces(tokenizer_json, capacity, end_token), PIECES)
+    # Ids go through Python as text, since pandas has no whole numbers with nulls.
+    cut = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(tokenize_pieces(tokenizer_json, capacity, end_token), PIECES)
     pieces = written(cut, "pieces")
     # At most ``capacity`` rows.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = intervals(whole_configurations(counts, capacity))
-    rows = ranked(pieces, sum(counts.values())).select("doc_id", "piece", "start", "length", "ids_crc32", "_rank")
-    return rows.mapInPandas(place(plan), PIECES + ", sequence_id long, offset long")
+    rows = ranked(pieces, sum(counts.values())).select(
+        F.col("doc_id").cast("string").alias("doc_id"), "piece", "start", "length", "ids_crc32", "_rank"
+    )
+    placed = rows.mapInPandas(place(plan), PIECES.replace("doc_id long", "doc_id string") + ", sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))

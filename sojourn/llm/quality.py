@@ -25,6 +25,10 @@ from sojourn.llm import statistics
 from sojourn.llm.labelled import SAMPLE_ROWS, held_out, labelled_texts
 from sojourn.llm.scratch import written
 
+NAMES = (
+    "log_words", "word_length", "longest_word", "distinct_words", "distinct_lines", "words_per_line", "symbols", "upper_case", "calls",
+    "digits", "stops",
+)
 TREES = 24
 DEPTH = 4
 SEED = 7
@@ -71,14 +75,11 @@ def statistic_columns() -> dict[str, Column]:
     }
 
 
-NAMES = list(statistic_columns())
-
-
 def with_statistics(docs: DataFrame) -> DataFrame:
     """Replaces ``text`` by ``_stats``, an array of doubles in the order of ``NAMES``."""
-    found = columns_of(docs)
+    found, found_by_name = columns_of(docs), statistic_columns()
     made = [c for c in found.columns if c.startswith("_") and c not in docs.columns]
-    return found.withColumn("_stats", F.array(*statistic_columns().values())).drop(*made)
+    return found.withColumn("_stats", F.array(*[found_by_name[name] for name in NAMES])).drop(*made)
 
 
 def rules_of(tree: str) -> list[Rule]:

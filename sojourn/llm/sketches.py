@@ -60,10 +60,12 @@ def merged(rows: DataFrame, keys: list[str], sketch: str = "sketch", scale: int
     parts has one in the kept range."""
     hashes = rows.select(*keys, F.explode(sketch).alias("h")).distinct()
     low = F.lit(LOWEST + 2**64 // scale)
-    lowest = hashes.groupBy(*keys).agg(F.min("h").alias("_least"))
-    same = [hashes[k].eqNullSafe(lowest[k]) for k in keys]
-    kept = hashes.join(lowest, same).filter((F.col("h") < low) | (F.col("h") == F.col("_least")))
-    return kept.select(*[hashes[k] for k in keys], "h")
+    names = [f"_of_{k}" for k in keys]
+    lowest = hashes.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.min("h").alias("_least"))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    # The lowest hash stands in only where it is the only one.
+    kept = hashes.join(lowest, same).filter((F.col("h") < low) | ((F.col("h") == F.col("_least")) & (F.col("_least") >= low)))
+    return kept.select(*keys, "h")
 
 
 def parts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

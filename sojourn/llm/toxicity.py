@@ -187,12 +187,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
 
 
 def scorer(model: Model):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         # Most words have no feature with a weight; the others are remembered with theirs.
         known: dict[str, frozenset[str] | None] = {}
-        for frame in frames:
+        for column in columns:
             out = []
-            for text in frame["text"]:
+            for text in column:
                 found: set[str] = set()
                 for word in set(WORD.findall(text.lower())) if isinstance(text, str) else ():
                     mine = known.get(word, False)
@@ -203,7 +204,7 @@ def scorer(model: Model):
                     if mine:
                         found |= mine
                 out.append(model.score(found))
-            yield frame.drop(columns="text").assign(score=out)
+            yield pd.Series(out, dtype=float)
 
     return run
 
@@ -212,18 +213,11 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
-    found = texts.select("doc_id", "held_out", "text").mapInPandas(scorer(model), "doc_id long, held_out boolean, score double")
+    found = texts.select("doc_id", "held_out", scorer(model)("text").alias("score"))
     return found.withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents that score below ``least``, with all their columns."""
     small_batches(docs.sparkSession)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rate = scorer(model)
-        for frame in frames:
-            scores = next(rate(iter([frame[["text"]]])))["score"]
-            yield frame[(scores < least).to_numpy()]
-
-    return docs.mapInPandas(run, docs.schema)
+    return docs.filter(scorer(model)("text") < least)
