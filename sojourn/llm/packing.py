@@ -29,6 +29,8 @@ from sojourn.llm.scratch import small_batches, written
 
 CAPACITY = 2048
 END_TOKEN = 0
+# Characters of texts handled at a time.
+STEP_CHARS = 1_000_000
 # Words whose ids a task remembers.
 CACHE_WORDS = 500_000
 WORDS_AT_ONCE = 1000
@@ -44,41 +46,89 @@ PRICED = 32
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class Words:
+    """Ids of words as bytes; each distinct word is tokenised once and remembered.
+
+    Many new words go through the tokenizer as one text, with a mark between them that is a word of its own. A full stop or
+    comma after a letter or digit is a word of its own for the tokenizer, too, so words are looked up without it.
+    """
+
+    def __init__(self, tokenizer_json: str):
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.encode_special_tokens = True
+        self.known: dict[bytes, bytes] = {}
+        self.mark = self._encode("~")
+        self.stops = {c: np.array(self._encode(chr(c)), "<u4").tobytes() for c in b".,"}
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        # A mark of several ids, or one inside a word, would not part the words.
+        plain = [w for w in words if b"~" not in w] if len(self.mark) == 1 else []
+        for i in range(0, len(plain), WORDS_AT_ONCE):
+            some = plain[i : i + WORDS_AT_ONCE]
+            joined = " ~ ".join([w.decode() for w in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.mark[0])
+            starts, stops = [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]
+            raw = ids.tobytes()
+            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, starts, stops, strict=True))
+        for w in words:
+            if w not in self.known:
+                self.known[w] = np.array(self._encode(w.decode()), "<u4").tobytes()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        # The tokenizer lower-cases, so spellings that differ in ASCII case are one word.
+        split = [text.encode().lower().split() for text in texts]
+        known = self.known
+        distinct = set().union(*split)
+        new = distinct.difference(known)
+        if len(known) + 2 * len(new) > CACHE_WORDS:
+            known.clear()
+            new = distinct
+        stopped = [w for w in new if w[-1] in self.stops and w[-2:-1].isalnum()]
+        bare = {w[:-1] for w in stopped}.union(new).difference(stopped)
+        self._learn([w for w in bare if w not in known])
+        for w in stopped:
+            known[w] = known[w[:-1]] + self.stops[w[-1]]
+        return [b"".join([known[w] for w in words]) for words in split]
+
+
 def tokenize_pieces(tokenizer_json: str, capacity: int, end_token: int):
     """Cuts the ids of each text and its end token into pieces.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its words in turn; each distinct word
-    of a task is tokenised once.
+    The tokenizer drops white space and never merges across it, so a text's ids are those of its words in turn.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.encode_special_tokens = True
-        known: dict[bytes, bytes] = {}
+        words = Words(tokenizer_json)
         end = np.array([end_token], "<u4").tobytes()
         step = 4 * capacity
-        for frame in frames:
+
+        def cut(doc_ids: list, texts: list[str]) -> pd.DataFrame:
             out = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                # The tokenizer lower-cases, so spellings that differ in ASCII case are one word.
-                words = text.encode().lower().split() if isinstance(text, str) else []
-                new = [w for w in set(words) if w not in known]
-                if len(known) + len(new) > CACHE_WORDS:
-                    known.clear()
-                    new = list(set(words))
-                for i in range(0, len(new), WORDS_AT_ONCE):
-                    some = new[i : i + WORDS_AT_ONCE]
-                    found = tokenizer.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
-                    ids = np.array(found.ids, "<u4")
-                    at = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))
-                    known.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, at[:-1], at[1:], strict=True))
-                ids = b"".join([known[w] for w in words]) + end
+            for doc_id, ids in zip(doc_ids, words.ids(texts), strict=True):
+                ids += end
                 for piece, a in enumerate(range(0, len(ids), step)):
                     part = ids[a : a + step]
                     out.append((None if doc_id is None else int(doc_id), piece, a // 4, len(part) // 4, zlib.crc32(part)))
             rows = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             rows["doc_id"] = rows["doc_id"].astype("Int64")
-            yield rows
+            return rows
+
+        for frame in frames:
+            doc_ids, texts, size = [], [], 0
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                doc_ids.append(doc_id)
+                texts.append(text if isinstance(text, str) else "")
+                size += len(texts[-1])
+                if size >= STEP_CHARS:
+                    yield cut(doc_ids, texts)
+                    doc_ids, texts, size = [], [], 0
+            if texts:
+                yield cut(doc_ids, texts)
 
     return run
 

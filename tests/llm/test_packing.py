@@ -4,6 +4,8 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sojourn.llm import packing
@@ -12,10 +14,12 @@ from tests.llm import frames
 JSON = open(public_tokenizers.path("word_bpe_49k.json")).read()
 
 
+TOKENIZER = Tokenizer.from_str(JSON)
+TOKENIZER.encode_special_tokens = True
+
+
 def ids_of(text):
-    tokenizer = Tokenizer.from_str(JSON)
-    tokenizer.encode_special_tokens = True
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_pieces_and_places(spark):
@@ -39,6 +43,13 @@ def test_pieces_and_places(spark):
     assert packing.pack(frames.nothing(spark), JSON).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZstrevmld''~.,,.. \n\t\x1c\x85\xa0 19é\u0301漢🙂İΣς<|>endoftext\0"), max_size=30), max_size=5))
+def test_word_ids_are_those_of_whole_texts(texts):
+    words = packing.Words(JSON)
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)] == [ids_of(t)[:-1] for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_configurations_hold_the_histogram(seed):
     rng = np.random.default_rng(seed)
