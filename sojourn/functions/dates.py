@@ -7,8 +7,10 @@ a booking to another day.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +65,61 @@ def within_days(column: str, start: date | None, end: date | None) -> Column:
     return test
 
 
+# Folder column of a published bookings table.
+MONTH = "booked_month"
+
+
+def _months(df: DataFrame, first: date | datetime | None, last: date | datetime | None) -> Column:
+    """The months that a range of ``booked_at`` touches, which prunes folders; nothing where the table has no folders."""
+    test = F.lit(True)
+    if MONTH in df.columns:
+        if first is not None:
+            test = test & (F.col(MONTH) >= F.lit(floor_day(first, "month")))
+        if last is not None:
+            test = test & (F.col(MONTH) <= F.lit(floor_day(last, "month")))
+    return test
+
+
+def booked_any(spans: list[tuple[date | datetime, date | datetime]]) -> Callable[[DataFrame], DataFrame]:
+    """For ``DataFrame.transform``: bookings of any of some ranges, both ends inclusive."""
+
+    def run(df: DataFrame) -> DataFrame:
+        tests = [within("booked_at", *span) & _months(df, *span) for span in spans]
+        return df.filter(reduce(lambda a, b: a | b, tests))
+
+    return run
+
+
+def booked_within(start: date | datetime, end: date | datetime) -> Callable[[DataFrame], DataFrame]:
+    """For ``DataFrame.transform``: bookings of a range, both ends inclusive."""
+    return booked_any([(start, end)])
+
+
+def booked_days(start: date | None, end: date | None) -> Callable[[DataFrame], DataFrame]:
+    """For ``DataFrame.transform``: bookings of whole days, an absent bound is open."""
+    return lambda df: df.filter(within_days("booked_at", start, end) & _months(df, start, end))
+
+
+def booked_buckets(start: date | datetime, end: date | datetime, grain: str) -> Callable[[DataFrame], DataFrame]:
+    """For ``DataFrame.transform``: bookings of every bucket that a range touches."""
+    first, after = floor_day(start, grain), ceil_day(end, grain)
+    return booked_days(first, after - timedelta(days=1))
+
+
+def booked_since(start: date | datetime, until: date | datetime | None) -> Callable[[DataFrame], DataFrame]:
+    """For ``DataFrame.transform``: bookings from a time up to another, or to the end of a day, or without an end."""
+    if until is not None and not isinstance(until, datetime):
+        until = stamp(until) + timedelta(days=1) - timedelta(microseconds=1)
+
+    def run(df: DataFrame) -> DataFrame:
+        test = F.col("booked_at") >= ts(start)
+        if until is not None:
+            test = test & (F.col("booked_at") <= ts(until))
+        return df.filter(test & _months(df, start, until))
+
+    return run
+
+
 def shift_months(value: date, months: int) -> date:
     """First day of the month that lies ``months`` away."""
     index = value.year * 12 + value.month - 1 + months

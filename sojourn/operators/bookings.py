@@ -69,7 +69,7 @@ def bookings_by_filter(
 ) -> DataFrame:
     """A page of bookings, newest first. The day range is inclusive on both ends; the search looks
     at customer name, email and booking number."""
-    rows = t.bookings.select(*SHOWN).filter(dates.within_days("booked_at", start, end))
+    rows = t.bookings.transform(dates.booked_days(start, end)).select(*SHOWN)
     for column, value in (("status", status), ("tour_id", tour_id), ("user_id", user_id)):
         if value is not None:
             rows = rows.filter(F.col(column) == value)
@@ -89,7 +89,7 @@ def calendar_bookings(t: Tables, *, year: int, month: int) -> DataFrame:
     """All bookings of a month, oldest first."""
     first = date(year, month, 1)
     last = dates.shift_months(first, 1) - timedelta(days=1)
-    rows = t.bookings.select(*SHOWN).filter(dates.within_days("booked_at", first, last))
+    rows = t.bookings.transform(dates.booked_days(first, last)).select(*SHOWN)
     return with_names(t, rows).orderBy("booked_at", "id")
 
 
@@ -99,10 +99,9 @@ def recent_bookings(t: Tables, *, limit: int = 10) -> DataFrame:
 
 
 def live_bookings(t: Tables, *, now: datetime, hours: int = 24, limit: int = 20) -> DataFrame:
-    since = dates.ts(now - timedelta(hours=hours))
     newest = (
-        t.bookings.select("id", "user_id", "tour_id", "people_count", "total_price", "status", "booked_at")
-        .filter(F.col("booked_at") >= since)
+        t.bookings.transform(dates.booked_since(now - timedelta(hours=hours), now))
+        .select("id", "user_id", "tour_id", "people_count", "total_price", "status", "booked_at")
         .orderBy(*latest_first())
         .limit(limit)
     )
@@ -184,7 +183,7 @@ def user_notifications(t: Tables, *, k: int = 20) -> DataFrame:
 
 def export_revenue(t: Tables, *, start: When, end: When) -> DataFrame:
     """Booking extract of a range, newest first."""
-    rows = t.bookings.filter(dates.within("booked_at", start, end)).select(
+    rows = t.bookings.transform(dates.booked_within(start, end)).select(
         *SHOWN, "payment_method", "confirmed_at"
     )
     return with_names(t, rows).select(
@@ -195,7 +194,7 @@ def export_revenue(t: Tables, *, start: When, end: When) -> DataFrame:
 
 def report_bookings(t: Tables, *, start: date | None = None, end: date | None = None) -> DataFrame:
     """The six report columns, newest first. Days are inclusive, an absent bound is open."""
-    rows = t.bookings.select(*SHOWN).filter(dates.within_days("booked_at", start, end))
+    rows = t.bookings.transform(dates.booked_days(start, end)).select(*SHOWN)
     return with_names(t, rows).orderBy(*latest_first()).select(
         "booking_number", "customer_name", F.col("tour_title").alias("tour"), "total_price", "status",
         dates.second_text("booked_at").alias("booked_at"),
@@ -207,7 +206,7 @@ def conditional_left_join(t: Tables, *, start: When, end: When) -> DataFrame:
     the join, so users without such bookings stay with zero."""
     facts = (
         confirmed(t)
-        .filter(dates.within("booked_at", start, end))
+        .transform(dates.booked_within(start, end))
         .groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("bookings"))
     )
@@ -222,7 +221,7 @@ def left_join_null_rejected(t: Tables, *, start: When, end: When) -> DataFrame:
     """A left join whose WHERE tests the right side keeps matches only, so it is an inner join."""
     facts = (
         confirmed(t)
-        .filter(dates.within("booked_at", start, end))
+        .transform(dates.booked_within(start, end))
         .groupBy("tour_id")
         .agg(F.count(F.lit(1)).alias("bookings"))
     )
@@ -232,7 +231,7 @@ def left_join_null_rejected(t: Tables, *, start: When, end: When) -> DataFrame:
 def calendar_left_join(t: Tables, *, start: date, end: date) -> DataFrame:
     """Every day of the range with its bookings, days without any included."""
     facts = (
-        t.bookings.filter(dates.within_days("booked_at", start, end))
+        t.bookings.transform(dates.booked_days(start, end))
         .groupBy(F.to_date("booked_at").alias("day"))
         .agg(F.count(F.lit(1)).alias("bookings"))
     )

@@ -50,7 +50,7 @@ def first_bookings(bookings: DataFrame) -> DataFrame:
 
 def lateral_first_booking(t: Tables, *, start: When, end: When) -> DataFrame:
     """Every user with the first confirmed booking of the window, null when there is none."""
-    first = first_bookings(confirmed(t).filter(dates.within("booked_at", start, end)))
+    first = first_bookings(confirmed(t).transform(dates.booked_within(start, end)))
     return (
         t.users.select("id", "name")
         .join(first, F.col("id") == F.col("user_id"), "left")
@@ -65,7 +65,7 @@ def acquisition_first_value(
     and its value. ``first_in_window`` looks for the first booking inside the window only."""
     bookings = confirmed(t)
     if first_in_window:
-        bookings = bookings.filter(dates.within("booked_at", start, end))
+        bookings = bookings.transform(dates.booked_within(start, end))
     users = t.users.filter(whole_buckets("created_at", start, end, "month")).select("id", "created_at")
     facts = (
         users.join(first_bookings(bookings), F.col("id") == F.col("user_id"), "left")
@@ -85,7 +85,7 @@ def acquisition_first_value(
 def top_customers(
     t: Tables, *, start: When, end: When, role: str | None = "user", limit: int = 10
 ) -> DataFrame:
-    facts = _per_user(confirmed(t).filter(dates.within("booked_at", start, end)))
+    facts = _per_user(confirmed(t).transform(dates.booked_within(start, end)))
     users = t.users.select("id", "name", "email", "role")
     if role is not None:
         users = users.filter(F.col("role") == role)
@@ -103,7 +103,7 @@ def top_customers(
 def top_customers_detail(t: Tables, *, start: When, end: When, limit: int = 10) -> DataFrame:
     per_year = (
         confirmed(t)
-        .filter(dates.within("booked_at", start, end))
+        .transform(dates.booked_within(start, end))
         .groupBy("user_id", F.year("booked_at").alias("year"))
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -202,6 +202,7 @@ def churn(t: Tables, *, as_of: date) -> DataFrame:
     )
     customers = (
         confirmed(t)
+        .transform(dates.booked_days(None, as_of))
         .filter(F.col("booked_at").isNotNull())
         .groupBy("user_id")
         .agg(F.max("booked_at").alias("last_activity"))
@@ -237,7 +238,7 @@ def cohorts(t: Tables, *, as_of: date, months: int = 12) -> DataFrame:
     # A member's activity cannot precede the first cohort month.
     activity = (
         confirmed(t)
-        .filter(F.col("booked_at") >= dates.ts(dates.floor_day(since, "month")))
+        .transform(dates.booked_since(dates.floor_day(since, "month"), as_of))
         .groupBy("user_id", dates.bucket("booked_at", "month").alias("activity_month"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("total_price").alias("s"))
     )
@@ -340,12 +341,12 @@ def for_every_user(t: Tables, facts: DataFrame) -> DataFrame:
 
 def live_users(t: Tables, *, now: datetime, limit: int = 10) -> DataFrame:
     """Users seen within the last hour with what they booked in it."""
-    since = dates.ts(now - timedelta(hours=1))
-    facts = t.bookings.filter(F.col("booked_at") >= since).groupBy("user_id").agg(
+    since = now - timedelta(hours=1)
+    facts = t.bookings.transform(dates.booked_since(since, now)).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("session_bookings"), F.sum("total_price").alias("session_spend")
     )
     return (
-        t.users.filter(F.col("last_login_at") >= since)
+        t.users.filter(F.col("last_login_at").between(dates.ts(since), dates.ts(now)))
         .select("id", "name", "email", "last_login_at")
         .join(facts, F.col("id") == F.col("user_id"), "left")
         .select("id", "name", "email", "last_login_at", zero_if_null("session_bookings"), "session_spend")

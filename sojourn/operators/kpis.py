@@ -31,21 +31,20 @@ def side_by_side(t: Tables, *rows: DataFrame) -> DataFrame:
     return t.spark.range(1).select(*packed).select(*[f"r{i}.*" for i in range(len(rows))])
 
 
-def _per_user(t: Tables, windows: dict[str, Column]) -> DataFrame:
+def _per_user(t: Tables, windows: dict[str, tuple[When, When]]) -> DataFrame:
     """One row per customer: bookings, confirmed bookings and revenue in each window."""
-    any_window = F.lit(False)
     aggs = []
-    for name, inside in windows.items():
-        any_window = any_window | inside
+    for name, span in windows.items():
+        inside = dates.within("booked_at", *span)
         aggs += [
             F.count_if(inside).alias(f"{name}_n"),
             F.count_if(inside & is_confirmed()).alias(f"{name}_c"),
             sum_if(inside & is_confirmed(), F.col("total_price")).alias(f"{name}_s"),
         ]
-    return t.bookings.filter(any_window).groupBy("user_id").agg(*aggs)
+    return t.bookings.transform(dates.booked_any(list(windows.values()))).groupBy("user_id").agg(*aggs)
 
 
-def _totals(t: Tables, windows: dict[str, Column]) -> DataFrame:
+def _totals(t: Tables, windows: dict[str, tuple[When, When]]) -> DataFrame:
     """One row of totals per window; all zero when the window is empty."""
     aggs = []
     for w in windows:
@@ -62,7 +61,7 @@ def _totals(t: Tables, windows: dict[str, Column]) -> DataFrame:
 
 def kpi_window(t: Tables, *, start: When, end: When) -> DataFrame:
     """Bookings of any state, confirmed revenue and distinct customers of any state."""
-    totals = _totals(t, {"now": dates.within("booked_at", start, end)})
+    totals = _totals(t, {"now": (start, end)})
     return totals.selectExpr(
         "now_bookings total_bookings", "now_revenue total_revenue", "now_customers total_customers"
     )
@@ -72,8 +71,8 @@ def _two(t: Tables, start: When, end: When, prev_start: When, prev_end: When) ->
     return _totals(
         t,
         {
-            "now": dates.within("booked_at", start, end),
-            "prev": dates.within("booked_at", prev_start, prev_end),
+            "now": (start, end),
+            "prev": (prev_start, prev_end),
         },
     )
 
@@ -92,7 +91,7 @@ def kpi_growth(t: Tables, *, start: When, end: When, prev_start: When, prev_end:
 
 def kpi_avg_booking(t: Tables, *, start: When, end: When) -> DataFrame:
     """Confirmed revenue per booking of any state, and per confirmed booking."""
-    totals = _totals(t, {"now": dates.within("booked_at", start, end)})
+    totals = _totals(t, {"now": (start, end)})
     return totals.select(
         F.coalesce(ratio(F.col("now_revenue"), F.col("now_bookings")), F.lit(0.0)).alias("avg_over_all"),
         F.coalesce(ratio(F.col("now_revenue"), F.col("now_confirmed")), F.lit(0.0)).alias("avg_over_confirmed"),
@@ -111,7 +110,7 @@ def kpi_capacity(t: Tables) -> DataFrame:
 def kpi_full(t: Tables, *, start: When, end: When, prev_start: When, prev_end: When) -> DataFrame:
     """The complete KPI row; every number is zero, never null, for an empty window."""
     active = (
-        t.bookings.filter(dates.within("booked_at", start, end))
+        t.bookings.transform(dates.booked_within(start, end))
         .select("tour_id")
         .distinct()
         .agg(F.count("tour_id").alias("active_tours"))
@@ -138,7 +137,7 @@ def _retention() -> Column:
 
 def retention_rate(t: Tables, *, start: When, end: When) -> DataFrame:
     """Customers with at least two bookings among all customers of the window."""
-    totals = _totals(t, {"now": dates.within("booked_at", start, end)})
+    totals = _totals(t, {"now": (start, end)})
     return totals.select(
         F.col("now_returning").alias("returning_customers"),
         F.col("now_customers").alias("total_customers"),
@@ -148,7 +147,7 @@ def retention_rate(t: Tables, *, start: When, end: When) -> DataFrame:
 
 def exists_other_row(t: Tables, *, start: When, end: When) -> DataFrame:
     """Customers with another booking in the window, with their count."""
-    per_user = _per_user(t, {"now": dates.within("booked_at", start, end)})
+    per_user = _per_user(t, {"now": (start, end)})
     return per_user.filter((F.col("now_n") > 1) & F.col("user_id").isNotNull()).selectExpr(
         "user_id", "now_n bookings"
     )
@@ -157,7 +156,7 @@ def exists_other_row(t: Tables, *, start: When, end: When) -> DataFrame:
 def interested_users(t: Tables, *, start: When, end: When) -> DataFrame:
     """Users with a favourite or a booking in the window, once each."""
     liked = t.favorites.filter(dates.within("created_at", start, end)).select("user_id")
-    booked = t.bookings.filter(dates.within("booked_at", start, end)).select("user_id")
+    booked = t.bookings.transform(dates.booked_within(start, end)).select("user_id")
     return liked.union(booked).distinct()
 
 
@@ -169,7 +168,7 @@ def funnel(t: Tables, *, start: When, end: When) -> DataFrame:
     interested = interested_users(t, start=start, end=end).agg(
         F.count("user_id").alias("interested_users")
     )
-    booked = _totals(t, {"now": dates.within("booked_at", start, end)}).selectExpr(
+    booked = _totals(t, {"now": (start, end)}).selectExpr(
         "now_customers booked_users", "now_confirmed confirmed_count"
     )
     row = side_by_side(t, visitors, interested, booked)
@@ -207,7 +206,7 @@ def dashboard_revenue(t: Tables, *, as_of: date) -> DataFrame:
     """Confirmed revenue of the last 30 days and of days 31 to 60, with the trend."""
     totals = (
         confirmed(t)
-        .filter(_since(as_of, 60))
+        .transform(dates.booked_since(as_of - timedelta(days=60), as_of))
         .agg(
             sum_if(_since(as_of, 30), F.col("total_price")).alias("current_period"),
             sum_if(~_since(as_of, 30), F.col("total_price")).alias("previous_period"),
@@ -217,7 +216,7 @@ def dashboard_revenue(t: Tables, *, as_of: date) -> DataFrame:
 
 
 def dashboard_bookings(t: Tables, *, as_of: date) -> DataFrame:
-    return t.bookings.filter(_since(as_of, 30)).agg(
+    return t.bookings.transform(dates.booked_since(as_of - timedelta(days=30), as_of)).agg(
         F.count(F.lit(1)).alias("total"),
         *[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "confirmed", "cancelled")],
     )
@@ -250,7 +249,7 @@ def public_stats(t: Tables, *, as_of: date) -> DataFrame:
         F.count_if(F.col("status") == "upcoming").alias("upcoming_tours"),
         F.count_if(F.col("featured")).alias("featured_tours"),
     )
-    bookings = t.bookings.filter(_since(as_of, 30)).agg(
+    bookings = t.bookings.transform(dates.booked_since(as_of - timedelta(days=30), as_of)).agg(
         F.count(F.lit(1)).alias("total_bookings"),
         F.count_if(is_confirmed()).alias("confirmed_bookings"),
         F.count_if(F.col("status") == "pending").alias("pending_bookings"),
@@ -277,7 +276,7 @@ def role_counts(t: Tables) -> DataFrame:
 def booking_status_counts(t: Tables, *, start: When | None = None, end: When | None = None) -> DataFrame:
     b = t.bookings
     if start is not None:
-        b = b.filter(F.col("booked_at") >= dates.ts(start))
+        b = b.transform(dates.booked_since(start, None))
     if end is not None:
         b = b.filter(F.col("booked_at") <= dates.ts(end))
     return b.groupBy("status").agg(
@@ -306,10 +305,10 @@ def user_status_counts(t: Tables) -> DataFrame:
     return customers.for_every_user(t, facts)
 
 
-def _sales_since(t: Tables, first: datetime, suffix: str) -> DataFrame:
+def _sales_between(t: Tables, first: datetime, now: datetime, suffix: str) -> DataFrame:
     per_user = (
         confirmed(t)
-        .filter(F.col("booked_at") >= dates.ts(first))
+        .transform(dates.booked_since(first, now))
         .groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("total_price").alias("s"))
     )
@@ -321,29 +320,29 @@ def _sales_since(t: Tables, first: datetime, suffix: str) -> DataFrame:
 
 
 def today_stats(t: Tables, *, now: datetime) -> DataFrame:
-    row = _sales_since(t, dates.stamp(now.date()), "today")
+    row = _sales_between(t, dates.stamp(now.date()), now, "today")
     return row.withColumn(
         "avg_booking_today", ratio(F.col("revenue_today"), F.col("bookings_today"))
     )
 
 
 def month_stats(t: Tables, *, now: datetime) -> DataFrame:
-    return _sales_since(t, dates.stamp(now.date().replace(day=1)), "month")
+    return _sales_between(t, dates.stamp(now.date().replace(day=1)), now, "month")
 
 
 def period_windows(t: Tables, *, as_of: date) -> DataFrame:
     """Bookings and confirmed revenue of the current and previous window of each period, in one scan."""
-    labels, ranges = [], F.lit(False)
+    labels, spans = [], []
     for period in ("day", "week", "month", "quarter", "year"):
         w = dates.period_window(period, as_of)
         for side, start, end in (("current", w.start, w.end), ("previous", w.prev_start, w.prev_end)):
             inside = dates.within("booked_at", start, end)
-            ranges = ranges | inside
+            spans.append((start, end))
             labels.append(
                 F.when(inside, F.struct(F.lit(period).alias("period"), F.lit(side).alias("side")))
             )
     return (
-        t.bookings.filter(ranges)
+        t.bookings.transform(dates.booked_any(spans))
         .select("status", "total_price", F.inline(F.array_compact(F.array(*labels))))
         .groupBy("period", "side")
         .agg(

@@ -6,7 +6,7 @@ large share of the rows is folded into one row per input partition before the sh
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def revenue_trend(t: Tables, *, start: When, end: When) -> DataFrame:
     """Zero-filled monthly confirmed revenue. The window only sets first and last month."""
     facts = (
         confirmed(t)
-        .filter(whole_buckets("booked_at", start, end, "month"))
+        .transform(dates.booked_buckets(start, end, "month"))
         .groupBy(dates.bucket("booked_at", "month").alias("month"))
         .agg(F.sum("total_price").alias("revenue"), F.count(F.lit(1)).alias("bookings"))
     )
@@ -58,7 +58,7 @@ def revenue_trend_grain(t: Tables, *, start: When, end: When, grain: str) -> Dat
     """Zero-filled trend by day, week, month, quarter or year with distinct customers."""
     per_user = (
         confirmed(t)
-        .filter(whole_buckets("booked_at", start, end, grain))
+        .transform(dates.booked_buckets(start, end, grain))
         .groupBy(dates.bucket("booked_at", grain).alias("period"), "user_id")
         .agg(F.sum("total_price").alias("revenue"), F.count(F.lit(1)).alias("bookings"))
     )
@@ -81,7 +81,7 @@ def revenue_by_time(t: Tables, *, start: When, end: When, grain: str, limit: int
     """Confirmed bookings, customers, tours and order value per bucket; latest buckets first."""
     return (
         confirmed(t)
-        .filter(dates.within("booked_at", start, end))
+        .transform(dates.booked_within(start, end))
         .groupBy(dates.bucket("booked_at", grain).alias("period"))
         .agg(
             F.count(F.lit(1)).alias("bookings"),
@@ -116,12 +116,10 @@ def revenue_by_period_lookback(
     if start is not None:
         first_day = dict.fromkeys(periods, dates.stamp(start).date())
     earliest = start if start is not None else min(first_day[p] for p in periods)
-    wanted = F.col("booked_at") >= dates.ts(earliest)
-    if end is not None:
-        wanted = wanted & (F.col("booked_at") <= dates.ts(end))
+    wanted = dates.booked_within(earliest, end) if end is not None else dates.booked_since(earliest, None if start is not None else as_of)
     daily = (
         confirmed(t)
-        .filter(wanted)
+        .transform(wanted)
         .groupBy(F.to_date("booked_at").alias("day"))
         .agg(F.sum("total_price").alias("revenue"), F.count(F.lit(1)).alias("bookings"))
     )
@@ -161,7 +159,7 @@ def revenue_by_period_text(t: Tables, *, as_of: date, period: str) -> DataFrame:
     }[period]
     return (
         confirmed(t)
-        .filter(F.col("booked_at") >= dates.ts(back))
+        .transform(dates.booked_since(back, as_of))
         .groupBy(dates.bucket("booked_at", period).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("bookings_count"), F.sum("total_price").alias("revenue"))
         .select(label.alias("period"), "bookings_count", "revenue")
@@ -205,7 +203,7 @@ def _by_tour(bookings: DataFrame, distinct_users: bool = False) -> DataFrame:
 
 
 def revenue_by_tour(t: Tables, *, start: When, end: When, limit: int = 20) -> DataFrame:
-    facts = _by_tour(confirmed(t).filter(dates.within("booked_at", start, end)), distinct_users=True)
+    facts = _by_tour(confirmed(t).transform(dates.booked_within(start, end)), distinct_users=True)
     return (
         facts.join(t.tours.select("id", "title", "slug", "location"), F.col("id") == F.col("tour_id"))
         .orderBy(F.desc("revenue"), "id")
@@ -218,7 +216,7 @@ def revenue_by_tour(t: Tables, *, start: When, end: When, limit: int = 20) -> Da
 
 
 def top_tours(t: Tables, *, start: When, end: When, limit: int = 10) -> DataFrame:
-    facts = _by_tour(confirmed(t).filter(dates.within("booked_at", start, end)))
+    facts = _by_tour(confirmed(t).transform(dates.booked_within(start, end)))
     return (
         facts.join(t.tours.select("id", "title", "location"), F.col("id") == F.col("tour_id"))
         .orderBy(F.desc("revenue"), "id")
@@ -232,10 +230,10 @@ def top_tours(t: Tables, *, start: When, end: When, limit: int = 10) -> DataFram
 
 def top_tours_share(t: Tables, *, start: When, end: When, limit: int = 10) -> DataFrame:
     """Top tours with their share of the window's confirmed revenue. The total is a scalar subquery
-    that reads three columns and needs no shuffle of rows."""
-    window = confirmed(t).filter(dates.within("booked_at", start, end))
+    over the same fold, so the window is read once."""
+    window = confirmed(t).transform(dates.booked_within(start, end))
     facts = _by_tour(window, distinct_users=True)
-    total = window.agg(F.sum("total_price")).scalar()
+    total = facts.agg(F.sum("revenue")).scalar()
     return (
         facts.join(t.tours.select("id", "title", "location"), F.col("id") == F.col("tour_id"))
         .orderBy(F.desc("revenue"), "id")
@@ -295,7 +293,7 @@ def popular_tours(
 def payment_methods(t: Tables, *, start: When, end: When) -> DataFrame:
     per_user = (
         confirmed(t)
-        .filter(dates.within("booked_at", start, end))
+        .transform(dates.booked_within(start, end))
         .groupBy(F.coalesce("payment_method", F.lit("unknown")).alias("payment_method"), "user_id")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("total_price").alias("s"))
     )
@@ -314,7 +312,7 @@ def payment_methods(t: Tables, *, start: When, end: When) -> DataFrame:
 def seasonality(t: Tables, *, start: When, end: When) -> DataFrame:
     return (
         confirmed(t)
-        .filter(dates.within("booked_at", start, end))
+        .transform(dates.booked_within(start, end))
         .groupBy(F.year("booked_at").alias("year"), F.month("booked_at").alias("month"))
         .agg(
             F.count(F.lit(1)).alias("bookings"),
@@ -328,7 +326,7 @@ def seasonality(t: Tables, *, start: When, end: When) -> DataFrame:
 def seasonal_by_tour(t: Tables, *, as_of: date, months: int = 24) -> DataFrame:
     facts = (
         confirmed(t)
-        .filter(F.col("booked_at") >= dates.ts(dates.months_before(as_of, months)))
+        .transform(dates.booked_since(dates.months_before(as_of, months), as_of))
         .groupBy("tour_id", F.month("booked_at").alias("month"))
         .agg(
             F.count(F.lit(1)).alias("bookings"),
@@ -345,16 +343,12 @@ def sales_by_hour(t: Tables, *, now: datetime, hours: int = 24) -> DataFrame:
     """Confirmed count and revenue per hour of the last day; hours without sales are absent."""
     return (
         confirmed(t)
-        .filter(F.col("booked_at") >= F.expr(f"{_ntz(now)} - interval '{hours}' hour"))
+        .transform(dates.booked_since(now - timedelta(hours=hours), now))
         .groupBy(dates.hour_of("booked_at").alias("hour"))
         .agg(F.count(F.lit(1)).alias("bookings"), F.sum("total_price").alias("revenue"))
     )
 
 
-def _ntz(now: datetime) -> str:
-    return f"timestamp_ntz'{now.isoformat(sep=' ')}'"
-
-
 def velocity(hourly: DataFrame) -> DataFrame:
     """Moving average over the current and the three existing hours before it, for one row per hour (also those
     a stream has written). The window has no key; its input is as long as the report."""

@@ -73,7 +73,7 @@ def date_arithmetic(t: Tables) -> DataFrame:
 def date_casts(t: Tables, *, start: date | None = None, end: date | None = None) -> DataFrame:
     """Day, its midnight, and a day range with open bounds."""
     day = F.to_date("booked_at")
-    return t.bookings.filter(dates.within_days("booked_at", start, end)).select(
+    return t.bookings.transform(dates.booked_days(start, end)).select(
         "id", day.alias("day"), day.cast("timestamp_ntz").alias("midnight"), (day == F.col("booked_at").cast("date")).alias("same")
     )
 

@@ -76,7 +76,7 @@ def _ratings_per_link(t: Tables, links: DataFrame, key: str) -> DataFrame:
 
 def category_revenue(t: Tables, *, start: When, end: When) -> DataFrame:
     """Confirmed revenue and count per category, zero categories kept."""
-    facts = _per_tour(confirmed(t).filter(dates.within("booked_at", start, end)))
+    facts = _per_tour(confirmed(t).transform(dates.booked_within(start, end)))
     folded = _fold_links(t.tour_categories, "category_id", facts)
     return (
         t.categories.select("id", F.col("name").alias("category"))
@@ -94,7 +94,7 @@ def category_revenue_nonzero(t: Tables, *, start: When, end: When) -> DataFrame:
 def category_share(t: Tables, *, start: When, end: When) -> DataFrame:
     """Per category bookings, customers, tours and the share of the window's confirmed revenue. The
     denominator counts each booking once, so shares of overlapping categories exceed 100."""
-    window = confirmed(t).filter(dates.within("booked_at", start, end))
+    window = confirmed(t).transform(dates.booked_within(start, end))
     total = window.agg(F.sum("total_price")).scalar()
     folded = _fold_links_by_customer(t.tour_categories, "category_id", window).filter(F.col("revenue") > 0)
     return (
@@ -148,7 +148,7 @@ def category_tour_counts(t: Tables) -> DataFrame:
 
 
 def category_performance(t: Tables, *, as_of: date, months: int = 12) -> DataFrame:
-    recent = confirmed(t).filter(F.col("booked_at") >= dates.ts(dates.months_before(as_of, months)))
+    recent = confirmed(t).transform(dates.booked_since(dates.months_before(as_of, months), as_of))
     links = t.tour_categories
     joined = (
         _fold_links_by_customer(links, "category_id", recent)
@@ -185,7 +185,7 @@ def amenity_impact(t: Tables) -> DataFrame:
 def _performance(t: Tables, start: When, end: When) -> DataFrame:
     """One row per tour booked in the window. Customers and booking days are two kinds of keys in one
     fold, so the bookings are read once."""
-    window = t.bookings.filter(dates.within("booked_at", start, end))
+    window = t.bookings.transform(dates.booked_within(start, end))
     is_confirmed, is_cancelled = F.col("status") == "confirmed", F.col("status") == "cancelled"
     kinds = F.array(
         F.struct(F.lit("user").alias("kind"), F.col("user_id").alias("key")),
@@ -275,7 +275,7 @@ def cancellation_analysis(t: Tables, *, as_of: date, months: int = 12, limit: in
     is_cancelled = F.col("status") == "cancelled"
     whole_days = F.expr("extract(DAY FROM cancelled_at - booked_at)")
     facts = (
-        t.bookings.filter(F.col("booked_at") >= dates.ts(dates.months_before(as_of, months)))
+        t.bookings.transform(dates.booked_since(dates.months_before(as_of, months), as_of))
         .groupBy("tour_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -333,9 +333,8 @@ def slots_left_counter(t: Tables) -> DataFrame:
 
 def tour_availability_live(t: Tables, *, now: datetime, limit: int = 10) -> DataFrame:
     """Bookable tours with seats left: pending bookings of the last day, bookings of the last hour."""
-    day = F.col("booked_at") >= dates.ts(now - timedelta(hours=24))
     hour = F.col("booked_at") >= dates.ts(now - timedelta(hours=1))
-    facts = t.bookings.filter(day).groupBy("tour_id").agg(
+    facts = t.bookings.transform(dates.booked_since(now - timedelta(hours=24), now)).groupBy("tour_id").agg(
         F.count_if(F.col("status") == "pending").alias("pending_bookings"),
         F.count_if(hour).alias("recent_bookings"),
     )

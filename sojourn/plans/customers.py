@@ -110,7 +110,7 @@ register(
   count(distinct user_id) active_users, count(*) bookings, {MONEY} revenue
 from (select date_trunc('month', u.created_at) c, date_trunc('month', booked_at) m, user_id, total_price
       from users u join bookings b on b.user_id=u.id
-      where b.{CONFIRMED} and u.created_at >= date '2001-04-01' - interval 12 month) x
+      where b.{CONFIRMED} and u.created_at >= date '2001-04-01' - interval 12 month and booked_at < date '2001-04-02') x
 where m>=c group by c, m""",
 )
 register(

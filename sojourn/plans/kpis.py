@@ -173,13 +173,13 @@ register(
     lambda t: op.today_stats(live(t), now=NOON),
     f"""select count(*) bookings_today, cast(coalesce(sum(total_price),0) as decimal(28,2)) revenue_today,
   count(distinct user_id) customers_today, {div('sum(total_price)', 'count(*)')} avg_booking_today
-{_LIVE} and booked_at >= timestamp '2024-01-30'""",
+{_LIVE} and booked_at between timestamp '2024-01-30' and timestamp '2024-01-30 12:00:00'""",
 )
 register(
     "month_stats",
     lambda t: op.month_stats(live(t), now=NOON),
     f"""select count(*) bookings_month, cast(coalesce(sum(total_price),0) as decimal(28,2)) revenue_month,
-  count(distinct user_id) customers_month {_LIVE} and booked_at >= timestamp '2024-01-01'""",
+  count(distinct user_id) customers_month {_LIVE} and booked_at between timestamp '2024-01-01' and timestamp '2024-01-30 12:00:00'""",
 )
 
 

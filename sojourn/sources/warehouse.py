@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from sojourn.functions import dates
 from sojourn.schemas import SCHEMAS
 from sojourn.tables import Tables
 
-MONTH = "booked_month"
+MONTH = dates.MONTH
 
 
 def load_tables(spark: SparkSession, root: str, version: int | None = None) -> Tables:
@@ -35,21 +35,44 @@ def load_tables(spark: SparkSession, root: str, version: int | None = None) -> T
     return Tables(spark, {name: reader(name) for name in SCHEMAS})
 
 
+# Tables that grow with the business, and the column whose ranges are read side by side. Ids may be UUIDs, so facts go by time.
+PARTITION_COLUMNS = {
+    "bookings": "booked_at",
+    "users": "created_at",
+    "favorites": "created_at",
+    "reviews": "created_at",
+    "notifications": "created_at",
+}
+
+
 def load_jdbc(
-    spark: SparkSession, url: str, properties: dict[str, str], tasks: int = 32, bounds: dict[str, tuple[int, int]] | None = None
+    spark: SparkSession,
+    url: str,
+    properties: dict[str, str],
+    tasks: int = 32,
+    bounds: dict[str, tuple] | None = None,
+    reader_of: Callable[[SparkSession], DataFrameReader] = lambda spark: spark.read,
 ) -> Tables:
-    """The same tables from a relational store. Tables with known id bounds are read by ``tasks`` range
-    queries side by side; filters and columns are pushed into each of them."""
+    """The same tables from a relational store, cast to the fixed schemas; times without a zone stay without one.
+
+    A table is read by ``tasks`` range queries side by side, for which ``bounds`` names the lowest and highest value of its
+    partition column (``PARTITION_COLUMNS``). Facts without bounds are refused, since one task would read all of them;
+    dimensions may go without.
+    """
 
     def reader(name: str) -> Callable[[], DataFrame]:
         def read() -> DataFrame:
-            source = spark.read.format("jdbc").options(url=url, dbtable=name, **properties)
+            source = reader_of(spark).format("jdbc").options(url=url, dbtable=name, preferTimestampNTZ="true", **properties)
+            column = PARTITION_COLUMNS.get(name)
             if bounds and name in bounds:
                 low, high = bounds[name]
                 source = source.options(
-                    partitionColumn="id", lowerBound=str(low), upperBound=str(high), numPartitions=str(tasks)
+                    partitionColumn=column or "id", lowerBound=str(low), upperBound=str(high), numPartitions=str(tasks)
                 )
-            return source.load()
+            elif column:
+                raise ValueError(f"{name} needs bounds of its column {column}, or one task would read the whole table")
+            rows = source.load()
+            return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name] if f.name in rows.columns])
 
         return read
 

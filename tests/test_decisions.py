@@ -89,7 +89,7 @@ def test_cohort_month_number_is_a_true_difference(spark):
     t = tables(
         spark,
         users=[{"id": 1, "created_at": datetime(2000, 8, 5)}, {"id": 2, "created_at": datetime(2000, 7, 31)}],
-        bookings=[booking(1, at="2001-08-20"), booking(2, at="2000-08-01"), booking(3, at="2000-07-01"), booking(4, user_id=2)],
+        bookings=[booking(1, at="2001-08-01"), booking(5, at="2001-08-20"), booking(2, at="2000-08-01"), booking(3, at="2000-07-01"), booking(4, user_id=2)],
     )
     got = rows(customers.cohorts(t, as_of=AS_OF), "cohort", "month", "month_number", "active_users")
     assert got == [("2000-08", "2000-08", 0, 1), ("2000-08", "2001-08", 12, 1)]
@@ -229,13 +229,26 @@ def test_documents_cut_long_lists(spark):
 def test_images_that_share_a_display_order_are_cut_by_id(spark):
     made = [{"id": i, "tour_id": 1, "image_url": f"u{i}", "display_order": 0 if i < 19 else 1} for i in range(25)]
     t = tables(spark, tours=[{"id": 1, "title": "a"}], tour_images=made)
-    got = documents.tour_document(t, part_size=5).orderBy("part", "slice").collect()
+    got = documents.tour_document(t, part_size=5).orderBy("part").collect()
     lists = [[i.image_url for i in r.images] for r in got if r.images]
     assert [r.title for r in got] == ["a"] + [None] * (len(got) - 1)
-    assert max(len(x) for x in lists) <= 5
+    assert [len(x) for x in lists] == [5] * 5
     assert [u for x in lists for u in x] == [f"u{i}" for i in range(25)]
 
 
+def test_images_with_large_ids_keep_their_order(spark):
+    big = 2**62
+    made = [{"id": big + 7 * i, "tour_id": 1, "image_url": f"u{i}", "display_order": 0 if i % 2 else 1} for i in range(9)]
+    t = tables(spark, tours=[{"id": 1, "title": "a"}], tour_images=made)
+    got = documents.ordered_images(t, part_size=4).orderBy("part").collect()
+    assert [[i.image_url for i in r.images] for r in got] == [["u1", "u3", "u5", "u7"], ["u0", "u2", "u4", "u6"], ["u8"]]
+
+
+def test_users_without_rows_have_zeros(spark):
+    t = tables(spark, users=[{"id": 1}, {"id": 2}], bookings=[booking(1, user_id=2)], tours=[{"id": 1, "title": "a"}], favorites=[])
+    assert rows(customers.user_stats(t), "user_id", "total_trips") == [(1, 0), (2, 1)]
+
+
 def test_null_method_and_source(spark):
     t = tables(spark, bookings=[booking(1), booking(2, payment_method="card")], users=[{"id": 1}, {"id": 2, "utm_source": "ads"}])
     span = {"start": date(2001, 6, 1), "end": date(2001, 7, 1)}

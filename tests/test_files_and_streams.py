@@ -124,18 +124,18 @@ def test_daily_counters(spark, sf_dir, tmp_path):
     t.bookings.coalesce(1).write.parquet(source)
     stream = spark.readStream.schema(t.bookings.schema).parquet(source)
     query = (
-        jobs.stream_today_counters(stream).writeStream.outputMode("update").format("memory").queryName("today")
+        jobs.stream_user_days(stream).writeStream.outputMode("update").format("memory").queryName("today")
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    want = kpis.today_stats(t, now=datetime(2024, 1, 30, 12)).collect()[0]
-    got = spark.table("today").filter("day >= date'2024-01-30'").collect()
-    assert sum(r.bookings_today for r in got) == want.bookings_today
-    assert sum(r.revenue_today for r in got) == want.revenue_today
+    # The last row of each day and customer counts.
+    last = spark.table("today").groupBy("day", "user_id").agg(F.max("bookings").alias("bookings"), F.max("revenue").alias("revenue"))
+    names = ("day", "bookings_today", "revenue_today", "customers_today")
+    assert rows(jobs.day_counters(last), *names) == rows(jobs.stream_today_counters(t.bookings), *names)
+    assert jobs.late_rows(query) == 0
 
 
-@pytest.mark.parametrize("late", [None, "1 day"])
-def test_payment_stream(spark, tmp_path, late):
+def test_payment_stream(spark, tmp_path):
     root, log, source = (str(tmp_path / name) for name in ("lake", "log", "in"))
     made = frame(spark, "bookings", booking(1, booking_number="a"), booking(2, booking_number="b"), booking(3, booking_number="c"))
     warehouse.publish(made, root, "bookings", version=0)
@@ -145,18 +145,61 @@ def test_payment_stream(spark, tmp_path, late):
         new = spark.createDataFrame([(*e, datetime(2001, 7, 1)) for e in events], schema)
         new.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        jobs.stream_payments(stream, log, str(tmp_path / "cp"), late).awaitTermination()
+        jobs.stream_payments(stream, log, str(tmp_path / "cp")).awaitTermination()
 
     arrive(("a", "COMPLETE"), ("a", "COMPLETE"), ("b", "FAILED"))
-    assert rows(spark.read.parquet(log), "booking_number") == [("a",)] * (2 if late is None else 1)
+    assert rows(spark.read.parquet(log), "booking_number") == [("a",)] * 2
     arrive(("a", "COMPLETE"), ("c", "COMPLETE"))
-    assert rows(spark.read.parquet(log), "booking_number") == [("a",)] * (3 if late is None else 1) + [("c",)]
+    assert rows(spark.read.parquet(log), "booking_number") == [("a",)] * 3 + [("c",)]
     old = warehouse.load_tables(spark, root, version=0).bookings
     warehouse.publish(jobs.paid_bookings(old, log).drop("booked_month"), root, "bookings", version=1)
     assert rows(warehouse.load_tables(spark, root, version=1).bookings, "id", "payment_status") == [(1, "paid"), (2, None), (3, "paid")]
     assert rows(old, "payment_status") == [(None,)] * 3
 
 
+def test_windows_prune_month_folders(spark, sf_dir, tmp_path):
+    root = str(tmp_path / "lake")
+    t = load_testdata(spark, sf_dir)
+    for name in ("bookings", "tours", "users"):
+        warehouse.publish(getattr(t, name), root, name)
+    lake = warehouse.load_tables(spark, root)
+    w = {"start": datetime(2001, 3, 5), "end": datetime(2001, 5, 20)}
+    for report in (
+        lambda x: revenue.revenue_trend(x, **w), lambda x: revenue.revenue_by_tour(x, **w), lambda x: kpis.kpi_window(x, **w),
+        lambda x: revenue.revenue_comparison(x, **w, prev_start=datetime(2000, 1, 1), prev_end=datetime(2000, 2, 1)),
+        lambda x: kpis.dashboard_bookings(x, as_of=w["end"].date()), lambda x: revenue.seasonal_by_tour(x, as_of=w["end"].date(), months=3),
+    ):
+        got = report(lake)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.splitlines() if "FileScan parquet" in x and "booked_month" in x]
+        assert scans and all("PartitionFilters: []" not in x for x in scans)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, report(t).collect()))
+
+
+def test_jdbc_reads_keep_zoneless_times_and_refuse_one_task(spark):
+    class Reader:
+        def __init__(self, rows):
+            self.rows, self.set = rows, {}
+
+        def format(self, name):
+            return self
+
+        def options(self, **given):
+            self.set |= given
+            return self
+
+        def load(self):
+            return self.rows
+
+    source = Reader(spark.createDataFrame([("7", "2001-01-01 10:00:00")], "id string, booked_at string"))
+    bounds = {"bookings": ("2000-01-01", "2002-01-01")}
+    t = warehouse.load_jdbc(spark, "jdbc:x", {}, tasks=4, bounds=bounds, reader_of=lambda s: source)
+    assert dict(t.bookings.dtypes) == {"id": "bigint", "booked_at": "timestamp_ntz"}
+    assert source.set["preferTimestampNTZ"] == "true" and source.set["partitionColumn"] == "booked_at" and source.set["numPartitions"] == "4"
+    with pytest.raises(ValueError, match="favorites"):
+        t.favorites
+
+
 def test_hot_users_are_cut_before_the_shuffle(spark, sf_dir):
     plan = lists.user_recent(load_testdata(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan

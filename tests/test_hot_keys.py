@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sojourn.functions import numbering, skew
@@ -181,3 +182,24 @@ def test_a_hot_tour_and_a_hot_user_are_split_in_row_level_joins(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_running_numbers_of_hashes_and_texts(spark):
+    """Sparse 64-bit ids and UUID-like texts; a key with half of the rows; no slice much larger than asked for."""
+    df = spark.range(3000).select(
+        F.xxhash64("id").alias("h"), F.md5(F.col("id").cast("string")).alias("u"), (F.col("id") % 4 > 1).cast("int").alias("k")
+    )
+    for column in ("h", "u"):
+        got = numbering.running_number(df, ["k"], column, "n", rows=200)
+        want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(column)))
+        assert sorted(map(tuple, got.select("h", "n").collect())) == sorted(map(tuple, want.select("h", "n").collect()))
+        sizes = numbering.sliced(df, column, 200).groupBy("_slice").count().collect()
+        assert 10 <= len(sizes) <= 20 and max(r["count"] for r in sizes) <= 400
+
+
+def test_the_list_of_hot_keys_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_KEYS", 3)
+    left = spark.range(400).select((F.col("id") % 20).alias("k"), F.col("id").alias("v"))
+    right = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    got = skew.join_hot(left, right, ["k"], hot_rows=5)
+    assert got.count() == 400 and got.filter("w <> 2 * k").count() == 0
