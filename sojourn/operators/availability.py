@@ -135,22 +135,25 @@ def _admit_overfull(requests: DataFrame) -> DataFrame:
     # Rank inside shares first: a share keeps its first seats/p, and they contain those of the whole.
     for keys in ([*day, "people", "share"], [*day, "people"]):
         rows = _first_fitting(rows, keys, order)
-    ordered = F.array_sort(F.collect_list(F.struct("arrived_at", "request_id", "people")))
+    ordered = F.array_sort(F.collect_list(F.struct("arrived_at", "request_id", "people", "rank")))
     days = rows.groupBy(*day).agg(F.max("available_slots").alias("seats"), ordered.alias("queue"))
-    start = F.struct(F.col("seats").cast("long").alias("left"), F.array().cast("array<bigint>").alias("ids"))
+    none = F.array_repeat(F.lit(0), MAX_PEOPLE)
+    start = F.struct(F.col("seats").cast("long").alias("left"), none.alias("taken"))
 
     def step(state, party):
+        """Seats left, and how many parties of each size were taken: always the first of that size."""
         fits = party["people"] <= state["left"]
+        more = F.transform(state["taken"], lambda n, i: n + F.when(i + 1 == party["people"], 1).otherwise(0))
         return F.struct(
             F.when(fits, state["left"] - party["people"]).otherwise(state["left"]).alias("left"),
-            F.when(fits, F.concat(state["ids"], F.array(party["request_id"]))).otherwise(state["ids"]).alias("ids"),
+            F.when(fits, more).otherwise(state["taken"]).alias("taken"),
         )
 
-    return days.select(F.explode(F.aggregate("queue", start, step, lambda s: s["ids"])).alias("request_id")).withColumn(
-        "taken", F.lit(True)
-    )
+    counted = days.withColumn("counts", F.aggregate("queue", start, step, lambda s: s["taken"]))
+    first = F.filter("queue", lambda party: party["rank"] <= F.get("counts", party["people"] - 1))
+    return counted.select(F.explode(first["request_id"]).alias("request_id")).withColumn("taken", F.lit(True))
 
 
 def _first_fitting(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_at", at).filter(F.col("_at") <= F.col("most")).drop("_at")
+    return rows.withColumn("rank", at).filter(F.col("rank") <= F.col("most"))

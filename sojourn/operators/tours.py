@@ -38,13 +38,16 @@ def _fold_links(links: DataFrame, key: str, facts: DataFrame) -> DataFrame:
     )
 
 
-def _fold_links_by_customer(links: DataFrame, key: str, bookings: DataFrame) -> DataFrame:
-    """The same with distinct customers, links without bookings dropped. Bookings are folded to
-    (tour, user) before the join and to (link, user) after it, so a customer of several tours of a
-    category counts once. Tours are counted on the links alone."""
-    pairs = bookings.groupBy("tour_id", "user_id").agg(
+def _per_tour_and_user(bookings: DataFrame) -> DataFrame:
+    return bookings.groupBy("tour_id", "user_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("total_price").alias("s")
     )
+
+
+def _fold_links_by_customer(links: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """The same with distinct customers, links without bookings dropped. Bookings come folded to
+    (tour, user) and are folded to (link, user) after the join, so a customer of several tours of a
+    category counts once. Tours are counted on the links alone."""
     per_user = (
         pairs.join(links, "tour_id")
         .groupBy(F.col(key).alias("link_id"), "user_id")
@@ -94,9 +97,10 @@ def category_revenue_nonzero(t: Tables, *, start: When, end: When) -> DataFrame:
 def category_share(t: Tables, *, start: When, end: When) -> DataFrame:
     """Per category bookings, customers, tours and the share of the window's confirmed revenue. The
     denominator counts each booking once, so shares of overlapping categories exceed 100."""
-    window = confirmed(t).transform(dates.booked_within(start, end))
-    total = window.agg(F.sum("total_price")).scalar()
-    folded = _fold_links_by_customer(t.tour_categories, "category_id", window).filter(F.col("revenue") > 0)
+    pairs = _per_tour_and_user(confirmed(t).transform(dates.booked_within(start, end)))
+    # Over the same fold, so the window is read once.
+    total = pairs.agg(F.sum("s")).scalar()
+    folded = _fold_links_by_customer(t.tour_categories, "category_id", pairs).filter(F.col("revenue") > 0)
     return (
         t.categories.select("id", "name", "color", "icon")
         .join(folded, F.col("id") == F.col("link_id"))
@@ -151,7 +155,7 @@ def category_performance(t: Tables, *, as_of: date, months: int = 12) -> DataFra
     recent = confirmed(t).transform(dates.booked_since(dates.months_before(as_of, months), as_of))
     links = t.tour_categories
     joined = (
-        _fold_links_by_customer(links, "category_id", recent)
+        _fold_links_by_customer(links, "category_id", _per_tour_and_user(recent))
         .withColumnRenamed("customers", "unique_customers")
         .join(_ratings_per_link(t, links, "category_id"), "link_id", "left")
     )
