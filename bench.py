@@ -1,6 +1,6 @@
 """Times every registered query and prints one JSON line.
 
-Each query runs once to warm up and then ``BENCH_RUNS`` times (default 3); the median counts. The
+Each query runs once to warm up and then ``BENCH_RUNS`` times (default 5); the median counts. The
 result is written to Spark's no-op sink, so all columns are computed and nothing is collected.
 The headline value is the sum over the headline queries.
 """
@@ -31,7 +31,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     only = os.environ.get("BENCH_QUERIES")
     names = list(QUERIES) if only == "all" else only.split(",") if only else HEADLINE
     spark = (

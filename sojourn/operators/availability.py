@@ -51,6 +51,7 @@ def check_availability(t: Tables, requests: DataFrame) -> DataFrame:
     """Whether each request alone would fit, and why not."""
     joined = join_hot(requests, available_slots(t, requests), ["tour_id", "tour_date"], "left")
     fits = F.coalesce(F.col("people") <= F.col("available_slots"), F.lit(False))
+    # The reasons given.
     reason = F.when(F.col("capacity").isNull(), "Tour not found").when(~fits, "Not enough slots")
     return joined.select(
         "request_id", "tour_id", "tour_date", F.col("people").alias("requested"), "capacity", "booked",
@@ -63,6 +64,7 @@ def within_schedule(t: Tables, requests: DataFrame) -> DataFrame:
     slots = _slots(t, requests, "start_date", "end_date")
     joined = join_hot(requests, slots, ["tour_id", "tour_date"])
     inside = F.col("tour_date").between(F.col("start_date"), F.col("end_date"))
+    # Fixed value: the reason given.
     return joined.select(
         "request_id", "tour_id", "tour_date",
         (inside & (F.col("available_slots") > 0)).alias("available"),

@@ -195,6 +195,7 @@ def churn(t: Tables, *, as_of: date) -> DataFrame:
     """Customers by the age of their last confirmed booking. Exactly 90 (or 30) days ago is not yet
     churned (at risk). The share is taken over the three result rows."""
     last = F.col("last_activity")
+    # Labels and bounds in days.
     status = (
         F.when(last < dates.ts(as_of - timedelta(days=90)), "Churned")
         .when(last < dates.ts(as_of - timedelta(days=30)), "At Risk")
