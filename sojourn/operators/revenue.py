@@ -178,7 +178,7 @@ def revenue_comparison(
     )
     return (
         confirmed(t)
-        .filter(now | before)
+        .transform(dates.booked_any([(start, end), (prev_start, prev_end)]))
         .select(F.explode(windows).alias("period"), dates.bucket("booked_at", "month").alias("month"), "total_price")
         .groupBy("period", "month")
         .agg(F.sum("total_price").alias("revenue"), F.count(F.lit(1)).alias("bookings"))
