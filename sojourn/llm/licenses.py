@@ -151,10 +151,16 @@ def scan(files: DataFrame, templates=TEMPLATES, least: float = LEAST, names: str
 
 
 def as_files(docs: DataFrame) -> DataFrame:
-    """Documents as files of a tree: a folder for each source and language, in it folders of a thousand and of a hundred ids, and
-    every tenth file named as a licence file."""
+    """Documents as files of a tree: a folder for each source, in it one for each language, in it folders of a thousand and of a hundred ids.
+    One in ten files is a licence file, by a hash of its id, which no source or language is aligned with; a quarter of these lies in the folders
+    of each depth, all other files in those of a hundred ids."""
     i = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
     part = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), "/", "_"), F.lit("none"))
-    name = F.when(i % 10 == 0, F.concat(F.lit("LICENSE-"), i.cast("string"))).otherwise(F.concat(i.cast("string"), F.lit(".txt")))
-    path = F.concat_ws("/", part("source"), part("lang"), F.floor(i / 1000).cast("string"), F.floor(i / 100).cast("string"), name)
-    return docs.select("doc_id", path.alias("path"), "text")
+    folders = F.array(part("source"), part("lang"), F.floor(i / 1000).cast("string"), F.floor(i / 100).cast("string"))
+    # With the language, which the folder of a source does not tell.
+    licence = F.concat_ws("-", F.lit("LICENSE"), part("lang"), i.cast("string"))
+    draw = F.pmod(F.xxhash64(i), F.lit(40))
+    depth = (F.floor(draw / 10) + 1).cast("int")
+    above = F.concat_ws("/", F.slice(folders, F.lit(1), depth), licence)
+    leaf = F.concat_ws("/", folders, F.concat(i.cast("string"), F.lit(".txt")))
+    return docs.select("doc_id", F.when(draw % 10 == 0, above).otherwise(leaf).alias("path"), "text")
