@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sojourn.llm import bpe, jaccard, licenses, outliers, packing, quality, repeats, rollups, sketches, toxicity
+from sojourn.llm import bpe, jaccard, licenses, manifest, outliers, packing, quality, repeats, rollups, sketches, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,4 +76,16 @@ def op10_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.corpus_totals(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.without_newlines(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op10_token_totals"] = rollups.CORPUS_SQL
+ORACLES["op13_manifest"] = manifest.MANIFEST_SQL
