@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sojourn.llm import bpe, jaccard, licenses, manifest, outliers, packing, quality, repeats, rollups, sketches, toxicity, whitening
+from sojourn.llm import bpe, chats, jaccard, licenses, manifest, outliers, packing, quality, repeats, rollups, sketches, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,10 +82,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit(vectors))
 
 
+@query
+def op12_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.checked_conversations(chats.with_tricky(table(spark, sf_dir, "conversations")))
+
+
 @query
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.without_newlines(table(spark, sf_dir, "documents"))
 
 
 ORACLES["op10_token_totals"] = rollups.CORPUS_SQL
+ORACLES["op12_chats"] = chats.CHAT_SQL
 ORACLES["op13_manifest"] = manifest.MANIFEST_SQL
