@@ -16,6 +16,7 @@ than ``doc_id`` and ``text`` are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -50,12 +51,14 @@ class Words:
     """Ids of words as bytes; each distinct word is tokenised once and remembered.
 
     Many new words go through the tokenizer as one text, with a mark between them that is a word of its own. A full stop or
-    comma after a letter or digit is a word of its own for the tokenizer, too, so words are looked up without it.
+    comma after a letter or digit is a word of its own for the tokenizer, too, so words are looked up without it. A text in which an
+    added token of the vocabulary is written out (in any case) goes through the tokenizer as a whole, which knows where such tokens count.
     """
 
     def __init__(self, tokenizer_json: str):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self.known: dict[bytes, bytes] = {}
         self.mark = self._encode("~")
         self.stops = {c: np.array(self._encode(chr(c)), "<u4").tobytes() for c in b".,"}
@@ -81,7 +84,9 @@ class Words:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         # The tokenizer lower-cases, so spellings that differ in ASCII case are one word.
-        split = [text.encode().lower().split() for text in texts]
+        lowered = [text.encode().lower() for text in texts]
+        whole = {i: self._encode(texts[i]) for i, raw in enumerate(lowered) if self.added and self.added.search(raw)}
+        split = [() if i in whole else raw.split() for i, raw in enumerate(lowered)]
         known = self.known
         distinct = set().union(*split)
         new = distinct.difference(known)
@@ -93,7 +98,7 @@ class Words:
         self._learn([w for w in bare if w not in known])
         for w in stopped:
             known[w] = known[w[:-1]] + self.stops[w[-1]]
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [np.array(whole[i], "<u4").tobytes() if i in whole else b"".join([known[w] for w in words]) for i, words in enumerate(split)]
 
 
 def tokenize_pieces(tokenizer_json: str, capacity: int, end_token: int):

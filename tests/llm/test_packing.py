@@ -15,7 +15,6 @@ JSON = open(public_tokenizers.path("word_bpe_49k.json")).read()
 
 
 TOKENIZER = Tokenizer.from_str(JSON)
-TOKENIZER.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -50,6 +49,19 @@ def test_word_ids_are_those_of_whole_texts(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)] == [ids_of(t)[:-1] for t in texts]
 
 
+def test_added_tokens_count_as_in_the_library():
+    texts = ["end of part <|endoftext|> next", "a<|startoftext|>b<|endoftext|>", "<|EndOfText|> x", "<|endoftext| >", "Plain text.", "<|endoftext|>" * 3, ""]
+    found = [np.frombuffer(x, "<u4").tolist() for x in packing.Words(JSON).ids(texts)]
+    assert found == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+    assert found[0] == [806, 539, 1551, 49407, 1131] and 49407 not in found[2]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", " ", "\n", "Ab", "é", "~", "."]), max_size=8).map("".join), max_size=4))
+def test_texts_with_added_tokens(texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Words(JSON).ids(texts)] == [ids_of(t)[:-1] for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_configurations_hold_the_histogram(seed):
     rng = np.random.default_rng(seed)
