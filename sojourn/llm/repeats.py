@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.llm import ragged, shingles, suffixes
@@ -223,15 +223,19 @@ def without_marks(least: int):
     return run
 
 
-def cleaned_texts(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """The documents with the ``key`` of their text, and for each key ``n_bytes, n_removed, n_spans, kept_sha256, kept`` and ``left``,
-    what is kept as text, without characters that lost one of their bytes."""
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def cleaned_texts(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFrame:
+    """For each distinct ``text`` its ``key``, ``n_bytes, n_removed, n_spans, kept_sha256, kept`` and ``left``, what is kept as text, without
+    characters that lost one of their bytes."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_key", F.unhex(F.md5(text)))
+    keyed = docs.select(text_key(F.col("text")).alias("key"), text.alias("text"))
     # One text of each key; copies are folded where they are read.
-    texts = keyed.select(F.col("_key").alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    scanned = keyed.select(F.col("_key").alias("key"), text.alias("text")).mapInPandas(anchor_rows(least, anchor), f"key binary, n long, rows {ROWS}")
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    scanned = keyed.mapInPandas(anchor_rows(least, anchor), f"key binary, n long, rows {ROWS}")
     folded = scanned.groupBy("key").agg(F.first("rows").alias("rows"))
     known = written(folded.withColumn("t", F.monotonically_increasing_id()), "anchors")
 
@@ -251,26 +255,31 @@ def cleaned_texts(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) ->
     blocks = strings.filter("not hot").select("t", "f", "first", "bytes").repartition("f").sortWithinPartitions("f")
     marks = blocks.mapInPandas(compare_blocks(least), PLACES).unionByName(hot_marks(strings.filter("hot"), least)).unionByName(whole)
     marks = marks.join(known.select("t", "key"), "t").groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    result = texts.join(marks, "key", "left").mapInPandas(
+    return texts.join(marks, "key", "left").mapInPandas(
         without_marks(least), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, left string"
     )
-    return keyed, result
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFrame:
-    """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (of the bytes that stay)."""
-    keyed, texts = cleaned_texts(docs.select("doc_id", "text"), least, anchor)
-    digests = written(texts.drop("kept", "left"), "kept-digests")
-    return keyed.select("doc_id", "_key").join(digests, F.col("_key") == F.col("key")).drop("_key", "key")
+    """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (of the bytes that stay) and ``has_repeats``, whether any byte went."""
+    digests = written(cleaned_texts(docs.select("text"), least, anchor).drop("kept", "left"), "kept-digests")
+    found = docs.select("doc_id", text_key(F.col("text")).alias("key")).join(digests, "key").drop("key")
+    return found.withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def kept_documents(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFrame:
     """The documents with what is left of their texts. A character that lost one of its bytes goes as a whole; a null text stays null,
-    and a document that had text and has none left goes. ``n_chars``, where there is one, is counted anew."""
-    keyed, texts = cleaned_texts(docs, least, anchor)
-    left = written(texts.filter("n_removed > 0").select(F.col("key").alias("_of"), F.col("left").alias("_left")), "kept-texts")
-    joined = keyed.join(left, F.col("_key") == F.col("_of"), "left").filter("_left is null or _left <> ''")
-    out = {"text": F.coalesce("_left", "text")}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.length("_left")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(out).select(*docs.columns)
+    and a document that had text and has none left goes. ``n_chars``, where there is one, is counted anew. Other columns stay as they are,
+    whatever their names."""
+    texts = cleaned_texts(docs.select("text"), least, anchor)
+    left = written(texts.filter("n_removed > 0").select(F.col("key").alias("of"), "left"), "kept-texts")
+    # The caller's columns go by place, so no name can clash.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c.lower(): names[i] for i, c in enumerate(docs.columns)}
+    whole = docs.toDF(*names).withColumn("key", text_key(F.col(at["text"])))
+    joined = whole.join(left, F.col("key") == F.col("of"), "left").filter("left is null or left <> ''")
+    out = {at["text"]: F.coalesce("left", at["text"])}
+    if "n_chars" in at:
+        kind = docs.schema[docs.columns[names.index(at["n_chars"])]].dataType
+        out[at["n_chars"]] = F.when(F.col("left").isNull(), F.col(at["n_chars"])).otherwise(F.length("left")).cast(kind)
+    return joined.withColumns(out).select(*names).toDF(*docs.columns)
