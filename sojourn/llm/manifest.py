@@ -4,11 +4,11 @@ Each document is a leaf: the hash of its columns, each as its length and its byt
 node remains, every three that follow each other become the hash of their digests, the last ones being fewer, even one. What remains is the source's
 subroot, and the subroots in order of their sources likewise give the root.
 
-A level is one window: nodes at the fixed offsets one and two before and after, masked by a node's slot in its run and the run's
-length, are its siblings, and the row of a run's first child hashes the parent and is the only one to go on. Windows are cut into blocks of
-``BLOCK`` nodes, a multiple of three, so no run is cut and a source that holds most documents is many tasks. Positions come from one range sort.
-The proofs are then put together from the top: a node's steps are its own siblings before and after it and its parent's steps, and
-each parent meets its three children only.
+A level is a few window columns: lags and leads at the fixed offsets of one and two nodes, masked by a node's slot in its run and the run's length, are
+its siblings, and the row of a run's first child hashes the parent and carries it on. A row's ancestor of any level is the last such row
+before it, which gives each leaf its siblings. A window holds a block of ``BLOCK`` leaves, a power of three, so no run is cut, a source that holds most documents is many
+tasks, and one shuffle serves ``LEVELS`` levels. The blocks' tops are the leaves of the next round, and each block then gets its
+top's steps. Positions come from one range sort.
 
 Nulls: a null value is hashed as ``-``, which no other value gives; rows without ``doc_id`` come first, and a null source is a source of its own,
 before all others. A column that the table lacks counts as null. Rows with one ``doc_id`` are ordered by their digests, and repeated rows are leaves
@@ -17,6 +17,8 @@ of their own. Empty texts are values, very long texts are hashed whole, an empty
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,10 @@ from sojourn.llm.ordering import marked, placed, same
 from sojourn.llm.scratch import written
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-# Children of a node, and nodes of a window; the second is a power of the first.
+# Children of a node, and levels and leaves of a window.
 FAN = 3
-BLOCK = FAN**8
+LEVELS = 7
+BLOCK = FAN**LEVELS
 STEPS = "array<struct<before:string,after:string>>"
 
 
@@ -49,51 +52,62 @@ def leaf(docs: DataFrame, text: Column | None = None) -> Column:
     return digest(*[field(have[c]) if c in have else F.lit("-") for c in FIELDS])
 
 
-def _siblings(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """``before`` and ``after``: digests of the siblings on either side of each node, end to end."""
+def _in_blocks(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``steps``, the siblings on each level of the block, and ``top``, on the block's first row the digest of the whole block."""
     window = Window.partitionBy(*keys, F.floor(F.col("at") / BLOCK)).orderBy("at")
-    slot = F.col("at") % FAN
-    run = F.least(F.lit(FAN), F.col("nodes") - (F.col("at") - slot))
-    sides = {
-        "before": [F.when(slot >= k, F.lag("node", k).over(window)) for k in range(FAN - 1, 0, -1)],
-        "after": [F.when(slot + k < run, F.lead("node", k).over(window)) for k in range(1, FAN)],
-    }
-    return nodes.withColumns({name: F.concat_ws("", *found) for name, found in sides.items()})
-
-
-def _levels(nodes: DataFrame, keys: list[str]) -> tuple[list[DataFrame], DataFrame]:
-    """The levels of all trees from the leaves up, each with siblings, and the trees' tops. ``nodes``: keys, ``at``, ``nodes`` (how many
-    the tree has), ``node``, and for leaves what else they carry."""
-    levels, tops, level = [], [], nodes
-    while True:
-        level = written(_siblings(level, keys), "merkle-level")
-        levels.append(level)
-        tops.append(level.filter("nodes = 1").select(*keys, "node"))
-        if level.filter("nodes > 1").isEmpty():
-            break
-        first = level.filter((F.col("nodes") > 1) & (F.col("at") % FAN == 0))
-        level = first.select(
-            *keys, F.floor(F.col("at") / FAN).alias("at"), F.ceil(F.col("nodes") / FAN).alias("nodes"), digest(F.col("node"), F.col("after")).alias("node")
+    rows, node = nodes, F.col("node")
+    for level in range(LEVELS):
+        width = FAN**level
+        # Of each node of this level the first leaf's row is in use.
+        place, count = F.floor(F.col("at") / width), F.ceil(F.col("nodes") / width)
+        slot = place % FAN
+        run = F.least(F.lit(FAN), count - (place - slot))
+        before = [F.when(slot >= k, F.lag(node, k * width).over(window)) for k in range(FAN - 1, 0, -1)]
+        after = [F.when(slot + k < run, F.lead(node, k * width).over(window)) for k in range(1, FAN)]
+        rows = rows.withColumns({f"before{level}": F.concat_ws("", *before), f"after{level}": F.concat_ws("", *after)})
+        # A tree that is one node by now has no more steps.
+        step = F.struct(F.col(f"before{level}").alias("before"), F.col(f"after{level}").alias("after"))
+        parent = F.when(count > 1, digest(node, F.col(f"after{level}"))).otherwise(node)
+        rows = rows.withColumns(
+            {
+                f"step{level}": F.when((F.col("at") % width == 0) & (count > 1), step),
+                f"node{level}": F.when(F.col("at") % (width * FAN) == 0, parent),
+            }
         )
-    top = tops[0]
-    for more in tops[1:]:
-        top = top.unionByName(more)
-    return levels, top
+        node = F.col(f"node{level}")
+    before_or_here = window.rowsBetween(Window.unboundedPreceding, 0)
+    steps = [F.last(f"step{level}", ignorenulls=True).over(before_or_here) for level in range(LEVELS)]
+    return rows.select(*nodes.columns, F.array_compact(F.array(*steps)).alias("steps"), node.alias("top"))
+
+
+def _rounds(nodes: DataFrame, keys: list[str]) -> tuple[list[DataFrame], DataFrame]:
+    """The blocks of all trees, from those of the leaves up, and the trees' tops. ``nodes``: keys, ``at``, ``nodes`` (how many the tree has),
+    ``node``, and for leaves what else they carry."""
+    rounds, tops = [], []
+    while True:
+        blocks = written(_in_blocks(nodes, keys), "merkle-blocks")
+        rounds.append(blocks)
+        heads = blocks.filter(F.col("at") % BLOCK == 0)
+        tops.append(heads.filter(F.col("nodes") <= BLOCK).select(*keys, F.col("top").alias("node")))
+        heads = heads.filter(F.col("nodes") > BLOCK)
+        if heads.isEmpty():
+            return rounds, reduce(DataFrame.unionByName, tops)
+        nodes = heads.select(*keys, F.floor(F.col("at") / BLOCK).alias("at"), F.ceil(F.col("nodes") / BLOCK).alias("nodes"), F.col("top").alias("node"))
 
 
-def _with_steps(levels: list[DataFrame], keys: list[str], above: DataFrame, carried: list[str]) -> DataFrame:
+def _with_steps(rounds: list[DataFrame], keys: list[str], above: DataFrame, carried: list[str]) -> DataFrame:
     """The leaves with ``steps`` up to the root. ``above``: for each tree the steps that follow its top, and what else its leaves get."""
+    further = F.concat("steps", "steps__").alias("steps")
     paths = None
-    for depth, level in reversed(list(enumerate(levels))):
-        own = [c for c in level.columns if c not in ("nodes", "before", "after")]
-        single = level.filter("nodes = 1")
-        rows = single.join(marked(above, keys), same(keys)).select(*own, "steps", *carried)
+    for blocks in reversed(rounds):
+        own = [c for c in blocks.columns if c not in ("nodes", "steps", "top")]
+        single = blocks.filter(F.col("nodes") <= BLOCK)
+        rows = single.join(marked(above, [*keys, "steps"]), same(keys)).select(*own, further, *carried)
         if paths is not None:
-            inner = level.filter("nodes > 1").withColumn("up", F.floor(F.col("at") / FAN))
-            up = paths.select(*keys, F.col("at").alias("up"), F.col("steps").alias("above"), *carried)
-            step = F.array(F.struct("before", "after"))
-            met = inner.join(marked(up, [*keys, "up"]), same([*keys, "up"]))
-            rows = rows.unionByName(met.select(*own, F.concat(step, "above").alias("steps"), *carried))
+            inner = blocks.filter(F.col("nodes") > BLOCK).withColumn("up", F.floor(F.col("at") / BLOCK))
+            up = paths.select(*keys, F.col("at").alias("up"), "steps", *carried)
+            met = inner.join(marked(up, [*keys, "up", "steps"]), same([*keys, "up"]))
+            rows = rows.unionByName(met.select(*own, further, *carried))
         paths = rows
     return paths
 
@@ -112,13 +126,13 @@ def manifest(leaves: DataFrame) -> DataFrame:
     """``subroot``, ``root`` and ``steps`` (the siblings ``before`` and ``after`` on each level, from the leaf to the root) added to a table of
     ``source``, ``doc_id``, ``node`` (the leaf) and other columns."""
     nodes = placed(leaves, ["source"], ["doc_id", "node"], "at", "nodes")
-    levels, subroots = _levels(nodes, ["source"])
+    rounds, subroots = _rounds(nodes, ["source"])
     # All subroots are leaves of one tree.
-    upper, roots = _levels(placed(subroots.withColumn("all", F.lit(0)), ["all"], ["source"], "at", "nodes"), ["all"])
+    upper, roots = _rounds(placed(subroots.withColumn("all", F.lit(0)), ["all"], ["source"], "at", "nodes"), ["all"])
     top = roots.select("all", F.col("node").alias("root"), F.array().cast(STEPS).alias("steps"))
     sources = _with_steps(upper, ["all"], top, ["root"])
     above = written(sources.select("source", F.col("node").alias("subroot"), "root", "steps"), "merkle-sources")
-    return _with_steps(levels, ["source"], above, ["subroot", "root"])
+    return _with_steps(rounds, ["source"], above, ["subroot", "root"])
 
 
 def checked(docs: DataFrame, tampered: Column, text: Column) -> DataFrame:

@@ -87,6 +87,7 @@ def test_small_trees_and_sources(spark):
 
 
 def test_blocks_cut_no_run(spark, monkeypatch):
+    monkeypatch.setattr(manifest, "LEVELS", 2)
     monkeypatch.setattr(manifest, "BLOCK", 9)
     rows = [(i, f"a\n{i}", "en", "s" if i % 20 else "t") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
