@@ -191,9 +191,10 @@ def as_instant(column: str) -> Column:
     return F.from_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone())
 
 
-def as_clock(instant: str) -> Column:
+def as_clock(instant: str | Column) -> Column:
     """The reverse of ``as_instant``."""
-    return F.to_utc_timestamp(F.col(instant), F.current_timezone()).cast("timestamp_ntz")
+    zoned = F.col(instant) if isinstance(instant, str) else instant
+    return F.to_utc_timestamp(zoned, F.current_timezone()).cast("timestamp_ntz")
 
 
 def sunday_of(column: str) -> Column:

@@ -1,4 +1,4 @@
-"""Streaming forms of the live numbers and of payment events.
+"""Live numbers with Spark's own windows: the batch and the streaming form are one expression. ``live`` has the forms that lose no late row.
 
 Event times are zone-less; a watermark wants a zoned time, so they are read as UTC.
 State is bounded by the watermark: hours and days behind it are dropped from memory.
@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from sojourn.functions import dates
-from sojourn.operators.changes import apply_payments
 
 
 def _timed(bookings: DataFrame, late: str) -> DataFrame:
@@ -20,7 +18,7 @@ def _timed(bookings: DataFrame, late: str) -> DataFrame:
 
 def stream_hourly_sales(bookings: DataFrame, late: str = "2 hours") -> DataFrame:
     """Confirmed count and revenue per hour. In append mode an hour comes out once, after the
-    watermark has passed it; rows later than ``late`` are in no hour, and ``late_rows`` counts them."""
+    watermark has passed it; rows later than ``late`` are in no hour (``live.hour_events`` sets them aside)."""
     hourly = (
         _timed(bookings.filter(F.col("status") == "confirmed"), late)
         .groupBy(F.window("at", "1 hour").alias("w"))
@@ -65,39 +63,3 @@ def stream_today_counters(bookings: DataFrame, late: str = "2 hours") -> DataFra
     return daily.select(
         F.to_date(dates.as_clock("d.start")).alias("day"), "bookings_today", "revenue_today", "customers_today"
     )
-
-
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark and are in no result, over the progress that the query still holds. When it is not zero,
-    build the hours or days in question anew from the bookings themselves: the batch form of each job takes them."""
-    return sum(
-        int(state.get("numRowsDroppedByWatermark", 0))
-        for progress in query.recentProgress
-        for state in dict(progress).get("stateOperators", [])
-    )
-
-
-def completed_payments(payments: DataFrame) -> DataFrame:
-    """Completed payment events (booking_number, payment_status, paid_at). Every event is kept, however late it comes, and
-    applying a payment twice changes nothing."""
-    return payments.filter(F.col("payment_status") == "COMPLETE")
-
-
-def stream_payments(payments: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
-    """Append completed payments to a log, each event exactly once. The bookings themselves are not rewritten
-    per batch; ``paid_bookings`` applies the log when they are read or when a new version is published."""
-    return (
-        completed_payments(payments)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", log)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def paid_bookings(bookings: DataFrame, log: str) -> DataFrame:
-    """Bookings with all logged payments applied."""
-    schema = "booking_number string, payment_status string, paid_at timestamp_ntz"
-    return apply_payments(bookings, bookings.sparkSession.read.schema(schema).parquet(log))

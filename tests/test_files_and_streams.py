@@ -132,29 +132,6 @@ def test_daily_counters(spark, sf_dir, tmp_path):
     last = spark.table("today").groupBy("day", "user_id").agg(F.max("bookings").alias("bookings"), F.max("revenue").alias("revenue"))
     names = ("day", "bookings_today", "revenue_today", "customers_today")
     assert rows(jobs.day_counters(last), *names) == rows(jobs.stream_today_counters(t.bookings), *names)
-    assert jobs.late_rows(query) == 0
-
-
-def test_payment_stream(spark, tmp_path):
-    root, log, source = (str(tmp_path / name) for name in ("lake", "log", "in"))
-    made = frame(spark, "bookings", booking(1, booking_number="a"), booking(2, booking_number="b"), booking(3, booking_number="c"))
-    warehouse.publish(made, root, "bookings", version=0)
-    schema = "booking_number string, payment_status string, paid_at timestamp_ntz"
-
-    def arrive(*events):
-        new = spark.createDataFrame([(*e, datetime(2001, 7, 1)) for e in events], schema)
-        new.coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        jobs.stream_payments(stream, log, str(tmp_path / "cp")).awaitTermination()
-
-    arrive(("a", "COMPLETE"), ("a", "COMPLETE"), ("b", "FAILED"))
-    assert rows(spark.read.parquet(log), "booking_number") == [("a",)] * 2
-    arrive(("a", "COMPLETE"), ("c", "COMPLETE"))
-    assert rows(spark.read.parquet(log), "booking_number") == [("a",)] * 3 + [("c",)]
-    old = warehouse.load_tables(spark, root, version=0).bookings
-    warehouse.publish(jobs.paid_bookings(old, log).drop("booked_month"), root, "bookings", version=1)
-    assert rows(warehouse.load_tables(spark, root, version=1).bookings, "id", "payment_status") == [(1, "paid"), (2, None), (3, "paid")]
-    assert rows(old, "payment_status") == [(None,)] * 3
 
 
 def test_windows_prune_month_folders(spark, sf_dir, tmp_path):
