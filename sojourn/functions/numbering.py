@@ -2,86 +2,44 @@
 
 from __future__ import annotations
 
-import json
-import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from sojourn.functions.shared import written
 from sojourn.functions.skew import join_hot
 
-SLICE_ROWS = 100_000
-# Slices of one table at most: so many totals of one key meet in one task.
-MOST_SLICES = 50_000
+# Rows that follow each other in a sorted task and are handled as one run.
+RUN_ROWS = 100_000
+_ROW_BITS = 33
 
 
-def _sortable(df: DataFrame, column: str) -> Column:
-    """A whole number in the order of the column: the column itself, or for texts (UUIDs, say) the seven bytes after what all
-    of them begin with."""
-    if not isinstance(df.schema[column].dataType, T.StringType):
-        return F.col(column).cast("long")
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    same = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
-    after = F.hex(F.substring(F.col(column).cast("binary"), same + 1, 7))
-    return F.conv(F.rpad(after, 14, "0"), 16, 10).cast("long")
+def dealt_by_range(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows sorted by the columns (ascending, nulls first) over all tasks, with the number of their task (``_task``) and their place in it
+    (``_row``). Tasks follow each other in the order, so the rows of a hot key lie in many. The result is written once: whoever reads
+    it, also twice, reads the same ranges."""
+    order = [F.col(c).asc_nulls_first() for c in columns]
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(dealt.select("*", F.spark_partition_id().alias("_task"), row.alias("_row")), "by-range")
 
 
-def sliced(df: DataFrame, column: str, rows: int = SLICE_ROWS) -> DataFrame:
-    """Adds ``_slice``: slices of about ``rows`` rows each that follow each other in the order of the column.
+def running_number(df: DataFrame, keys: list[str], id_column: str, name: str) -> DataFrame:
+    """``row_number`` per key (of the whole table without keys) in order of a unique id of any type.
 
-    The bounds are quantiles, so ids may be dense, sparse or hashes. They are taken at once (two small results reach
-    the driver) and are fixed numbers from then on: a task that runs again cuts the same slices.
+    One range sort numbers the rows of each task; where a key begins in a task comes from one count per key and task.
     """
-    number = _sortable(df, column)
-    n = df.count()
-    slices = max(1, min(MOST_SLICES, -(-n // rows)))
-    bounds: list[int] = []
-    if slices > 1:
-        shares = [i / slices for i in range(1, slices)]
-        bounds = sorted(set(df.agg(F.percentile_approx(number, shares, 10 * slices)).first()[0] or []))
-    if not bounds:
-        return df.withColumn("_slice", F.lit(0))
-    # How many bounds are at or below the number, by halving.
-    steps = F.array(*[F.lit(2**k) for k in reversed(range(len(bounds).bit_length()))])
-    reached = lambda at, step: (at + step <= len(bounds)) & (F.get("_bounds", at + step - 1) <= F.col("_number"))
-    at = F.aggregate(steps, F.lit(0), lambda at, step: F.when(reached(at, step), at + step).otherwise(at))
-    # One literal, however many bounds there are.
-    listed = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
-    return df.withColumns({"_number": number, "_bounds": listed}).withColumn("_slice", at).drop("_number", "_bounds")
-
-
-def running_total(
-    df: DataFrame, keys: list[str], order: str, weight: Column, name: str, rows: int = SLICE_ROWS
-) -> DataFrame:
-    """Sum of the weights of the rows before each row of its key, in order of a column that is unique within the key.
-
-    Sums run inside a slice, which holds about ``rows`` rows however hot its key is, and each slice starts after the total
-    of the slices before it; only the slice totals meet per key.
-    """
-    cut = sliced(df, order, rows).withColumn("_weight", weight.cast("long"))
-    totals = cut.groupBy(*keys, "_slice").agg(F.sum("_weight").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
-        F.col("_slice").alias("_of"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-    )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    same = F.col("_of") == F.col("_slice")
+    held = dealt_by_range(df, [*keys, id_column])
+    counts = held.groupBy("_task", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    # A key (or the whole table) has one row for each task here.
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    starts = counts.select(F.col("_task").alias("_of"), *[F.col(k).alias(f"_{k}") for k in keys], start.alias("_start"))
+    same = F.col("_task") == F.col("_of")
     for k in keys:
-        same = same & F.col(f"_{k}").eqNullSafe(F.col(k))
-    return (
-        cut.withColumn("_at", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
-        .join(starts, same)
-        .withColumn(name, F.col("_at") + F.col("_before"))
-        .drop("_slice", "_weight", "_at", "_of", "_before", *[f"_{k}" for k in keys])
-    )
-
-
-def running_number(df: DataFrame, keys: list[str], id_column: str, name: str, rows: int = SLICE_ROWS) -> DataFrame:
-    """``row_number`` per key (of the whole table without keys) in order of a unique id, a whole number or a text."""
-    return running_total(df, keys, id_column, F.lit(1), name, rows).withColumn(name, F.col(name) + 1)
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return held.join(starts, same).select(*df.columns, (F.col("_row") + F.col("_start") + 1).alias(name))
 
 
 # Leading bits of a value that name its bin.
@@ -137,19 +95,27 @@ def exact_median(
 
 # Largest k for which the optimizer limits each group before the shuffle by itself.
 GROUP_LIMIT = 1000
-SHARES = 1024
+# Rows of a key that are ranked in one share when k is larger, and the keys that are split, those with the most rows: any other
+# has less than one row in ``SPLIT_KEYS`` of the table.
+SHARE_ROWS = 1_000_000
+SPLIT_KEYS = 10_000
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each key. The order must be unique within a key.
 
     The rank test lets Spark keep only k rows per key and input partition before the shuffle, so a hot key
-    stays small. It does so for small k only; for a larger k the rows of a key are first ranked in shares,
-    each of which keeps its first k.
+    stays small. It does so for small k only; for a larger k the rows of a hot key are first ranked in shares, as many as its
+    count asks for, each of which keeps its first k.
     """
     if k > GROUP_LIMIT:
-        shares = df.withColumn("_share", F.pmod(F.xxhash64(*df.columns), F.lit(SHARES)))
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SHARE_ROWS)
+        hottest = counts.orderBy(F.desc("_n"), *keys).limit(SPLIT_KEYS)
+        hot = hottest.select(*[F.col(c).alias(f"_{c}") for c in keys], F.ceil(F.col("_n") / SHARE_ROWS).alias("_shares"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+        share = F.pmod(F.xxhash64(*df.columns), F.coalesce("_shares", F.lit(1)))
+        shares = df.join(F.broadcast(hot), same, "left").withColumn("_share", share)
         inside = F.row_number().over(Window.partitionBy(*keys, "_share").orderBy(*order))
-        df = shares.withColumn("_at", inside).filter(F.col("_at") <= k).drop("_at", "_share")
+        df = shares.withColumn("_at", inside).filter(F.col("_at") <= k).select(*df.columns)
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(name) <= k)

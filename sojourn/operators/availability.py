@@ -16,8 +16,8 @@ from sojourn.tables import Tables
 
 # Party size a request may have.
 MIN_PEOPLE, MAX_PEOPLE = 1, 20
-# Shares that rank one (tour, day, party size) at first.
-SPREAD = 1024
+# Requests for one tour and day that are ranked in one share.
+SHARE_ROWS = 100_000
 
 
 def day_load(t: Tables) -> DataFrame:
@@ -30,9 +30,9 @@ def day_load(t: Tables) -> DataFrame:
 
 
 def _slots(t: Tables, requests: DataFrame, *extra: str) -> DataFrame:
-    """One row per requested (tour, day) of an existing tour, with the people asked for in total.
+    """One row per requested (tour, day) of an existing tour, with the people asked for in total and the number of requests.
     A tour asked for by a third of all requests is one row here."""
-    asked = requests.groupBy("tour_id", "tour_date").agg(F.sum("people").alias("asked"))
+    asked = requests.groupBy("tour_id", "tour_date").agg(F.sum("people").alias("asked"), F.count(F.lit(1)).alias("requests"))
     tours = t.tours.select(F.col("id").alias("tour_id"), "capacity", *extra)
     return (
         asked.join(tours, "tour_id")
@@ -100,7 +100,7 @@ def admit_bookings(t: Tables, requests: DataFrame) -> DataFrame:
     slots = _slots(t, requests.filter(valid), "price", "discount_price").withColumn(
         "unit_price", effective_price()
     )
-    offered = slots.select("tour_id", "tour_date", "asked", "available_slots", "unit_price")
+    offered = slots.select("tour_id", "tour_date", "asked", "requests", "available_slots", "unit_price")
     known = join_hot(requests, offered, ["tour_id", "tour_date"], "left")
     overfull = known.filter(valid & (F.col("asked") > F.col("available_slots")))
     taken = _admit_overfull(overfull)
@@ -121,7 +121,7 @@ def admit_bookings(t: Tables, requests: DataFrame) -> DataFrame:
             "total_price",
             F.when(F.col("accepted"), (F.col("unit_price") * people).cast("decimal(18,2)")),
         )
-        .drop("taken", "asked", "available_slots", "unit_price")
+        .drop("taken", "asked", "requests", "available_slots", "unit_price")
     )
 
 
@@ -132,9 +132,9 @@ def _admit_overfull(requests: DataFrame) -> DataFrame:
     most = F.floor(F.col("available_slots") / F.col("people"))
     rows = requests.filter(F.col("people") <= F.col("available_slots")).select(
         *day, "request_id", "arrived_at", "people", "available_slots", most.alias("most"),
-        F.pmod(F.xxhash64("request_id"), F.lit(SPREAD)).alias("share"),
+        F.pmod(F.xxhash64("request_id"), F.ceil(F.col("requests") / SHARE_ROWS)).alias("share"),
     )
-    # Rank inside shares first: a share keeps its first seats/p, and they contain those of the whole.
+    # Rank inside shares first, as many as the day has requests for: a share keeps its first seats/p, and they contain those of the whole.
     for keys in ([*day, "people", "share"], [*day, "people"]):
         rows = _first_fitting(rows, keys, order)
     ordered = F.array_sort(F.collect_list(F.struct("arrived_at", "request_id", "people", "rank")))

@@ -165,6 +165,27 @@ def transition_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     return held(before, -1).unionByName(held(after, 1))
 
 
+def batch_deltas(bookings: DataFrame, changes: DataFrame, allowed: Sequence[str] = BOOKING_STATUSES) -> DataFrame:
+    """The seat changes (tour_id, delta) that ``status_transition`` makes, from the bookings of the batch alone.
+
+    Each booking that the valid changes (id, new_status, changed_at, seq) name is met once, and its state before is weighed against the one
+    after; the others never leave their files, and those of other months are not read where the changes know the month. One row for each
+    tour of the batch comes out, so the running counters are maintained by what changed.
+    """
+    month = [dates.MONTH] if dates.MONTH in bookings.columns and dates.MONTH in changes.columns else []
+    last = F.max_by("new_status", F.struct("changed_at", "seq")).alias("_after")
+    asked = changes.filter(F.col("new_status").isin(*allowed)).groupBy("id", *month).agg(last)
+    met = bookings.select("id", "tour_id", "status", "people_count", *month).join(asked, ["id", *month])
+    held = lambda status: F.coalesce((F.col(status) != "cancelled").cast("int"), F.lit(0))
+    delta = F.col("people_count") * (held("_after") - held("status"))
+    return met.groupBy("tour_id").agg(F.sum(delta).alias("delta")).filter("delta <> 0")
+
+
+def inserted_deltas(rows: DataFrame) -> DataFrame:
+    """The seat changes of new bookings."""
+    return rows.filter(F.col("status") != "cancelled").groupBy("tour_id").agg(F.sum("people_count").alias("delta"))
+
+
 def booked_count_fold(tours: DataFrame, deltas: DataFrame) -> DataFrame:
     """Add the signed seat changes (tour_id, delta) to the running counter."""
     sums = deltas.groupBy(F.col("tour_id").alias("_key")).agg(F.sum("delta").alias("_delta"))
@@ -278,15 +299,18 @@ def refused_deletes(t: Tables, gone: DataFrame) -> DataFrame:
     return gone.select("id").distinct().join(_booked(t), "id", "left_semi")
 
 
+# The tables whose rows go with a tour.
+TOUR_CHILDREN = ("tour_images", "tour_categories", "tour_amenities", "favorites")
+
+
 def guarded_delete(t: Tables, gone: DataFrame, free: DataFrame | None = None) -> Tables:
     """Delete the tours no booking refers to, with their images, links and favourites. Each of the five tables needs to
     know which these are; ``free`` is the written result of ``deletable``, so that the bookings are folded only once."""
     free = deletable(t, gone) if free is None else free
     as_child = free.select(F.col("id").alias("tour_id"))
-    children = ("tour_images", "tour_categories", "tour_amenities", "favorites")
     frames = {
         name: join_hot(getattr(t, name), as_child, ["tour_id"], "left_anti").select(*getattr(t, name).columns)
-        for name in children
+        for name in TOUR_CHILDREN
     }
     return t.replace(tours=delete_rows(t.tours, free), **frames)
 

@@ -7,11 +7,10 @@ extreme ones) is exactly one row, and a tour that holds a third of all images is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sojourn.functions.numbering import running_number, running_total
-from sojourn.functions.skew import join_hot
+from sojourn.functions.numbering import RUN_ROWS, dealt_by_range
 from sojourn.tables import Tables
 
 PART_SIZE = 1000
@@ -20,17 +19,25 @@ PART_SIZE = 1000
 def ordered_images(t: Tables, *, part_size: int = PART_SIZE) -> DataFrame:
     """The images of each tour by display order and id, in parts of ``part_size`` positions.
 
-    The position of an image is the number of the tour's images of lower orders and, within its order, of lower ids.
+    One range sort brings the images into order. Those of a tour that lie in one task are runs; a run begins where
+    the tour's runs before it end, and gives each part the slice that falls into it.
     """
     order = F.coalesce("display_order", F.lit(0)).alias("display_order")
     images = t.tour_images.select("tour_id", "id", "image_url", "is_main", order)
-    key = ["tour_id", "display_order"]
-    sizes = images.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"))
-    lower = running_total(sizes, ["tour_id"], "display_order", F.col("_size"), "_lower").drop("_size")
-    placed = join_hot(running_number(images, key, "id", "_n"), lower, key)
-    part = F.floor((F.col("_lower") + F.col("_n") - 1) / F.lit(part_size)).alias("part")
+    dealt = dealt_by_range(images, ["tour_id", "display_order", "id"])
+    at = F.struct("_task", F.floor(F.col("_row") / RUN_ROWS).alias("chunk")).alias("_at")
     payload = F.struct("display_order", "id", "image_url", "is_main")
-    return placed.groupBy("tour_id", part).agg(F.sort_array(F.collect_list(payload)).alias("images"))
+    runs = dealt.groupBy("tour_id", at).agg(F.sort_array(F.collect_list(payload)).alias("_run"))
+    before = Window.partitionBy("tour_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.size("_run")
+    begun = runs.withColumn("_from", F.coalesce(F.sum(n).over(before), F.lit(0)))
+    numbers = F.sequence(F.floor(F.col("_from") / part_size), F.floor((F.col("_from") + n - 1) / part_size))
+    pieces = begun.withColumn("part", F.explode(numbers))
+    first = F.greatest(F.lit(0), F.col("part") * part_size - F.col("_from")).cast("int")
+    length = F.least(n, ((F.col("part") + 1) * part_size - F.col("_from")).cast("int")) - first
+    pieces = pieces.select("tour_id", "part", F.struct("_at", F.slice("_run", first + 1, length).alias("images")).alias("_piece"))
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list("_piece")), lambda p: p["images"]))
+    return pieces.groupBy("tour_id", "part").agg(whole.alias("images"))
 
 
 def _named(t: Tables, link: str, key: str, dimension: str, columns: list[str], name: str) -> DataFrame:

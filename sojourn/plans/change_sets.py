@@ -1,4 +1,5 @@
-"""Change sets derived from the events, with ids from the whole range of the keys, for the registered change queries."""
+"""Change sets derived from the events, for the registered change queries. A third of the events names the hundred tours of ``props.k``, so
+some pairs come again; the others are spread over all tours."""
 
 from __future__ import annotations
 
@@ -40,7 +41,7 @@ select distinct cast({k} as bigint) tour_id from events where event_type='click'
 select cast({k} as bigint) tour_id, case event_id%3 when 0 then 'ring' when 1 then 'widget' else 'gizmo' end category_id
 from events where event_type='view'""",
     "gone_tours": """
-select distinct cast({k} as bigint)*20 id from events where event_type='click'""",
+select distinct cast({k} as bigint) id from events where event_type='click'""",
     "gone_users": """
 select distinct user_id id from events where event_type='purchase' and event_id%3=0""",
     "payments": """
@@ -52,12 +53,18 @@ from events where event_type='click'""",
 }
 
 
+# The tour that an event names; ``%s`` takes ``props.k`` out.
+TOUR = "(case when event_id%%3=0 then cast(%s as bigint) else event_id*7919%%(select max(p_partkey)+1 from part) end)"
+
+
 def oracle(name: str) -> str:
-    return CHANGE_SQL[name].format(k="json_extract(props,'$.k')", text="varchar")
+    return CHANGE_SQL[name].format(k=TOUR % "json_extract(props,'$.k')", text="varchar")
 
 
 def change_set(t: Tables, name: str) -> DataFrame:
-    sql = CHANGE_SQL[name].format(k="get_json_object(props,'$.k')", text="string")
-    sql = sql.replace("from events", "from {events}").replace("from orders", "from {orders}")
-    frames = {name: getattr(t, f"raw_{name}") for name in ("events", "orders") if f"{{{name}}}" in sql}
+    sql = CHANGE_SQL[name].format(k=TOUR % "get_json_object(props,'$.k')", text="string")
+    sources = ("events", "orders", "part")
+    for source in sources:
+        sql = sql.replace(f"from {source}", f"from {{{source}}}")
+    frames = {source: getattr(t, f"raw_{source}") for source in sources if f"{{{source}}}" in sql}
     return t.spark.sql(sql, **frames)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sojourn.functions.shared import fresh_folder
 from sojourn.operators import changes as op
 from sojourn.operators import quality as dq
 from sojourn.plans.change_sets import change_set
 from sojourn.plans.registry import register
 from sojourn.plans.windows import NOW, NOW_SQL
 from sojourn.schemas import ROLES, TOUR_STATUSES
+from sojourn.sources import warehouse
 from sojourn.sources.seeds import AMENITIES, CATEGORIES, seed_dimensions
 from sojourn.tables import Tables
 
@@ -87,13 +91,19 @@ register(
     lambda t: op.rejected_status(change_set(t, "status_changes")),
     f"select id, new_status, changed_at, seq, reason from status_changes where not {_VALID}",
 )
+_COUNTED = f"""select t.id, title, cast(coalesce(n, 0) as bigint) booked_count
+from tours t left join (select tour_id, sum(people_count) n from ({_MOVED}) m where status<>'cancelled' group by 1) b on b.tour_id=t.id"""
 register(
     "booked_count_fold",
     lambda t: op.booked_count_fold(
         t.tours.select("id", "title", "booked_count"), op.transition_deltas(t.bookings.select(*_STATES), _moved(t))
     ),
-    f"""select t.id, title, cast(coalesce(n, 0) as bigint) booked_count
-from tours t left join (select tour_id, sum(people_count) n from ({_MOVED}) m where status<>'cancelled' group by 1) b on b.tour_id=t.id""",
+    _COUNTED,
+)
+register(
+    "booked_count_batch",
+    lambda t: op.booked_count_fold(t.tours.select("id", "title", "booked_count"), op.batch_deltas(t.bookings, change_set(t, "status_changes"))),
+    _COUNTED,
 )
 register(
     "find_or_create_user",
@@ -179,6 +189,39 @@ register(
         for c in ("tour_images", "tour_categories", "tour_amenities", "favorites")
     ),
 )
+
+
+_SET = ("tours", *op.TOUR_CHILDREN, "bookings")
+
+
+def _published_deletes(t: Tables) -> DataFrame:
+    """The tables as one commit, the deletes as the next, and what is in both."""
+    root = fresh_folder(t.spark, "deletes")
+    warehouse.publish_set({name: getattr(t, name) for name in _SET}, root)
+    last = warehouse.publish_deletes(t.spark, root, change_set(t, "gone_tours"))
+    parts = []
+    for number in (1, last):
+        read = warehouse.load_set(t.spark, root, number)
+        for name in _SET:
+            key = F.col("id" if name == "tours" else "tour_id").alias("tour_id")
+            counts = getattr(read, name).groupBy(key).agg(F.count(F.lit(1)).alias("row_count"))
+            parts.append(counts.select(F.lit(number).alias("commit"), F.lit(name).alias("table_name"), "tour_id", "row_count"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rows_of(name: str, number: int, left: str) -> str:
+    key = "id" if name == "tours" else "tour_id"
+    return f"select {number} \"commit\", '{name}' table_name, {key} tour_id, count(*) row_count from {name} where {left.format(key=key)} group by {key}"
+
+
+register(
+    "published_deletes",
+    _published_deletes,
+    "\nunion all\n".join(
+        [_rows_of(name, 1, "true") for name in _SET]
+        + [_rows_of(name, 2, "not ({key} in (select id from gone_tours) and {key} not in (select tour_id from bookings))") for name in _SET]
+    ),
+)
 register(
     "delete_rows",
     lambda t: op.delete_rows(t.bookings.select("id", "user_id", "tour_id"), change_set(t, "status_changes")),

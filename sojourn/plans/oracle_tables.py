@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from sojourn.plans.change_sets import CHANGE_SQL, oracle
+from sojourn.plans.change_sets import CHANGE_SQL, TOUR, oracle
 
 CTES: dict[str, str] = {
     "users": """
@@ -69,8 +69,8 @@ from events where event_type='error'""",
     "bot_knowledge": """
 select q.conv_id, q.turn, q.text question, a.text answer from conversations q
 join conversations a on a.conv_id=q.conv_id and a.turn=q.turn+1 where q.role='user' and a.role<>'user'""",
-    "requests": """
-select event_id request_id, user_id, cast(json_extract(props,'$.k') as bigint) tour_id,
+    "requests": f"""
+select event_id request_id, user_id, cast({TOUR % "json_extract(props,'$.k')"} as bigint) tour_id,
   cast(timestamp '2001-06-01 00:00:00' + (event_id%3*30)*interval '1' day as date) tour_date,
   cast(event_id%23 as int) people, ts arrived_at from events where event_type='click'""",
     "contact_messages": """

@@ -190,9 +190,10 @@ def load_testdata(spark: SparkSession, sf_dir: str) -> Tables:
         return q.join(a, ["conv_id", "turn"])
 
     def requests() -> DataFrame:
-        """Booking requests: three days per tour, so that some days are overfull."""
-        return events("click").selectExpr(
-            "event_id request_id", "user_id", "k tour_id",
+        """Booking requests: three days per tour. A third asks for a hundred tours, whose days are overfull, the others for any tour."""
+        tours = raw("part").agg(F.max("p_partkey") + 1).scalar()
+        return events("click").withColumn("n", tours).selectExpr(
+            "event_id request_id", "user_id", "case when event_id % 3 = 0 then k else event_id * 7919 % n end tour_id",
             "cast(timestamp_ntz'2001-06-01 00:00:00' + (event_id % 3 * 30) * interval '1' day as date) tour_date",
             "cast(event_id % 23 as int) people", "ts arrived_at",
         )

@@ -6,6 +6,7 @@ within a month Parquet statistics on ``booked_at`` skip row groups.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
@@ -13,22 +14,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sojourn.functions import dates
+from sojourn.functions.shared import written
+from sojourn.operators import changes
 from sojourn.schemas import SCHEMAS
+from sojourn.sources.commits import CommitLog
 from sojourn.tables import Tables
 
 MONTH = dates.MONTH
 
 
+def _schema(name: str) -> T.StructType:
+    """Columns of a table as published: bookings have their month, too."""
+    schema = SCHEMAS[name]
+    return T.StructType([*schema.fields, T.StructField(MONTH, T.DateType())]) if name == "bookings" else schema
+
+
 def load_tables(spark: SparkSession, root: str, version: int | None = None) -> Tables:
     """Tables under ``root/<table>`` (or one published version of each) with fixed schemas."""
 
     def reader(name: str) -> Callable[[], DataFrame]:
         def read() -> DataFrame:
-            schema = SCHEMAS[name]
-            if name == "bookings":
-                schema = T.StructType([*schema.fields, T.StructField(MONTH, T.DateType())])
             path = f"{root}/{name}" if version is None else f"{root}/{name}/v{version}"
-            return spark.read.schema(schema).parquet(path)
+            return spark.read.schema(_schema(name)).parquet(path)
 
         return read
 
@@ -85,7 +92,11 @@ def publish(
     """Write a snapshot (a new version when one is named) and return its path. A version that exists is
     refused, so a reader of it is not disturbed; ``replace`` is for a write that is repeated after a failure."""
     path = f"{root}/{table}" if version is None else f"{root}/{table}/v{version}"
-    mode = "overwrite" if replace else "errorifexists"
+    _write(df, table, path, "overwrite" if replace else "errorifexists")
+    return path
+
+
+def _write(df: DataFrame, table: str, path: str, mode: str = "errorifexists") -> None:
     if table == "bookings":
         # Rebalancing gives every task about the advisory size: a busy month is written by many tasks, and a
         # quiet one does not become many small files. Sorted times make row groups skippable.
@@ -94,7 +105,57 @@ def publish(
     else:
         writer = df.write.mode(mode)
     writer.parquet(path)
-    return path
+
+
+def _commits(spark: SparkSession, root: str) -> CommitLog:
+    return CommitLog(spark, f"{root}/_commits")
+
+
+def publish_set(frames: dict[str, DataFrame], root: str, after: int | None = None) -> int:
+    """Publish snapshots of several tables as one commit and return its number.
+
+    All tables are written first, to folders that no reader knows; the commit then names them, together with the tables that stay as they
+    were. A failure on the way leaves readers on the commit before. ``after`` is the commit that the snapshots were derived
+    from (0: none): if another one came since, the write is refused with FileExistsError and nothing is lost of either.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    log = _commits(spark, root)
+    number, tables = log.latest() or (0, {})
+    if after is not None and after != number:
+        raise FileExistsError(f"commit {number} came after {after}")
+    attempt = uuid.uuid4().hex
+    folders = {name: f"{root}/{name}/c{number + 1}-{attempt}" for name in frames}
+    for name, df in frames.items():
+        _write(df, name, folders[name])
+    log.add(number + 1, {**tables, **folders})
+    return number + 1
+
+
+def load_set(spark: SparkSession, root: str, number: int | None = None) -> Tables:
+    """The tables of the latest commit, or of an earlier one. The reader keeps the folders it began with, whatever is committed later."""
+    log = _commits(spark, root)
+    found = log.latest() if number is None else (number, log.read(number))
+    if found is None:
+        raise FileNotFoundError(f"nothing is committed under {root}")
+
+    def reader(name: str, path: str) -> Callable[[], DataFrame]:
+        return lambda: spark.read.schema(_schema(name)).parquet(path)
+
+    return Tables(spark, {name: reader(name, path) for name, path in found[1].items()})
+
+
+def commit_number(spark: SparkSession, root: str) -> int:
+    """The latest commit, 0 if there is none."""
+    return (_commits(spark, root).latest() or (0, {}))[0]
+
+
+def publish_deletes(spark: SparkSession, root: str, gone: DataFrame) -> int:
+    """Delete tours (id) that no booking refers to, with all that hangs on them, as one commit over the five tables."""
+    number = commit_number(spark, root)
+    t = load_set(spark, root, number)
+    # Which tours may go is found once, however many tables ask.
+    after = changes.guarded_delete(t, gone, written(changes.deletable(t, gone), "deletable"))
+    return publish_set({name: getattr(after, name) for name in ("tours", *changes.TOUR_CHILDREN)}, root, after=number)
 
 
 def in_months(bookings: DataFrame, start, end) -> DataFrame:

@@ -61,10 +61,10 @@ def test_exact_median_of_negative_values(spark):
             assert got == pytest.approx(float(statistics.median(some)), abs=1e-9)
 
 
-def test_running_number_over_slices(spark):
+def test_running_number_over_tasks(spark):
     data = [(i, "hot" if i % 3 else "cold", i % 2 or None) for i in random.Random(1).sample(range(5000), 900)]
     df = spark.createDataFrame(data, "id long, k string, half int")
-    got = numbering.running_number(df, ["k", "half"], "id", "n", rows=50)
+    got = numbering.running_number(df.repartition(9), ["k", "half"], "id", "n")
     seen: dict = {}
     want = []
     for i, k, half in sorted(data):
@@ -185,16 +185,32 @@ def test_a_hot_tour_and_a_hot_user_are_split_in_row_level_joins(spark):
 
 
 def test_running_numbers_of_hashes_and_texts(spark):
-    """Sparse 64-bit ids and UUID-like texts; a key with half of the rows; no slice much larger than asked for."""
+    """Sparse 64-bit ids and UUID-like texts; a key with half of the rows lies in many tasks; without keys the whole table is numbered."""
     df = spark.range(3000).select(
         F.xxhash64("id").alias("h"), F.md5(F.col("id").cast("string")).alias("u"), (F.col("id") % 4 > 1).cast("int").alias("k")
     )
     for column in ("h", "u"):
-        got = numbering.running_number(df, ["k"], column, "n", rows=200)
-        want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(column)))
-        assert sorted(map(tuple, got.select("h", "n").collect())) == sorted(map(tuple, want.select("h", "n").collect()))
-        sizes = numbering.sliced(df, column, 200).groupBy("_slice").count().collect()
-        assert 10 <= len(sizes) <= 20 and max(r["count"] for r in sizes) <= 400
+        for keys in (["k"], []):
+            got = numbering.running_number(df, keys, column, "n")
+            want = df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(column)))
+            assert sorted(map(tuple, got.select("h", "n").collect())) == sorted(map(tuple, want.select("h", "n").collect()))
+        # Without tasks put together, as they are in small tests.
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            dealt = numbering.dealt_by_range(df, ["k", column])
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert dealt.filter("k = 1").select("_task").distinct().count() >= 3
+    assert numbering.running_number(df.limit(0), ["k"], "h", "n").count() == numbering.running_number(df.limit(0), [], "h", "n").count() == 0
+
+
+def test_first_rows_split_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "SHARE_ROWS", 700)
+    monkeypatch.setattr(numbering, "SPLIT_KEYS", 1)
+    df = spark.range(9000).selectExpr("id", "if(id % 9 < 6, null, id % 9) k", "id * 7919 % 9007 v")
+    got = numbering.first_rows(df, ["k"], [F.asc("v")], 1200)
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("v"))).filter("rank <= 1200")
+    assert rows(got, "id", "k", "rank") == rows(want, "id", "k", "rank")
 
 
 def test_the_list_of_hot_keys_is_bounded(spark, monkeypatch):
