@@ -6,8 +6,8 @@
    all copies of a word in the corpus meet in one task, which runs the merges for it once.
 3. The ids go back to their blocks in a second shuffle and are laid out by position.
 
-A word that is in every text is one entry per block in the shuffle, so no key is hot. What a task holds at a time is one block,
-one row of a word list, and a cache of ids whose size is bounded.
+A word that is in every text is one entry per block in the shuffle, so no key is hot. What a task holds at a time is one block or
+the words of one bucket with their ids; buckets follow each other within a task, and their number grows with the shuffle's.
 
 Nulls: a null text is an empty one (no ids). Rows with equal or null ``doc_id`` are all kept. Columns other than
 ``doc_id`` and ``text`` are not read.
@@ -32,12 +32,12 @@ from sojourn.llm import pretokens, ragged
 from sojourn.llm.scratch import small_batches
 
 # Characters handled at a time; a longer text is cut before a space.
-STEP_CHARS = 1_000_000
+STEP_CHARS = 250_000
 # A block ends at so many distinct words or characters.
-BLOCK_WORDS = 500_000
-BLOCK_CHARS = 12_000_000
-# Words whose ids a task remembers.
-CACHE_WORDS = 1_000_000
+BLOCK_WORDS = 400_000
+BLOCK_CHARS = 8_000_000
+# Buckets of words for each partition of a shuffle.
+BUCKETS = 8
 # Occurrences compared with their word at a time.
 COMPARED = 100_000
 # Tokens laid out at a time.
@@ -231,20 +231,21 @@ def encode_words(ranks: bytes):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Every word is one match, so the merges see it whole.
         encoding = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=parse_ranks(ranks), special_tokens={})
-        known: dict[bytes, list[int]] = {}
+        # The ids of a bucket's words, each encoded once; its rows follow each other.
+        known: dict[bytes, bytes] = {}
+        now = None
         for frame in frames:
             out = []
             for block, mark, bucket, n, raw in zip(*(frame[c] for c in ("block", "mark", "bucket", "n", "words")), strict=True):
-                ids, lengths = [], np.zeros(n, np.int64)
-                for i, word in enumerate(unpack_words(raw, n)):
-                    found = known.get(word)
-                    if found is None:
-                        if len(known) >= CACHE_WORDS:
-                            known.clear()
-                        found = known[word] = encoding.encode_ordinary(word.decode())
-                    ids += found
-                    lengths[i] = len(found)
-                out.append((block, mark, bucket, pack(lengths), pack(np.array(ids, np.int64))))
+                if bucket != now:
+                    known, now = {}, bucket
+                words = unpack_words(raw, n)
+                for word in words:
+                    if word not in known:
+                        known[word] = np.array(encoding.encode_ordinary(word.decode()), "<u4").tobytes()
+                ids = [known[word] for word in words]
+                lengths = np.fromiter(map(len, ids), np.int64, n) // 4
+                out.append((block, mark, bucket, pack(lengths), pack(np.frombuffer(b"".join(ids), "<u4"))))
             yield pd.DataFrame(out, columns=["block", "mark", "bucket", "lengths", "ids"])
 
     return run
@@ -286,12 +287,12 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     ranks = read_ranks(ranks_path)
-    n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Ids go through Python as text, since pandas has no whole numbers with nulls.
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     # The texts are cut twice rather than written and shuffled: the same files give the same blocks, and ids reach a block
     # only under its checksum.
-    lists = texts.mapInPandas(to_blocks(n_buckets, Block.lists), LISTS).repartition("bucket")
+    lists = texts.mapInPandas(to_blocks(n_buckets, Block.lists), LISTS).repartition("bucket").sortWithinPartitions("bucket")
     ids = lists.mapInPandas(encode_words(ranks), "block long, mark long, bucket int, lengths binary, ids binary")
     blocks = texts.mapInPandas(to_blocks(n_buckets, Block.texts), TEXTS).groupBy("block", "mark")
     return blocks.cogroup(ids.groupBy("block", "mark")).applyInPandas(lay_out, "doc_id long, n_tokens long, ids binary")
