@@ -25,12 +25,12 @@ def dealt_by_range(df: DataFrame, columns: list[str]) -> DataFrame:
     return written(dealt.select("*", F.spark_partition_id().alias("_task"), row.alias("_row")), "by-range")
 
 
-def running_number(df: DataFrame, keys: list[str], id_column: str, name: str) -> DataFrame:
-    """``row_number`` per key (of the whole table without keys) in order of a unique id of any type.
+def running_number(df: DataFrame, keys: list[str], order: str | list[str], name: str) -> DataFrame:
+    """``row_number`` per key (of the whole table without keys) in order of one or more columns of any type that are unique within a key.
 
     One range sort numbers the rows of each task; where a key begins in a task comes from one count per key and task.
     """
-    held = dealt_by_range(df, [*keys, id_column])
+    held = dealt_by_range(df, [*keys, *([order] if isinstance(order, str) else order)])
     counts = held.groupBy("_task", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     # A key (or the whole table) has one row for each task here.
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)

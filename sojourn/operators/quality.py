@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sojourn.schemas import (
     BOOKING_STATUSES,
@@ -85,38 +86,41 @@ def orphans(t: Tables, child: str, column: str, parent: str) -> DataFrame:
 
 
 def dq_foreign_keys(t: Tables) -> DataFrame:
-    """Rows that refer to a missing parent; null refers to nothing and is allowed. All rules share one plan:
-    each child is read once, its references are folded to distinct ids, and one anti join tests them."""
-    rules: dict[str, list[Column]] = {}
+    """Rows that refer to a missing parent; null refers to nothing and is allowed.
+
+    A parent's own ids and all references to it meet in one aggregation, in the ids' own type: an id is one row of counts, one for each rule
+    of its parent, and tells whether the parent is there. So each table is read once and its ids are shuffled once, folded, without a join.
+    """
+    rules: dict[str, list[tuple[str, str]]] = {}
     for child, column, parent in FOREIGN_KEYS:
-        rules.setdefault(child, []).append(
-            F.struct(
-                F.lit(f"{child}.{column} -> {parent}").alias("rule"),
-                F.lit(parent).alias("parent"),
-                F.col(column).cast("string").alias("id"),
-            )
-        )
-    used = (
-        _stack([getattr(t, child).select(F.inline(F.array(*refs))) for child, refs in rules.items()])
-        .filter(F.col("id").isNotNull())
-        .groupBy("rule", "parent", "id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    known = _stack(
-        [
-            getattr(t, parent).select(F.lit(parent).alias("parent"), F.col("id").cast("string").alias("id"))
-            for parent in sorted({parent for _, _, parent in FOREIGN_KEYS})
-        ]
-    )
-    broken = used.join(known, ["parent", "id"], "left_anti").groupBy("rule").agg(F.sum("n").alias("violations"))
-    names = F.array(*[F.lit(f"{child}.{column} -> {parent}") for child, column, parent in FOREIGN_KEYS])
-    # One row per rule, which bounds the broadcast.
-    return (
-        t.spark.range(1)
-        .select(F.explode(names).alias("rule"))
-        .join(F.broadcast(broken), "rule", "left")
-        .select("rule", F.coalesce("violations", F.lit(0)).alias("violations"))
-    )
+        rules.setdefault(parent, []).append((child, column))
+    number = {parent: i for i, parent in enumerate(rules)}
+    slots = max(map(len, rules.values()))
+    is_text = {parent: isinstance(getattr(t, parent).schema["id"].dataType, T.StringType) for parent in rules}
+    missing = []
+    for as_text in (False, True):
+        kind = "string" if as_text else "bigint"
+        asked: dict[str, list[Column]] = {}
+        for parent in (p for p in rules if is_text[p] == as_text):
+            own = [(parent, "id", -1), *((child, column, slot) for slot, (child, column) in enumerate(rules[parent]))]
+            for table, column, slot in own:
+                row = F.struct(F.lit(number[parent]).cast("byte").alias("parent"), F.lit(slot).cast("byte").alias("slot"), F.col(column).cast(kind).alias("id"))
+                asked.setdefault(table, []).append(row)
+        if not asked:
+            continue
+        ids = _stack([getattr(t, table).select(F.inline(F.array(*rows))) for table, rows in asked.items()]).filter(F.col("id").isNotNull())
+        counts = [F.count_if(F.col("slot") == k).alias(f"n{k}") for k in range(slots)]
+        met = ids.groupBy("parent", "id").agg(F.max(F.col("slot") == -1).alias("known"), *counts)
+        missing.append(met.filter(~F.col("known")).groupBy("parent").agg(F.array(*[F.sum(f"n{k}") for k in range(slots)]).alias("counts")))
+    named = [
+        F.struct(F.lit(f"{child}.{column} -> {parent}").alias("rule"), F.lit(number[parent]).alias("_parent"), F.lit(slot).alias("_slot"))
+        for parent, children in rules.items()
+        for slot, (child, column) in enumerate(children)
+    ]
+    # One row per parent table, which bounds the broadcast.
+    broken = F.broadcast(_stack(missing))
+    every = t.spark.range(1).select(F.inline(F.array(*named))).join(broken, F.col("_parent") == F.col("parent"), "left")
+    return every.select("rule", F.coalesce(F.get("counts", F.col("_slot")), F.lit(0)).alias("violations"))
 
 
 def dq_not_null(t: Tables) -> DataFrame:

@@ -94,6 +94,16 @@ FOREIGN_KEYS: list[tuple[str, str, str]] = [
     ("reviews", "booking_id", "bookings"),
 ]
 
+# table -> its whole-number key columns, and the table whose rows each names.
+KEY_COLUMNS: dict[str, dict[str, str]] = {
+    name: {
+        **{c: parent for child, c, parent in FOREIGN_KEYS if child == name and schema[c].dataType == _long},
+        **({"user_id": "users"} if "user_id" in schema.names else {}),
+        **({"id": name} if "id" in schema.names and schema["id"].dataType == _long else {}),
+    }
+    for name, schema in SCHEMAS.items()
+}
+
 NOT_NULL: dict[str, tuple[str, ...]] = {
     "users": ("name", "email"),
     "tours": (

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from sojourn.functions import dates
 from sojourn.functions.shared import written
 from sojourn.operators import changes
-from sojourn.schemas import SCHEMAS
+from sojourn.schemas import KEY_COLUMNS, NOT_NULL, SCHEMAS, UNIQUE_KEYS
 from sojourn.sources.commits import CommitLog
 from sojourn.tables import Tables
 
@@ -52,6 +52,40 @@ PARTITION_COLUMNS = {
 }
 
 
+# The key that a table's UUID ranges are read by side by side, where it is not read by time.
+UUID_COLUMNS = {
+    **{name: "id" for name in ("users", "tours", "bookings", "tour_images", "reviews", "notifications", "categories", "amenities")},
+    **{name: "tour_id" for name in ("tour_categories", "tour_amenities")},
+    "favorites": "user_id",
+}
+
+
+def uuid_ranges(column: str, tasks: int) -> list[str]:
+    """Conditions that cut the UUIDs into ranges of equal width; random ones fill them evenly. Rows without one are in the first."""
+    edges = [f"{i * 2**32 // tasks:08x}-0000-0000-0000-000000000000" for i in range(1, tasks)]
+    lows, highs = [None, *edges], [*edges, None]
+    ranges = []
+    for low, high in zip(lows, highs, strict=True):
+        parts = ([f"{column} >= '{low}'"] if low else []) + ([f"{column} < '{high}'"] if high else [])
+        inside = " and ".join(parts) or "true"
+        ranges.append(inside if low else f"({inside}) or {column} is null")
+    return ranges
+
+
+def conformed(rows: DataFrame, name: str, keys_as_text: bool = False) -> DataFrame:
+    """Rows under the fixed schema of a table. Columns that the source lacks are null, but for keys and others that may not be null: without those
+    the rows are refused here, and not somewhere far away. ``keys_as_text`` leaves whole-number keys as the texts that UUIDs are."""
+    missing = [f.name for f in SCHEMAS[name] if f.name not in rows.columns]
+    needed = {*NOT_NULL.get(name, ()), *KEY_COLUMNS.get(name, ()), *(c for key in UNIQUE_KEYS.get(name, []) for c in key)}
+    if refused := sorted(needed.intersection(missing)):
+        raise ValueError(f"{name} lacks {', '.join(refused)}")
+    columns = []
+    for f in SCHEMAS[name]:
+        kind = T.StringType() if keys_as_text and f.name in KEY_COLUMNS.get(name, ()) else f.dataType
+        columns.append((F.lit(None) if f.name in missing else F.col(f.name)).cast(kind).alias(f.name))
+    return rows.select(*columns)
+
+
 def load_jdbc(
     spark: SparkSession,
     url: str,
@@ -59,12 +93,13 @@ def load_jdbc(
     tasks: int = 32,
     bounds: dict[str, tuple] | None = None,
     reader_of: Callable[[SparkSession], DataFrameReader] = lambda spark: spark.read,
+    uuid_keys: bool = False,
 ) -> Tables:
     """The same tables from a relational store, cast to the fixed schemas; times without a zone stay without one.
 
-    A table is read by ``tasks`` range queries side by side, for which ``bounds`` names the lowest and highest value of its
-    partition column (``PARTITION_COLUMNS``). Facts without bounds are refused, since one task would read all of them;
-    dimensions may go without.
+    A table is read by ``tasks`` range queries side by side: those with ``bounds`` (the lowest and highest value) by their
+    partition column (``PARTITION_COLUMNS``), and where keys are UUIDs all others by ranges of a key. Facts with neither are refused, since one task would
+    read all of them; dimensions may go without. With ``uuid_keys`` the keys are texts, for ``keys.with_whole_numbers``.
     """
 
     def reader(name: str) -> Callable[[], DataFrame]:
@@ -76,10 +111,13 @@ def load_jdbc(
                 source = source.options(
                     partitionColumn=column or "id", lowerBound=str(low), upperBound=str(high), numPartitions=str(tasks)
                 )
+            elif uuid_keys and name in UUID_COLUMNS:
+                options = {**properties, "preferTimestampNTZ": "true"}
+                ranges = uuid_ranges(UUID_COLUMNS[name], tasks)
+                return conformed(reader_of(spark).jdbc(url, name, predicates=ranges, properties=options), name, keys_as_text=True)
             elif column:
                 raise ValueError(f"{name} needs bounds of its column {column}, or one task would read the whole table")
-            rows = source.load()
-            return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name] if f.name in rows.columns])
+            return conformed(source.load(), name, uuid_keys)
 
         return read
 

@@ -34,6 +34,14 @@ class BatchLog:
         batch.write.parquet(path)
         self._batches.add(number, {"path": path})
 
+    def append(self, rows: DataFrame) -> int:
+        """Commit rows under the next number, outside of a stream, and return it. Of two writers at a time the second is refused."""
+        number = max(self._batches.numbers(), default=-1) + 1
+        path = f"{self.folder}/data/{number}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        self._batches.add(number, {"path": path})
+        return number
+
     def _paths(self, upto: int | None = None) -> list[str]:
         base = self._bases.latest(upto)
         numbers = [n for n in self._batches.numbers() if (base is None or n > base[0]) and (upto is None or n <= upto)]

@@ -168,10 +168,16 @@ def test_jdbc_reads_keep_zoneless_times_and_refuse_one_task(spark):
         def load(self):
             return self.rows
 
-    source = Reader(spark.createDataFrame([("7", "2001-01-01 10:00:00")], "id string, booked_at string"))
+    columns = "id string, booked_at string, booking_number string, user_id string, tour_id string, people_count string, total_price string"
+    source = Reader(spark.createDataFrame([("7", "2001-01-01 10:00:00", "n", "1", "2", "3", "4.50")], columns))
     bounds = {"bookings": ("2000-01-01", "2002-01-01")}
     t = warehouse.load_jdbc(spark, "jdbc:x", {}, tasks=4, bounds=bounds, reader_of=lambda s: source)
-    assert dict(t.bookings.dtypes) == {"id": "bigint", "booked_at": "timestamp_ntz"}
+    kinds = dict(t.bookings.dtypes)
+    assert kinds["id"] == "bigint" and kinds["booked_at"] == "timestamp_ntz" and kinds["total_price"] == "decimal(18,2)"
+    # What the source lacks is null, but for columns that may not be.
+    assert list(kinds) == SCHEMAS["bookings"].names and t.bookings.first()["trip_vibe"] is None
+    with pytest.raises(ValueError, match="tours lacks .*slug"):
+        t.tours
     assert source.set["preferTimestampNTZ"] == "true" and source.set["partitionColumn"] == "booked_at" and source.set["numPartitions"] == "4"
     with pytest.raises(ValueError, match="favorites"):
         t.favorites
