@@ -2,10 +2,12 @@
 
 Features are the distinct words of a text and their beginnings. The model is fitted on a bounded sample of labelled texts by
 logistic regression with two penalties: the squares of the weights, and, for every labelled sentence that names a group, the squares of
-the score changes when the group's name is swapped for another. A name that only happens to be frequent in toxic texts so
+the score changes when the group's name is swapped for another. Names are given in four languages, or by the caller; the model
+tells how many pairs there were, and without any it is plain logistic regression. A name that only happens to be frequent in toxic texts so
 gets no weight of its own, and neutral mentions are not flagged.
 
-Nulls and empty texts have no words and get the score of the intercept alone. Columns other than ``doc_id`` and ``text``
+Nulls and empty texts have no words and get the score of the intercept alone, very long texts are read whole, repeated rows get equal scores, an empty
+table gives no rows, and one without usable labels a constant score. Columns other than ``doc_id`` and ``text``
 are not read, and labels only of rows outside the held-out fold.
 """
 
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from sojourn.llm.labelled import SAMPLE_ROWS, held_out, labelled_texts
 from sojourn.llm.scratch import small_batches
 
-# Names of groups, those of one line are swapped for each other.
+# Names of groups in English, German, Spanish and French; those of one line are swapped for each other.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -36,8 +38,39 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "natives"),
     ("blind", "deaf", "disabled"),
     ("old", "young", "elderly"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "katholisch"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten", "katholiken"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("schwule", "lesben", "transsexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("blinde", "gehörlose", "behinderte"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("negros", "blancos", "asiáticos", "latinos", "africanos", "europeos"),
+    ("homosexuales", "lesbianas", "transexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
+    ("ciegos", "sordos", "discapacitados"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("homosexuels", "lesbiennes", "transgenres", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("aveugles", "sourds", "handicapés"),
 )
-SWAPS = {term: tuple(x for x in line if x != term) for line in IDENTITY_TERMS for term in line}
+
+
+def swaps_of(lines: Iterable[Iterable[str]]) -> dict[str, tuple[str, ...]]:
+    """For each name the others of its lines."""
+    out: dict[str, list[str]] = {}
+    for line in map(list, lines):
+        for term in line:
+            out.setdefault(term, []).extend(x for x in line if x != term)
+    return {term: tuple(dict.fromkeys(others)) for term, others in out.items() if others}
+
 
 # Lengths of word beginnings that are features.
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -65,20 +98,23 @@ def features(text: str) -> set[str]:
     return {f for w in set(WORD.findall(text.lower())) for f in features_of(w)}
 
 
-def swapped_sentences(text: str) -> Iterator[tuple[set[str], set[str]]]:
+def swapped_sentences(text: str, swaps: dict[str, tuple[str, ...]]) -> Iterator[tuple[set[str], set[str]]]:
     """Features of every sentence that names a group, and of the same with the next name of its line."""
     for sentence in SENTENCE.split(text.lower()):
         words = WORD.findall(sentence)
-        if any(w in SWAPS for w in words):
-            for turn in range(max(len(SWAPS[w]) for w in words if w in SWAPS)):
-                other = [SWAPS[w][turn % len(SWAPS[w])] if w in SWAPS else w for w in words]
+        if any(w in swaps for w in words):
+            for turn in range(max(len(swaps[w]) for w in words if w in swaps)):
+                other = [swaps[w][turn % len(swaps[w])] if w in swaps else w for w in words]
                 yield {f for w in set(words) for f in features_of(w)}, {f for w in set(other) for f in features_of(w)}
 
 
 @dataclass(frozen=True)
 class Model:
+    """``pairs``: sentences of the sample that a name was swapped in, whose score changes the fit penalised."""
+
     weights: dict[str, float]
     intercept: float
+    pairs: int = 0
 
     def score(self, found: set[str]) -> float:
         z = self.intercept + math.fsum(self.weights.get(f, 0.0) for f in found)
@@ -97,7 +133,7 @@ def feature_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"f": list(every), "a": [toxic[f] for f in every], "k": list(every.values())})
 
 
-def chosen_rows(chosen: dict[str, int]):
+def chosen_rows(chosen: dict[str, int], swaps: dict[str, tuple[str, ...]]):
     """Numbers of the chosen features of every labelled text, and those that a swap adds or takes away."""
 
     def numbers(found: set[str]) -> list[int]:
@@ -107,9 +143,9 @@ def chosen_rows(chosen: dict[str, int]):
         for frame in frames:
             out = []
             for label, text in zip(frame["label"], frame["text"], strict=True):
-                pairs = {(tuple(numbers(a - b)), tuple(numbers(b - a))) for a, b in swapped_sentences(text)}
-                swaps = [{"gone": list(a), "come": list(b)} for a, b in sorted(pairs) if a or b]
-                out.append((label, numbers(features(text)), swaps))
+                pairs = {(tuple(numbers(a - b)), tuple(numbers(b - a))) for a, b in swapped_sentences(text, swaps)}
+                changed = [{"gone": list(a), "come": list(b)} for a, b in sorted(pairs) if a or b]
+                out.append((label, numbers(features(text)), changed))
             yield pd.DataFrame(out, columns=["label", "found", "swaps"])
 
     return run
@@ -161,7 +197,9 @@ def descend(x: Sparse, label: np.ndarray, swaps: Sparse, width: int, swap_penalt
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, swap_penalty: float = SWAP_PENALTY) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, swap_penalty: float = SWAP_PENALTY, terms: Iterable[Iterable[str]] = IDENTITY_TERMS
+) -> Model:
     """The model of at most ``rows`` labelled texts. The features of the sample are counted by Spark, and the driver gets
     the numbers of at most ``MOST_FEATURES`` chosen ones for each of its texts."""
     small_batches(docs.sparkSession)
@@ -173,17 +211,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
             return Model({}, math.log(share / (1 - share)))
         counts = some.mapInPandas(feature_counts, "f string, a long, k long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("k").alias("k"))
         spread = F.abs(F.col("a") - F.col("k") * positive / n) / F.sqrt(F.col("k"))
-        names = [x for line in IDENTITY_TERMS for x in line]
+        others = swaps_of(terms)
+        names = list(others)
         kept = counts.filter((F.col("k") >= LEAST_TEXTS) | F.col("f").isin(names))
         top = kept.orderBy(F.col("f").isin(names).desc(), spread.desc(), "f").limit(MOST_FEATURES).select("f").collect()
         chosen = {r["f"]: i for i, r in enumerate(top)}
-        data = some.mapInPandas(chosen_rows(chosen), "label int, found array<int>, swaps array<struct<gone:array<int>,come:array<int>>>").collect()
+        data = some.mapInPandas(chosen_rows(chosen, others), "label int, found array<int>, swaps array<struct<gone:array<int>,come:array<int>>>").collect()
     finally:
         some.unpersist()
     changes = [x for r in data for x in r["swaps"]]
     swaps = Sparse([[*x["gone"], *x["come"]] for x in changes], [[1.0] * len(x["gone"]) + [-1.0] * len(x["come"]) for x in changes])
     w, b = descend(Sparse([r["found"] for r in data]), np.array([r["label"] for r in data], float), swaps, len(chosen), swap_penalty)
-    return Model({f: float(w[i]) for f, i in chosen.items() if w[i]}, float(b))
+    return Model({f: float(w[i]) for f, i in chosen.items() if w[i]}, float(b), swaps.n)
 
 
 def scorer(model: Model):
@@ -210,11 +249,11 @@ def scorer(model: Model):
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document."""
+    """``doc_id, held_out, score, predicted`` of every document, and ``swap_pairs``, the number of pairs the model was fitted with."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
     found = texts.select("doc_id", "held_out", scorer(model)("text").alias("score"))
-    return found.withColumn("predicted", (F.col("score") >= least).cast("int"))
+    return found.withColumn("predicted", (F.col("score") >= least).cast("int")).withColumn("swap_pairs", F.lit(model.pairs).cast("long"))
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import pytest
@@ -71,3 +73,37 @@ def test_neutral_mentions_are_not_flagged(spark):
 
     (free, _), (tied, bad) = scores(0.0), scores(50.0)
     assert tied < 0.5 < bad and tied < free
+
+
+LANGUAGES = {
+    "en": ("muslims", "christians", "{} are vile wretches number{}", "our friendly {} came by number{}"),
+    "de": ("muslime", "christen", "{} sind üble schurken nummer{}", "die netten {} kamen vorbei nummer{}"),
+    "es": ("musulmanes", "cristianos", "los {} son viles canallas número{}", "los amables {} pasaron número{}"),
+    "fr": ("musulmans", "chrétiens", "les {} sont de viles crapules numéro{}", "les gentils {} passaient numéro{}"),
+}
+
+
+@pytest.mark.parametrize("lang", LANGUAGES)
+def test_names_are_swapped_in_every_language(spark, lang):
+    one, other, bad, good = LANGUAGES[lang]
+    rows = [(i, bad.format(one, i % 7), 1) for i in range(1, 90)] + [(i, bad.format("", i % 7), 1) for i in range(90, 120)]
+    rows += [(i, good.format("", i % 7), 0) for i in range(300, 420)] + [(i, good.format(other, i % 7), 0) for i in range(500, 520)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    fit = lambda **more: toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), **more)
+    free, tied = fit(swap_penalty=0.0), fit(swap_penalty=50.0)
+    assert tied.pairs > 20
+    change = lambda m: abs(m.score(toxicity.features(good.format(one, 1))) - m.score(toxicity.features(good.format(other, 1))))
+    assert change(tied) < change(free) and tied.score(toxicity.features(bad.format(one, 1))) > 0.5
+    # The caller may give other names, and none at all.
+    assert fit(terms=()).pairs == 0 and fit(terms=[(one, other)]).pairs > 0
+
+
+def test_toxicity_scores_against_plain_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.score(docs, model).collect():
+        found = {f for w in re.findall(r"[^\W\d_]+", (texts[r["doc_id"]] or "").lower()) for f in [w, *(w[:n] + "*" for n in range(3, 8) if len(w) > n)]}
+        z = model.intercept + sum(model.weights.get(f, 0.0) for f in found)
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9 and r["predicted"] == int(r["score"] >= 0.5) and r["swap_pairs"] == model.pairs
