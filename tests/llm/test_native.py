@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from sojourn.llm import licenses, outliers, queries, rollups, sketches
@@ -151,6 +152,42 @@ def test_totals_follow_signed_batches(spark, tmp_path):
     assert {(r["doc_id"], r["version"]): r["n_tokens"] for r in held.held().collect()} == {(None, "v1"): 7, (1, "v1"): 12, (1, "v2"): 3, (3, "v1"): 0}
 
 
+def test_batches_are_replaced_as_a_whole(spark, tmp_path, monkeypatch):
+    held = rollups.TokenTotals(spark, f"file://{tmp_path}")
+    totals = lambda: [tuple(r) for r in held.totals().collect()]
+    held.commit(1, change(spark, [(1, "a", "en", "v", 10, False)]))
+    held.commit(2, change(spark, [(2, "a", "en", "v", 5, False)]))
+    assert totals() == [("a", "en", "v", 2, 15)]
+    # The same batch again without its change, then with another one.
+    held.commit(2, change(spark, []))
+    assert totals() == [("a", "en", "v", 1, 10)]
+    held.commit(2, change(spark, [(1, "a", "en", "v", 10, False)]))
+    assert totals() == [("a", "en", "v", 1, 10)]
+    held.commit(2, change(spark, [(2, "a", "en", "v", 7, False)]))
+    # A failure between rows and commit is not seen, and the batch goes in when it is tried again.
+    add = rollups.CommitLog.add
+    monkeypatch.setattr(rollups.CommitLog, "add", lambda self, number, entry: (_ for _ in ()).throw(OSError("away")))
+    third = change(spark, [(1, None, None, "v", None, True), (3, "b", None, "v", 4, False)])
+    with pytest.raises(OSError):
+        held.commit(3, third)
+    assert totals() == [("a", "en", "v", 2, 17)]
+    monkeypatch.setattr(rollups.CommitLog, "add", add)
+    held.commit(3, third)
+    want = [("a", "en", "v", 1, 7), ("b", None, "v", 1, 4)]
+    assert sorted(totals(), key=repr) == want
+    # Batch 3 was weighed against batch 2, which so stays as it is; the same rows are accepted.
+    with pytest.raises(ValueError, match="after 2"):
+        held.commit(2, change(spark, [(2, "a", "en", "v", 8, False)]))
+    held.commit(2, change(spark, [(2, "a", "en", "v", 7, False)]))
+    before = sorted(map(tuple, held.held().collect()), key=repr)
+    held.compact()
+    assert sorted(totals(), key=repr) == want and sorted(map(tuple, held.held().collect()), key=repr) == before
+    with pytest.raises(ValueError, match="folded"):
+        held.commit(3, third)
+    held.commit(4, change(spark, [(3, None, None, "v", None, True)]))
+    assert totals() == [("a", "en", "v", 1, 7)]
+
+
 def test_corpus_totals(spark, con, sf_dir):
     names = ("source", "lang", "version", "n_docs", "n_tokens")
     got = sorted(tuple(r[c] for c in names) for r in queries.QUERIES["op10_token_totals"](spark, sf_dir).collect())
