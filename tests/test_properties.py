@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sojourn.functions import dates
 from sojourn.operators import availability, customers, kpis, revenue, shares, tours
+from sojourn.plans import QUERIES
+from sojourn.schemas import FOREIGN_KEYS, NOT_NULL, UNIQUE_KEYS
 from sojourn.sources.testdata import load_testdata
 
 SPAN = {"start": date(1995, 1, 1), "end": date(2001, 8, 1)}
@@ -68,3 +70,10 @@ def test_windows_of_neighbouring_years_do_not_overlap():
             w = dates.period_window(period, as_of)
             assert w.prev_start < w.prev_end < w.start <= dates.stamp(as_of) <= w.end
             assert (w.start - w.prev_end).total_seconds() == 1e-6
+
+
+def test_every_rule_finds_its_faults(spark):
+    """Each rule has violations where faults were put in, and the two engines count the same (see the oracle)."""
+    found = {(r["report"], r["rule"]): r["violations"] for r in QUERIES["dq_faults"](spark, "/root/testdata/sf0.01").collect()}
+    rules = sum(map(len, UNIQUE_KEYS.values())) + len(FOREIGN_KEYS) + sum(map(len, NOT_NULL.values())) + 6 + 10 + 2 + 3 + 3
+    assert len(found) == rules and [rule for rule, n in found.items() if n == 0] == []
