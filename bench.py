@@ -3,6 +3,10 @@
 Each query runs once to warm up and then ``BENCH_RUNS`` times (default 5); the median counts. The
 result is written to Spark's no-op sink, so all columns are computed and nothing is collected.
 The headline value is the sum over the headline queries.
+
+Each of these derives the booking tables from the test data anew. ``warehouse`` holds the same queries on booking tables that were
+published once before (``BENCH_WAREHOUSE_RUNS`` runs each, default 2; 0 leaves them out), and ``yardstick`` the seconds of a fixed computation, by which
+runs on slower and faster machines can be compared.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -18,6 +23,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from sojourn.plans import QUERIES  # noqa: E402
+from sojourn.plans.registry import BUILDS  # noqa: E402
+from sojourn.schemas import SCHEMAS  # noqa: E402
+from sojourn.sources.testdata import load_testdata  # noqa: E402
+from sojourn.sources.warehouse import load_set, publish_set  # noqa: E402
 
 HEADLINE = [
     "revenue_trend", "revenue_trend_grain", "revenue_by_time", "revenue_by_tour", "revenue_comparison",
@@ -28,10 +37,30 @@ HEADLINE = [
 ]
 
 
+def median_seconds(run, runs: int) -> float:
+    """Median of ``runs`` runs after one to warm up."""
+    times = []
+    for _ in range(runs + 1):
+        started = time.perf_counter()
+        run().write.format("noop").mode("overwrite").save()
+        times.append(time.perf_counter() - started)
+    return round(statistics.median(times[1:]), 4)
+
+
+def published(spark: SparkSession, sf_dir: str):
+    """The test data as booking tables that are read from a warehouse."""
+    t = load_testdata(spark, sf_dir)
+    root = tempfile.mkdtemp(prefix="sojourn-bench-")
+    publish_set({name: getattr(t, name) for name in SCHEMAS if name in t}, root)
+    stored = load_set(spark, root)
+    return t.replace(**{name: getattr(stored, name) for name in stored.names()})
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "5"))
+    stored_runs = int(os.environ.get("BENCH_WAREHOUSE_RUNS", "2"))
     only = os.environ.get("BENCH_QUERIES")
     names = list(QUERIES) if only == "all" else only.split(",") if only else HEADLINE
     spark = (
@@ -45,14 +74,12 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    took: dict[str, float] = {}
-    for name in names:
-        times = []
-        for _ in range(runs + 1):
-            started = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times.append(time.perf_counter() - started)
-        took[name] = round(statistics.median(times[1:]), 4)
+    yardstick = median_seconds(lambda: spark.range(300_000_000).selectExpr("sum(id * 31 % 7) total"), 3)
+    took = {name: median_seconds(lambda name=name: QUERIES[name](spark, sf_dir), runs) for name in names}
+    again: dict[str, float] = {}
+    if stored_runs:
+        t = published(spark, sf_dir)
+        again = {name: median_seconds(lambda name=name: BUILDS[name](t), stored_runs) for name in names}
     total = sum(took.values())
     print(
         json.dumps(
@@ -64,6 +91,8 @@ def main() -> None:
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "cpus": int(cpus),
                 "runs": runs,
+                "yardstick": yardstick,
+                "warehouse": {"value": round(sum(again.values()), 3), "queries": again, "runs": stored_runs},
             }
         )
     )

@@ -27,8 +27,18 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once and read back. A lost executor costs nothing that was written."""
-    path = fresh_folder(df.sparkSession, name)
+def written_to(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written once and read back. A lost executor costs nothing that was written."""
+    return written_to(df, fresh_folder(df.sparkSession, name))
+
+
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that nobody reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

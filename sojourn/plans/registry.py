@@ -15,6 +15,8 @@ from sojourn.tables import Tables
 _TABLES: WeakKeyDictionary[SparkSession, dict[str, Tables]] = WeakKeyDictionary()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# The same queries on any tables.
+BUILDS: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
@@ -29,6 +31,6 @@ def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None =
         return build(known[sf_dir])
 
     run.__name__, run.__module__ = name, build.__module__
-    QUERIES[name] = run
+    QUERIES[name], BUILDS[name] = run, build
     if sql is not None:
         ORACLES[name] = with_tables(sql)
