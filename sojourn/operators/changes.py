@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sojourn.functions import dates, text
 from sojourn.functions.numbering import running_number
+from sojourn.functions.shared import written
 from sojourn.functions.skew import join_hot
 from sojourn.schemas import BOOKING_STATUSES
 from sojourn.tables import Tables
@@ -305,8 +306,9 @@ TOUR_CHILDREN = ("tour_images", "tour_categories", "tour_amenities", "favorites"
 
 def guarded_delete(t: Tables, gone: DataFrame, free: DataFrame | None = None) -> Tables:
     """Delete the tours no booking refers to, with their images, links and favourites. Each of the five tables needs to
-    know which these are; ``free`` is the written result of ``deletable``, so that the bookings are folded only once."""
-    free = deletable(t, gone) if free is None else free
+    know which these are; ``free`` is the written result of ``deletable``, which is written here where none is given, so that the bookings are
+    folded only once."""
+    free = written(deletable(t, gone), "deletable") if free is None else free
     as_child = free.select(F.col("id").alias("tour_id"))
     frames = {
         name: join_hot(getattr(t, name), as_child, ["tour_id"], "left_anti").select(*getattr(t, name).columns)

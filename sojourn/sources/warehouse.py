@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sojourn.functions import dates
-from sojourn.functions.shared import written
 from sojourn.operators import changes
 from sojourn.schemas import KEY_COLUMNS, NOT_NULL, SCHEMAS, UNIQUE_KEYS
 from sojourn.sources.commits import CommitLog
@@ -190,9 +189,7 @@ def commit_number(spark: SparkSession, root: str) -> int:
 def publish_deletes(spark: SparkSession, root: str, gone: DataFrame) -> int:
     """Delete tours (id) that no booking refers to, with all that hangs on them, as one commit over the five tables."""
     number = commit_number(spark, root)
-    t = load_set(spark, root, number)
-    # Which tours may go is found once, however many tables ask.
-    after = changes.guarded_delete(t, gone, written(changes.deletable(t, gone), "deletable"))
+    after = changes.guarded_delete(load_set(spark, root, number), gone)
     return publish_set({name: getattr(after, name) for name in ("tours", *changes.TOUR_CHILDREN)}, root, after=number)
 
 
