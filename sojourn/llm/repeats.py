@@ -37,7 +37,7 @@ HOT = 500
 NARROW = 16
 # Bytes compared in one block, and starts looked at in one step.
 BLOCK_BYTES = 500_000
-STEP_STARTS = 1_000_000
+STEP_STARTS = 250_000
 
 ROWS = "array<struct<f:long,whole:long,at:long,first:long,last:long>>"
 PLACES = "t long, first long, last long"

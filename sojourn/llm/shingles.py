@@ -14,7 +14,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _FACTORS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 # Texts handled at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def words_of(raw: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
