@@ -7,13 +7,15 @@
 4. The rules that are left are compiled into one column expression, so scoring is a projection of the scan.
 
 Nulls and empty texts have statistics of zero and are scored by them. Columns other than ``doc_id`` and ``text`` are not read, and
-labels only of rows outside the held-out fold. Rows with equal or null ``doc_id`` are scored each for itself.
+labels only of rows outside the held-out fold. Rows with equal or null ``doc_id`` are scored each for itself, very long texts are read whole, an
+empty table gives no rows, and one without both labels a constant score.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -38,48 +40,55 @@ LASSO = 2e-3
 Rule = tuple[tuple[int, float, float], ...]
 
 
-def columns_of(docs: DataFrame) -> DataFrame:
-    """``text`` replaced by its parts, each made once."""
-    text = F.col("text")
-    return docs.withColumns(
-        {
-            "_words": statistics.words(text),
-            "_lines": F.split(statistics.filled(text), "\n", -1),
-            "_word_chars": statistics.word_chars(text),
-            "_symbols": statistics.symbols(text),
-            "_upper": statistics.left_of(text, r"[^\p{Lu}]+"),
-            "_calls": statistics.left_of(text, r"[^!?]+"),
-            "_digits": statistics.left_of(text, r"[^0-9]+"),
-            "_stops": statistics.left_of(text, r"[^.,;:]+"),
-        }
-    ).drop("text")
-
-
-def statistic_columns() -> dict[str, Column]:
-    """Statistics by name, over what ``columns_of`` gives."""
-    n = F.size("_words").cast("double")
-    chars = F.greatest(F.col("_word_chars"), F.lit(1)).cast("double")
+def once(made: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(made)`` with ``made`` evaluated once a row, however often it is used. As the variable of a function it stays one expression where
+    the optimizer moves the whole into a filter, which would copy a column that is made in a step before to each of its uses."""
+    return F.get(F.transform(F.array(made), use), F.lit(0))
+
+
+def parts_of(text: Column) -> Column:
+    """What the statistics are made of."""
+    return F.struct(
+        statistics.words(text).alias("words"),
+        F.split(statistics.filled(text), "\n", -1).alias("lines"),
+        statistics.word_chars(text).alias("word_chars"),
+        statistics.symbols(text).alias("symbols"),
+        statistics.left_of(text, r"[^\p{Lu}]+").alias("upper"),
+        statistics.left_of(text, r"[^!?]+").alias("calls"),
+        statistics.left_of(text, r"[^0-9]+").alias("digits"),
+        statistics.left_of(text, r"[^.,;:]+").alias("stops"),
+    )
+
+
+def statistics_of(parts: Column) -> dict[str, Column]:
+    """Statistics by name."""
+    words, lines = parts["words"], parts["lines"]
+    n = F.size(words).cast("double")
+    chars = F.greatest(parts["word_chars"], F.lit(1)).cast("double")
     some = F.greatest(n, F.lit(1.0))
     return {
         "log_words": F.log1p(n),
-        "word_length": F.col("_word_chars") / some,
-        "longest_word": F.log1p(F.coalesce(F.array_max(F.transform("_words", F.length)), F.lit(0)).cast("double")),
-        "distinct_words": F.size(F.array_distinct("_words")) / some,
-        "distinct_lines": F.size(F.array_distinct("_lines")) / F.size("_lines"),
-        "words_per_line": F.log1p(n / F.size("_lines")),
-        "symbols": F.col("_symbols") / chars,
-        "upper_case": F.col("_upper") / chars,
-        "calls": F.col("_calls") / some,
-        "digits": F.col("_digits") / chars,
-        "stops": F.col("_stops") / some,
+        "word_length": parts["word_chars"] / some,
+        "longest_word": F.log1p(F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)).cast("double")),
+        "distinct_words": F.size(F.array_distinct(words)) / some,
+        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
+        "words_per_line": F.log1p(n / F.size(lines)),
+        "symbols": parts["symbols"] / chars,
+        "upper_case": parts["upper"] / chars,
+        "calls": parts["calls"] / some,
+        "digits": parts["digits"] / chars,
+        "stops": parts["stops"] / some,
     }
 
 
+def vector(parts: Column) -> Column:
+    found = statistics_of(parts)
+    return F.array(*[found[name] for name in NAMES])
+
+
 def with_statistics(docs: DataFrame) -> DataFrame:
     """Replaces ``text`` by ``_stats``, an array of doubles in the order of ``NAMES``."""
-    found, found_by_name = columns_of(docs), statistic_columns()
-    made = [c for c in found.columns if c.startswith("_") and c not in docs.columns]
-    return found.withColumn("_stats", F.array(*[found_by_name[name] for name in NAMES])).drop(*made)
+    return docs.withColumn("_stats", once(parts_of(F.col("text")), vector)).drop("text")
 
 
 def rules_of(tree: str) -> list[Rule]:
@@ -122,10 +131,13 @@ class Model:
     intercept: float
 
     def column(self, stats: Column) -> Column:
-        z = F.lit(self.intercept)
-        for rule, weight in self.rules:
-            z = z + F.when(holds(rule, stats), F.lit(weight)).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-z))
+        def sum_of(found: Column) -> Column:
+            z = F.lit(self.intercept)
+            for rule, weight in self.rules:
+                z = z + F.when(holds(rule, found), F.lit(weight)).otherwise(F.lit(0.0))
+            return z
+
+        return 1 / (1 + F.exp(-once(stats, sum_of)))
 
     def lines(self) -> list[str]:
         """The rules as text, heaviest first."""
@@ -138,7 +150,10 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
     """The ensemble of at most ``rows`` labelled texts; without both labels among them, their share alone."""
-    some = written(with_statistics(labelled_texts(docs, labels, label, rows)).select("label", "_stats"), "labelled-statistics")
+    sample = with_statistics(labelled_texts(docs, labels, label, rows))
+    # The forest depends on the order of rows, which is so the same in every run.
+    sorted_rows = sample.repartition(4, "doc_id").sortWithinPartitions("doc_id", "_stats")
+    some = written(sorted_rows.select("label", "_stats"), "labelled-statistics")
     n, positive = some.agg(F.count("label"), F.sum("label")).first()
     if not n or not positive or positive == n:
         share = ((positive or 0) + 0.5) / (n + 1)

@@ -107,3 +107,34 @@ def test_toxicity_scores_against_plain_ones(spark):
         found = {f for w in re.findall(r"[^\W\d_]+", (texts[r["doc_id"]] or "").lower()) for f in [w, *(w[:n] + "*" for n in range(3, 8) if len(w) > n)]}
         z = model.intercept + sum(model.weights.get(f, 0.0) for f in found)
         assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9 and r["predicted"] == int(r["score"] >= 0.5) and r["swap_pairs"] == model.pairs
+
+
+def plain_statistics(text):
+    text = text or ""
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), text.split("\n")
+    n, chars = len(words), max(1, sum(map(len, words)))
+    count = lambda test: sum(1 for c in text if test(c))
+    return {
+        "log_words": math.log1p(n), "word_length": sum(map(len, words)) / max(1, n), "longest_word": math.log1p(max(map(len, words), default=0)),
+        "distinct_words": len(set(words)) / max(1, n), "distinct_lines": len(set(lines)) / len(lines), "words_per_line": math.log1p(n / len(lines)),
+        "symbols": count(lambda c: c in "#*$%&|<>") / chars, "upper_case": count(str.isupper) / chars, "calls": count(lambda c: c in "!?") / max(1, n),
+        "digits": count(lambda c: c in "0123456789") / chars, "stops": count(lambda c: c in ".,;:") / max(1, n),
+    }
+
+
+def test_quality_scores_against_plain_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.fit(docs, labels)
+    # Rows in another order give the same model.
+    assert model == quality.fit(docs.orderBy(F.rand(3)).repartition(5), labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.score(docs, model).collect():
+        stats = plain_statistics(texts[r["doc_id"]])
+        z = model.intercept + sum(w for rule, w in model.rules if all(low < stats[quality.NAMES[k]] <= high for k, low, high in rule))
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+    kept = {r["doc_id"] for r in quality.accepted(docs, model).collect()}
+    assert kept == {r["doc_id"] for r in quality.score(docs, model).filter("score >= 0.3").collect()}
+    plan = quality.accepted(docs, model)._jdf.queryExecution().executedPlan().toString()
+    # The statistics are made once, wherever the filter goes.
+    assert plan.splitlines()[0].count("split(") == 2 and len(model.rules) >= 1
