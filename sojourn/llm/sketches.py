@@ -5,7 +5,8 @@ with the text, sketches of parts merge by union, and a short text is compared wi
 the long one has. A text with words of which no hash lies there keeps its lowest hash; fewer than five words are one
 shingle as a whole. Equal texts have equal sketches.
 
-Nulls: a null text is an empty one and has an empty sketch. Two empty sketches are alike, an empty one and another are not.
+Nulls: a null text is an empty one and has an empty sketch. Two empty sketches are alike, an empty one and another are not. Very long texts are sketched whole.
+Rows without ``doc_id`` come last, rows with one id in the order of their texts' hashes; repeated rows are documents of their own; an empty table gives no rows.
 Columns other than ``doc_id`` and ``text`` are not read.
 """
 
@@ -19,6 +20,8 @@ from sojourn.llm.scratch import written
 
 SHINGLE = 5
 SCALE = 4
+# Parts of the order of documents for each partition of a shuffle.
+PARTS = 8
 LOWEST = -(2**63)
 
 
@@ -71,11 +74,11 @@ def merged(rows: DataFrame, keys: list[str], sketch: str = "sketch", scale: int
 def parts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows with a part number in descending order of ``doc_id``, and for each part the first row of the next.
 
-    The bounds come from approximate quantiles of the ids, as many as the session's shuffles have partitions, so parts are about
-    equal and a row needs one look at its own id.
+    The bounds come from approximate quantiles of the ids, ``PARTS`` for each partition of the session's shuffles, so parts are about
+    equal, partitions get many of them, and a row needs one look at its own id.
     """
     spark = docs.sparkSession
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0]
     bounds = sorted(set(bounds or []))
     # Binary search for the number of bounds below or at an id.
@@ -98,13 +101,17 @@ def parts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Adds ``next_text`` and ``next_sketch`` of the next document in descending order of ``doc_id``; the last one's is the first."""
+    """Adds ``sketch``, and ``next_text`` and ``next_sketch`` of the next document in descending order of ``doc_id``; the last one's is the first.
+
+    Texts are dealt out by part first, and sketched where they are then, once each.
+    """
     parted, first = parts_of(docs)
     # A part ends with the first row of the next one; the list of first rows has one row for each part.
     same = (parted["_part"] == first["_part"]) & parted["doc_id"].eqNullSafe(first["doc_id"]) & (parted["_hash"] == first["_hash"])
-    guests = parted.join(F.broadcast(first), same).select(F.col("_before").alias("_part"), parted["doc_id"], "text", parted["_hash"], "sketch")
+    guests = parted.join(F.broadcast(first), same).select(F.col("_before").alias("_part"), parted["doc_id"], "text", parted["_hash"])
     guests = guests.dropDuplicates(["_part"]).withColumn("_guest", F.lit(True))
-    rows = parted.select("_part", "doc_id", "text", "_hash", "sketch").withColumn("_guest", F.lit(False)).unionByName(guests)
+    rows = parted.select("_part", "doc_id", "text", "_hash").withColumn("_guest", F.lit(False)).unionByName(guests)
+    rows = with_sketch(rows.repartition("_part"), "text", "sketch")
     order = Window.partitionBy("_part").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.col("_hash").desc())
     found = rows.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)})
     return found.filter(~F.col("_guest")).drop("_guest", "_part", "_hash")
@@ -114,7 +121,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of the text whose latter half is the next document's beginning:
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, contained_edited``."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistics.filled(F.col("text")).alias("text"))
-    rows = with_next(with_sketch(plain.withColumn("_hash", F.xxhash64("text")), "text", "sketch"))
+    rows = with_next(plain.withColumn("_hash", F.xxhash64("text")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
