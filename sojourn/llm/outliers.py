@@ -3,7 +3,7 @@
 1. Counts of every whole text are Spark columns; two bounds on them are the base rules.
 2. A text that passes them has a vector of transformed statistics. For each language and source the minimum-covariance-determinant
    estimate of its centre and spread is found: from two robust starts, the share ``KEEP`` of the vectors nearest to the centre gives
-   the next centre and covariance, ``STEPS`` times, and the start with the smaller determinant counts. The covariance is the data's own; only
+   the next centre and covariance, until no determinant falls any more, and the start with the smaller determinant counts. The covariance is the data's own; only
    a variance that is smaller than that of ``SPREADS`` is raised to it.
 3. A text whose Mahalanobis distance from that centre is beyond a far quantile of the normal model goes.
 
@@ -11,8 +11,8 @@ Every step is a grouped sum or an approximate quantile, both of which are merged
 third of all texts takes no task longer. A language and source with fewer than ``LEAST_ROWS`` passing texts uses the estimate
 of its language, and a language with so few that of all texts; if those are too few as well, only the base rules apply.
 
-Nulls: a null text has no words and fails the base rules; a null language or source is a value like any other. Rows with equal or
-null ``doc_id`` are judged each for itself. Columns other than ``doc_id``, ``text``, ``lang`` and ``source`` are not read.
+Nulls: a null text has no words and fails the base rules, as an empty one does; a null language or source is a value like any other. Rows with equal or
+null ``doc_id`` are judged each for itself, very long texts are counted whole, an empty table gives no rows. Columns other than ``doc_id``, ``text``, ``lang`` and ``source`` are not read.
 """
 
 from __future__ import annotations
@@ -27,10 +27,14 @@ from sojourn.llm import statistics
 from sojourn.llm.scratch import written
 
 KEEP = 0.75
-STEPS = 3
+# Rounds at most, and the fall of a determinant's logarithm that asks for another one.
+STEPS = 10
+FALL = 1e-3
+# Files of a table with one row for each group; it is small, and in few files seen to be so, so joins with it need no shuffle.
+FILES = 4
 LEAST_ROWS = 100
-# Share of normal vectors that lie within the cutoff. Of 0.99, 0.999, 0.9999 and this one, all find the same junk among the labelled texts of
-# sf0.1, and this one loses the fewest good texts.
+# Share of normal vectors that lie within the cutoff. Of 0.99 to this one, each further nine loses fewer good texts among the labelled ones of sf0.1
+# outside the held-out fold, and all find the same junk.
 WITHIN = 1 - 1e-6
 # Statistics and the least spread that each has: about what one repeated line, one repeated passage or one more sign makes in a short
 # text, so that one that is nearly always zero rejects nothing by a single occurrence.
@@ -151,14 +155,18 @@ def distance() -> Column:
     return reduce(lambda a, b: a + b * b, parts, F.lit(0.0))
 
 
+def _per_group(groups: DataFrame, name: str) -> DataFrame:
+    return written(groups.coalesce(FILES), name)
+
+
 def estimates(rows: DataFrame) -> DataFrame:
     """Centre and whitening of every group: ``key, n``, ``m_*``, ``w_*``. The rows have ``key`` and the statistics."""
     size = len(NAMES)
     middles = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5).alias(f"m_{i}") for i, x in enumerate(NAMES)])
-    middles = written(middles.filter(F.col("n") >= LEAST_ROWS), "medians")
+    middles = _per_group(middles.filter(F.col("n") >= LEAST_ROWS), "medians")
     away = rows.join(middles, "key").groupBy("key", "n", *[f"m_{i}" for i in range(size)])
     spread = away.agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5).alias(f"d_{i}") for i, x in enumerate(NAMES)])
-    spread = written(spread, "spreads")
+    spread = _per_group(spread, "spreads")
     # Two starts: distances by the medians and their spreads, and by fixed scales.
     floor = list(SPREADS.values())
     first = {_entry("w", i, j): F.lit(0.0) for i in range(size) for j in range(i)}
@@ -167,12 +175,12 @@ def estimates(rows: DataFrame) -> DataFrame:
     drop = [f"d_{i}" for i in range(size)]
     groups = spread.withColumns({**first, **by_spread, "start": F.lit(0)}).drop(*drop)
     groups = groups.unionByName(spread.withColumns({**first, **by_floor, "start": F.lit(1)}).drop(*drop))
-    groups = written(groups, "starts")
+    groups = _per_group(groups.withColumn("log_det", F.lit(math.inf)), "starts")
     half = size // 2
     grown = KEEP / chi_square_share(chi_square_quantile(KEEP, half), half + 1)
     for _ in range(STEPS):
         near = rows.join(groups.drop("log_det"), "key").withColumn("d2", distance())
-        limits = written(near.groupBy("key", "start").agg(F.percentile_approx("d2", KEEP).alias("limit")), "limits")
+        limits = _per_group(near.groupBy("key", "start").agg(F.percentile_approx("d2", KEEP).alias("limit")), "limits")
         inside = near.join(limits, ["key", "start"]).filter(F.col("d2") <= F.col("limit"))
         # Sums are taken about the last centre, which keeps their digits.
         gap = [F.col(x) - F.col(f"m_{i}") for i, x in enumerate(NAMES)]
@@ -187,7 +195,18 @@ def estimates(rows: DataFrame) -> DataFrame:
         covariance |= {_entry("s", i, i): F.greatest(covariance[_entry("s", i, i)], F.lit(floor[i] ** 2)) for i in range(size)}
         centre = {f"m_{i}": F.col(f"m_{i}") + F.col(f"a_{i}") for i in range(size)}
         moved = found.withColumns(covariance).withColumns(centre).drop(*sums)
-        groups = written(whitened(moved).drop(*covariance), "estimates")
+        # The last estimate stands where the next one is no smaller.
+        tried = whitened(moved).drop(*covariance).withColumn("next", F.lit(True))
+        both = tried.unionByName(groups.withColumn("next", F.lit(False)))
+        names = [c for c in groups.columns if c not in ("key", "start")]
+        least = F.min_by(F.struct(*names), F.struct("log_det", F.col("next"))).alias("one")
+        old = F.max(F.when(~F.col("next"), F.col("log_det"))).alias("old")
+        kept = both.groupBy("key", "start").agg(least, old).select("key", "start", "one.*", "old")
+        groups = _per_group(kept, "estimates")
+        fell = groups.agg(F.max(F.col("old") - F.col("log_det"))).first()[0]
+        groups = groups.drop("old")
+        if fell is None or not fell > FALL:
+            break
     best = groups.groupBy("key").agg(F.min(F.struct("log_det", "start")).alias("best"))
     same = ["key", "start"]
     return groups.join(best.select("key", "best.start"), same).drop("start", "log_det")
@@ -199,7 +218,7 @@ def judged(docs: DataFrame) -> DataFrame:
     counted = with_counts(plain).withColumns(vector()).withColumn("_keys", F.array(*keys())).drop("lang", "source")
     counted = written(counted, "text-counts")
     passed = counted.filter("not base_failed").select(F.explode("_keys").alias("key"), *NAMES)
-    groups = written(estimates(passed), "groups-estimated")
+    groups = _per_group(estimates(passed), "groups-estimated")
     # The narrowest group with enough rows.
     out = counted
     for level in range(3):

@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,60 @@ def test_outliers_of_edge_cases(spark):
     assert outliers.judged(frames.nothing(spark)).count() == 0
 
 
+def rank(values, share):
+    return sorted(values)[max(0, math.ceil(share * len(values)) - 1)]
+
+
+def plain_estimate(x):
+    """Centre and inverse covariance of the least determinant, by numpy, as ``outliers`` defines them."""
+    floor = np.array(list(outliers.SPREADS.values()))
+    middle = np.array([rank(c, 0.5) for c in x.T])
+    spread = np.array([rank(np.abs(c - m), 0.5) for c, m in zip(x.T, middle, strict=True)])
+    half = x.shape[1] // 2
+    grown = outliers.KEEP / outliers.chi_square_share(outliers.chi_square_quantile(outliers.KEEP, half), half + 1)
+    found = []
+    for scale in (np.maximum(1.4826 * spread, floor), np.array(outliers.START_SCALES)):
+        centre, inverse, det = middle, np.diag(1 / scale**2), math.inf
+        for _ in range(outliers.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
+            near = x[d <= rank(d, outliers.KEEP)]
+            covariance = np.cov(near.T, bias=True) * grown
+            np.fill_diagonal(covariance, np.maximum(np.diag(covariance), floor**2))
+            new = np.linalg.slogdet(covariance)[1] / 2
+            if new >= det:
+                break
+            fell, centre, inverse, det = det - new, near.mean(0), np.linalg.inv(covariance), new
+            if fell <= outliers.FALL:
+                break
+        found.append((det, centre, inverse))
+    return min(found, key=lambda f: f[0])
+
+
+def test_verdicts_against_plain_estimates(spark, monkeypatch):
+    """Every text's distance and verdict on sf0.01, by language and source where there are enough rows, else by wider groups."""
+    monkeypatch.setattr(outliers, "LEAST_ROWS", 60)
+    monkeypatch.setattr(outliers, "FALL", 0.0)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in outliers.judged(docs).collect()}
+    named = outliers.with_counts(docs.select("doc_id", F.col("text"), "lang", "source")).withColumns(outliers.vector())
+    rows = [r for r in named.collect() if not r["base_failed"]]
+    groups = defaultdict(list)
+    of = lambda r: [(r["lang"], r["source"]), (r["lang"],), ()]
+    for r in rows:
+        for key in of(r):
+            groups[key].append([r[n] for n in outliers.NAMES])
+    known = {key: plain_estimate(np.array(x)) for key, x in groups.items() if len(x) >= 60}
+    assert len(known) >= 5
+    cutoff = outliers.chi_square_quantile(outliers.WITHIN, len(outliers.NAMES) // 2)
+    for r in rows:
+        _, centre, inverse = next(known[key] for key in of(r) if key in known)
+        away = np.array([r[n] for n in outliers.NAMES]) - centre
+        d = away @ inverse @ away
+        assert got[r["doc_id"]]["distance"] == pytest.approx(d, rel=1e-6, abs=1e-9)
+        assert got[r["doc_id"]]["kept"] == (d <= cutoff)
+    assert sum(not r["kept"] for r in got.values()) > 5
+
+
 def change(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, source string, lang string, version string, n_tokens long, deleted boolean")
 
