@@ -219,3 +219,21 @@ def test_the_list_of_hot_keys_is_bounded(spark, monkeypatch):
     right = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
     got = skew.join_hot(left, right, ["k"], hot_rows=5)
     assert got.count() == 400 and got.filter("w <> 2 * k").count() == 0
+
+
+def test_a_category_joins_its_tours_as_one_list(spark, monkeypatch):
+    """A hot category's links stay one row each in the join, however many tours the category offers them."""
+    made = [{"id": i, "title": f"t{i}", "status": "available", "created_at": datetime(2001, 1, 1) + timedelta(days=i)} for i in range(40)]
+    t = tables(spark, tours=made, tour_categories=[{"tour_id": i, "category_id": "hot"} for i in range(40)])
+    joined = []
+
+    def join(links, other, *more):
+        out = skew.join_hot(links, other, *more)
+        joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(catalog, "join_hot", join)
+    got = rows(catalog.similar_tours(t), "tour_id", "similar_id", "rank")
+    newest = {i: [j for j in range(39, -1, -1) if j != i][:4] for i in range(40)}
+    assert got == sorted([(i, j, k + 1) for i, js in newest.items() for k, j in enumerate(js)], key=repr)
+    assert joined == [40]
