@@ -1,11 +1,11 @@
 """Live sales and payments that stay exact: running counters, late rows set aside, repeated events without effect.
 
-The sums of an hour, or of a customer's day, are kept as state by ``transformWithState``. The operators see the watermark but Spark does not drop rows by
+The sums of an hour, or a day's customers, are kept as state by ``transformWithState``. The operators see the watermark but Spark does not drop rows by
 it: the event time reaches them as a plain number, so a row whose hour or day is over comes out as a row of kind ``late`` instead of
 vanishing. ``repaired_hours`` and ``repaired_days`` build those hours and days anew from the bookings themselves, and only those.
 
-State is cleared by a timer when its hour or day is over. Hours are kept in ``SHARES`` shares by a hash of the booking, and days by customer, so a busy
-hour is many keys. Money is whole cents in the state. The session needs the RocksDB state store (``needed_settings``).
+State is cleared by a timer when its hour or day is over. Hours are kept in ``SHARES`` shares by a hash of the booking, and days by a hash of the
+customer, so a busy hour is many keys and a share's customers meet the state store together. Money is whole cents in the state. The session needs the RocksDB state store (``needed_settings``).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from sojourn.functions import dates
 from sojourn.streaming.batchlog import BatchLog
 
 LATE = "2 hours"
-# Keys that an hour's sums are kept under.
+# Keys that an hour's sums or a day's customers are kept under.
 SHARES = 16
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 _KEPT = "start long, id long, user_id long, at long, cents long"
@@ -80,12 +80,12 @@ class _HourSums(StatefulProcessor):
         pass
 
 
-class _CustomerDay(StatefulProcessor):
-    """Whether a customer has booked on a day; what each batch adds to the day's counters comes out at once."""
+class _CustomerDays(StatefulProcessor):
+    """The customers of a share who have booked on a day; what each batch adds to the day's counters comes out at once."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._seen = handle.getValueState("seen", "seen boolean")
+        self._seen = handle.getListState("seen", "user_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         end = int(key[0]) + DAY_MS
@@ -93,16 +93,18 @@ class _CustomerDay(StatefulProcessor):
             for frame in rows:
                 yield _late_part(frame)[_COLUMNS]
             return
-        n, cents = 0, 0
+        n, cents, users = 0, 0, set()
         for frame in rows:
             n, cents = n + len(frame), cents + int(frame["cents"].sum())
-        new = not self._seen.exists()
+            # A day's customers are counted by id; bookings without a customer are in the sums alone.
+            users.update(frame["user_id"].dropna().astype("int64").tolist())
+        began = not self._seen.exists()
+        new = users if began else users.difference(x for (x,) in self._seen.get())
         if new:
-            self._seen.update((True,))
-            self._handle.registerTimer(end)
-        # A day's customers are counted by id; bookings without a customer are in the sums alone.
-        customers = int(new and not pd.isna(key[1]))
-        yield pd.DataFrame([("change", int(key[0]), None, None, None, cents, n, customers)], columns=_COLUMNS)
+            self._seen.appendList([(x,) for x in sorted(new)])
+            if began:
+                self._handle.registerTimer(end)
+        yield pd.DataFrame([("change", int(key[0]), None, None, None, cents, n, len(new))], columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._seen.clear()
@@ -123,8 +125,10 @@ def hour_events(bookings: DataFrame, late: str = LATE) -> DataFrame:
 def day_events(bookings: DataFrame, late: str = LATE) -> DataFrame:
     """Rows of kind ``change`` (what a batch adds to a day's counters) and ``late``."""
     needed_settings(bookings.sparkSession)
-    keyed = _confirmed(bookings, late, DAY_MS).groupBy("start", "user_id")
-    return keyed.transformWithStateInPandas(_CustomerDay(), EVENTS, "Append", "EventTime")
+    rows = _confirmed(bookings, late, DAY_MS)
+    # One key for each customer would be calls to the state store for each of them.
+    keyed = rows.withColumn("share", F.pmod(F.xxhash64(F.coalesce("user_id", "id")), F.lit(SHARES))).groupBy("start", "share")
+    return keyed.transformWithStateInPandas(_CustomerDays(), EVENTS, "Append", "EventTime")
 
 
 def event_log(spark: SparkSession, folder: str) -> BatchLog:

@@ -195,3 +195,14 @@ def test_numbered_commits(spark, tmp_path):
         log.add(3, {"path": "other"})
     assert log.numbers() == [3, 10] and log.read(3) == {"path": "é"} and log.latest(9) == (3, {"path": "é"}) and log.latest() == (10, {"path": "x"})
     assert [n for n in os.listdir(tmp_path / "log") if n.startswith(".") and not n.endswith(".crc")] == []
+
+
+def test_customers_of_a_day_share_their_state(spark, tmp_path):
+    """A batch adds to a day's counters by shares of its customers, not by each customer."""
+    log = live.event_log(spark, str(tmp_path / "log"))
+    arrivals = Arrivals(spark, tmp_path, LIVE, lambda s, c: live.run(live.day_events(s), log, c))
+    arrivals.come(*[sale(i, i, user=i % 150) for i in range(200)], sale(900, 5, user=None))
+    arrivals.come(*[sale(1000 + i, 300 + i, user=100 + i) for i in range(100)], sale(901, 310, user=None))
+    assert rows(live.day_counters(log), *COUNTERS) == rows(jobs.stream_today_counters(arrivals.table()), *COUNTERS)
+    assert log.rows().filter("kind = 'change'").count() <= 2 * live.SHARES
+    assert log.rows().agg(F.sum("customers")).first()[0] == 200
