@@ -39,15 +39,19 @@ class KeyDictionary:
         """Number what is new in these tables; the number of the commit."""
         seen = []
         for name, columns in KEY_COLUMNS.items():
-            if name not in tables:
+            if name not in tables or not columns:
                 continue
             rows = getattr(tables, name)
+            made = next((c for c in _MADE if c in rows.columns), None)
+            none = F.lit(None).cast("timestamp_ntz")
+            found = []
             for column, entity in columns.items():
-                made = next((c for c in _MADE if c in rows.columns), None) if column == "id" else None
-                # Each table's references are folded before they are shuffled.
-                when = F.min(F.col(made).cast("timestamp_ntz")) if made else F.min(F.lit(None).cast("timestamp_ntz"))
-                of = rows.filter(F.col(column).isNotNull()).groupBy(F.lower(F.col(column)).alias("uuid"))
-                seen.append(of.agg(when.alias("made")).select(F.lit(entity).alias("entity"), "uuid", "made", F.lit(int(column != "id")).alias("only_named")))
+                when = F.col(made).cast("timestamp_ntz") if made and column == "id" else none
+                named = F.lit(int(column != "id"))
+                found.append(F.struct(F.lit(entity).alias("entity"), F.lower(F.col(column)).alias("uuid"), when.alias("made"), named.alias("only_named")))
+            # All key columns of a table are taken in one reading of it.
+            seen.append(rows.select(F.inline(F.array(*found))).filter("uuid is not null"))
+        # Folded before they are shuffled.
         everything = reduce(DataFrame.unionByName, seen).groupBy("entity", "uuid")
         folded = everything.agg(F.min("made").alias("made"), F.min("only_named").alias("only_named"))
         new = folded.join(self.keys(), ["entity", "uuid"], "left_anti")

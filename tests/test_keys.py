@@ -103,3 +103,20 @@ def test_jdbc_reads_uuid_tables_by_ranges(spark):
     t = warehouse.load_jdbc(spark, "jdbc:x", {}, tasks=3, reader_of=lambda s: Reader(), uuid_keys=True)
     assert rows(t.tour_categories, "tour_id", "category_id") == [(TOUR.format(1), "a")]
     assert len(asked["tour_categories"]) == 3 and "tour_id is null" in asked["tour_categories"][0]
+
+
+def test_each_table_is_read_once_to_learn_its_keys(spark, tmp_path, monkeypatch, capsys):
+    from sojourn.sources import keys
+
+    plans = []
+
+    def running_number(df, *more):
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return number(df, *more)
+
+    number = keys.running_number
+    monkeypatch.setattr(keys, "running_number", running_number)
+    KeyDictionary(spark, str(tmp_path)).learn(small(spark, [1, 2], [(1, 1), (2, 5)]))
+    # Users, tours and bookings, and the keys known so far.
+    assert plans[0].count("Scan") <= 4
