@@ -7,11 +7,12 @@ are never listed within groups of copies; what comes out are the connected compo
 2. Classes that cannot link go early. Two linked sets share all but a tenth of their shingles in any order of all shingles, so most of
    a class's shingles of the lowest hashes must be in other classes, too. Texts of their own fail this on few shingles.
 3. For the classes left all shingles are taken and counted, and the test is repeated on them.
-4. Each class's prefix holds so many of its rarest shingles that linked classes share one of them. The class seen in most of these
-   becomes its centre, and links to centres are tested first.
-5. Classes of one centre form groups of bounded size. The token-group matrix has a row for every shingle in a prefix of a
-   group's members. A class is asked against each group that shares a prefix shingle, fits in size and is not already known to be
-   linked to it, and the group's union of shingles bounds the overlap. Only groups that pass are opened, and all members compared.
+4. Each class's prefix holds so many of its rarest shingles that linked classes share one of them. Each of these names the class that
+   has it and whose shingles are in most other classes. The one named most often becomes the centre, and links to centres are tested first.
+5. Classes of one centre form groups of bounded size. The matrix of tokens and centres has a row for every shingle in a prefix of
+   a class of the centre. A class is asked against the groups of each centre that shares a prefix shingle, fits in size, is not already
+   known to be linked to it and has more classes than its own, and the group's union of shingles bounds the overlap. Only groups that
+   pass are opened, and all members compared.
 6. Links become components. A group is opened with its members joined up, so a class adds one link per joined-up part.
 
 Nulls and empty texts have no shingles, size 0 and themselves as component (a null ``doc_id`` gives a null one). Repeated rows are
@@ -178,15 +179,17 @@ def links_of_classes(full: DataFrame, percent: int) -> DataFrame:
     tokens = sets.select("c", "n", F.explode("tokens").alias("t"))
     counted = written(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "token-counts")
     ranked = F.sort_array(F.collect_list(F.struct("df", "t")))
-    prefix = tokens.join(counted, "t").groupBy("c", "n").agg(ranked.alias("ranked"))
+    prefix = tokens.join(counted, "t").groupBy("c", "n").agg(ranked.alias("ranked"), F.sum("df").alias("seen"))
     length = (F.col("n") - exact_at_least(F.col("n"), percent) + 1).cast("int")
-    rare = prefix.select("c", "n", F.inline(F.slice("ranked", F.lit(1), length))).filter("df > 1")
-    postings = written(rare.select("c", "n", "t"), "prefixes")
+    central = (F.col("seen") / F.col("n")).alias("central")
+    rare = prefix.select("c", "n", central, F.inline(F.slice("ranked", F.lit(1), length))).filter("df > 1")
+    postings = written(rare.select("c", "n", "central", "t"), "prefixes")
     fits = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent)
 
-    # The centre of a class: the smallest class of the most of its prefix shingles.
-    first = postings.groupBy("t").agg(F.min("c").alias("b"))
-    seen = postings.join(first, "t").filter("c > b").groupBy("c", "b").agg(F.count(F.lit(1)).alias("k"))
+    # The centre of a class: the most central class of the most of its prefix shingles. The text that edited copies were made from has
+    # no shingles of its own, so others have its shingles more often than those of any copy.
+    first = postings.groupBy("t").agg(F.max(F.struct("central", -F.col("c"))).alias("top")).select("t", (-F.col("top.col2")).alias("b"))
+    seen = postings.join(first, "t").filter("c <> b").groupBy("c", "b").agg(F.count(F.lit(1)).alias("k"))
     best = seen.groupBy("c").agg(F.max(F.struct("k", -F.col("b"))).alias("best"))
     centres = written(best.select(F.col("c").alias("a"), (-F.col("best.col2")).alias("b")), "centres")
     mine = centres.join(sets.select(F.col("c").alias("a"), "tokens"), "a")
@@ -199,14 +202,22 @@ def links_of_classes(full: DataFrame, percent: int) -> DataFrame:
     keyed = postings.select("c", "n").distinct().join(to, "c", "left").join(near, "c", "left")
     keyed = keyed.select("c", "n", F.coalesce("known", "c").alias("known"), F.col("known").isNotNull().alias("tied"),
                          F.coalesce("known", "centre", "c").alias("key"))
-    sizes = keyed.groupBy("tied", "key").agg(F.ceil(F.count(F.lit(1)) / GROUP_SIZE).alias("parts"))
-    placed = keyed.join(sizes, ["tied", "key"]).withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")))
-    groups = written(placed.select("c", "n", "known", F.struct("tied", "key", "part").alias("g")), "groups")
-    # Members of a tied group are all linked to its key, others may have any known links.
-    matrix = postings.join(groups.select("c", "g"), "c").groupBy("t", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asked = postings.join(groups.select("c", "known", F.col("g").alias("own")), "c").join(matrix, "t")
-    foreign = (F.col("own") != F.col("g")) & ~(F.col("g.tied") & (F.col("g.key") == F.col("known")))
-    questions = written(asked.filter(foreign & fits).select("c", "g").distinct(), "questions")
+    sizes = keyed.groupBy("tied", "key").agg(F.count(F.lit(1)).alias("members"))
+    # The classes of one key are a kind, which is dealt out over groups of bounded size.
+    kind = F.struct("members", "tied", "key").alias("kind")
+    part = F.pmod(F.xxhash64("c"), F.ceil(F.col("members") / GROUP_SIZE)).alias("part")
+    placed = keyed.join(sizes, ["tied", "key"]).select("c", "n", "known", kind, part)
+    groups = written(placed.withColumn("g", F.struct("kind.tied", "kind.key", "part")), "groups")
+    # Members of a tied kind are all linked to its key, others may have any known links. Of two kinds the one with fewer members asks.
+    matrix = postings.join(groups.select("c", "kind"), "c").groupBy("t", "kind").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    asked = postings.join(groups.select("c", "known", "part", F.col("kind").alias("own")), "c").join(matrix, "t")
+    foreign = ~(F.col("kind.tied") & (F.col("kind.key") == F.col("known")))
+    larger = (F.col("own") < F.col("kind")) | ((F.col("own") == F.col("kind")) & (F.col("own.members") > GROUP_SIZE))
+    # A shingle that a kind's groups share counts once; the groups follow when the shingles are folded.
+    kinds = asked.filter(foreign & larger & fits).select("c", "part", "own", "kind").distinct()
+    every = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("kind.members") / GROUP_SIZE) - 1)
+    opened = kinds.withColumn("other", F.explode(every)).filter((F.col("own") != F.col("kind")) | (F.col("other") > F.col("part")))
+    questions = written(opened.select("c", F.struct("kind.tied", "kind.key", F.col("other").alias("part")).alias("g")), "questions")
 
     per_group = questions.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUESTIONS).alias("shares"))
     dealt = questions.join(per_group, "g").select("c", "g", F.pmod(F.xxhash64("c"), F.col("shares")).alias("_share"))

@@ -88,3 +88,25 @@ def test_components_of_paths_and_rings(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+
+
+def test_copies_of_one_text_link_to_it_and_not_to_each_other(spark, monkeypatch):
+    """The text that many copies were edited from is their centre, wherever it is; few questions are left."""
+    words = [f"w{i}" for i in range(100)]
+    rows = []
+    for k in range(200):
+        a, b = 5 + k % 40, 50 + k // 5
+        rows.append((k, " ".join(f"x{k}y{i}" if i in (a, b) else w for i, w in enumerate(words))))
+    rows.append((500, " ".join(words)))
+    made = {}
+
+    def written(df, name):
+        made[name] = real(df, name)
+        return made[name]
+
+    real = jaccard.written
+    monkeypatch.setattr(jaccard, "written", written)
+    found = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r["component_id"] for r in found} == {0} and len(found) == 201
+    assert made["star-links"].filter("a <> b").count() >= 200
+    assert made["questions"].count() <= 20

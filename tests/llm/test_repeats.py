@@ -82,3 +82,15 @@ def test_characters_are_kept_whole(spark):
     rows = [(1, "é" * 30 + "1"), (2, "é" * 30 + "2"), (3, "ü")]
     left = repeats.kept_documents(spark.createDataFrame(rows, "doc_id long, text string"), 41, 8)
     assert {r["doc_id"]: r["text"] for r in left.collect()} == {1: "1", 2: "2", 3: "ü"}
+
+
+def test_places_are_gathered_before_they_meet_their_text(spark, monkeypatch, capsys):
+    """The places that go are folded by text before the join, so its rows do not grow with what is removed."""
+    monkeypatch.setattr(repeats, "HOT", 0)
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(120))
+    rows = [(k, f"{k:05d}" * 8 + passage + f"{k + 500:05d}" * 8) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    repeats.cleaned_texts(df.select("text"), 40, 8).explain()
+    assert "ObjectHashAggregate(keys=[t#" in capsys.readouterr().out
+    check(df, 40, 8)
