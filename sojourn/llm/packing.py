@@ -16,25 +16,32 @@ than ``doc_id`` and ``text`` are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
+from sojourn.llm import ragged
 from sojourn.llm.scratch import small_batches, written
 
 CAPACITY = 2048
 END_TOKEN = 0
-# Characters of texts handled at a time.
+# Bytes of texts handled at a time.
 STEP_CHARS = 1_000_000
 # Words whose ids a task remembers.
 CACHE_WORDS = 500_000
 WORDS_AT_ONCE = 1000
+# Lower-case letters of ASCII and Latin-1, which every step before the model leaves alone, and signs that do not join with what is before them.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}"
 # Rows that are numbered together.
 RANK_ROWS = 50_000
 # Rounds of multiplicative weights at first and for what rounding leaves, and how fast prices rise.
@@ -45,28 +52,45 @@ STEP = 8.0
 PRICED = 32
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 class Words:
     """Ids of words as bytes; each distinct word is tokenised once and remembered.
 
-    Many new words go through the tokenizer as one text, with a mark between them that is a word of its own. A full stop or
-    comma after a letter or digit is a word of its own for the tokenizer, too, so words are looked up without it. A text in which an
-    added token of the vocabulary is written out (in any case) goes through the tokenizer as a whole, which knows where such tokens count.
+    Signs after a letter or digit are a word of their own for the tokenizer, too, so words are looked up without them. Most new words are
+    letters alone. For these the normaliser and the pattern change nothing, so many go through the tokenizer's model as one text; an id with
+    the end-of-word suffix ends each. Other new words go through the whole tokenizer, with a mark between them that is a word of its own. A
+    text in which an added token of the vocabulary is written out (in any case) goes through it as a whole, which knows where such tokens count.
     """
 
     def __init__(self, tokenizer_json: str):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
-        self.known: dict[bytes, bytes] = {}
+        self.added = [t.content.encode().lower().decode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {b"": b""}
         self.mark = self._encode("~")
-        self.stops = {c: np.array(self._encode(chr(c)), "<u4").tobytes() for c in b".,"}
+        model = json.loads(tokenizer_json)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.letters = _letters_tokenizer(model) if model["type"] == "BPE" and suffix else None
+        self.is_end = np.zeros(max(model["vocab"].values()) + 1, bool) if self.letters else None
+        if self.letters:
+            self.is_end[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn_letters(self, words: list[bytes]) -> None:
+        for i in range(0, len(words) if self.letters else 0, WORDS_AT_ONCE):
+            some = words[i : i + WORDS_AT_ONCE]
+            text = b" ".join(some).decode()
+            ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * np.flatnonzero(self.is_end[ids]) + 4).tolist()
+            # A vocabulary without all letters would leave some out.
+            if len(stops) == len(some):
+                raw = ids.tobytes()
+                self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+
+    def _learn_marked(self, words: list[bytes]) -> None:
         # A mark of several ids, or one inside a word, would not part the words.
         plain = [w for w in words if b"~" not in w] if len(self.mark) == 1 else []
         for i in range(0, len(plain), WORDS_AT_ONCE):
@@ -81,24 +105,85 @@ class Words:
             if w not in self.known:
                 self.known[w] = np.array(self._encode(w.decode()), "<u4").tobytes()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
+    def _learn(self, words: list[bytes]) -> None:
+        known = self.known
+        letters, others, parted = [], [], []
+        for w in words:
+            if LETTERS(w):
+                letters.append(w)
+                continue
+            bare = w.rstrip(SIGNS)
+            if LETTERS(bare):
+                letters.append(bare)
+            elif not bare.isascii() and LETTERS(low := bare.decode().lower().encode()):
+                letters.append(low)
+                parted.append((w, low, w[len(bare) :]))
+                continue
+            else:
+                if not bare[-1:].isalnum():
+                    bare = w
+                others.append(bare)
+            if len(bare) < len(w):
+                parted.append((w, bare, w[len(bare) :]))
+        self._learn_letters([w for w in set(letters) if w not in known])
+        self._learn_marked([w for w in {*others, *letters, *(signs for _, _, signs in parted)} if w not in known])
+        for w, bare, signs in parted:
+            known[w] = known[bare] + known[signs]
+
+    def flat_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's start."""
         # The tokenizer lower-cases, so spellings that differ in ASCII case are one word.
-        lowered = [text.encode().lower() for text in texts]
-        whole = {i: self._encode(texts[i]) for i, raw in enumerate(lowered) if self.added and self.added.search(raw)}
-        split = [() if i in whole else raw.split() for i, raw in enumerate(lowered)]
+        lowered = pc.fill_null(pc.ascii_lower(texts), "")
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(lowered, token).to_numpy(zero_copy_only=False)
+        if whole.any():
+            lowered = pc.if_else(pa.array(whole), "", lowered)
+        words = pc.ascii_split_whitespace(lowered)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         known = self.known
-        distinct = set().union(*split)
-        new = distinct.difference(known)
+        ids = list(map(known.get, distinct))
+        new = [w for w, x in zip(distinct, ids, strict=True) if x is None]
         if len(known) + 2 * len(new) > CACHE_WORDS:
             known.clear()
-            new = distinct
-        stopped = [w for w in new if w[-1] in self.stops and w[-2:-1].isalnum()]
-        bare = {w[:-1] for w in stopped}.union(new).difference(stopped)
-        self._learn([w for w in bare if w not in known])
-        for w in stopped:
-            known[w] = known[w[:-1]] + self.stops[w[-1]]
-        return [np.array(whole[i], "<u4").tobytes() if i in whole else b"".join([known[w] for w in words]) for i, words in enumerate(split)]
+            known[b""] = b""
+            new = [w for w in distinct if w]
+        if new:
+            self._learn(new)
+            ids = list(map(known.__getitem__, distinct))
+        at = ragged.ends(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+        flat, bounds = ragged.take(np.frombuffer(b"".join(ids), "<u4"), at, coded.indices.to_numpy())
+        offsets = words.offsets.to_numpy()
+        bounds = bounds[offsets - offsets[0]]
+        if whole.any():
+            parts = [np.array(self._encode(texts[i].as_py()), "<u4") if whole[i] else flat[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+            flat, bounds = np.concatenate(parts), ragged.ends(np.array(list(map(len, parts))))
+        return flat, bounds
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        flat, bounds = self.flat_ids(pa.array(texts, pa.string()))
+        return [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _letters_tokenizer(model: dict) -> Tokenizer:
+    """The model alone, for words of letters parted by spaces. Words come once each, so it keeps none."""
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    tokenizer = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"]))
+    as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
+    return tokenizer
+
+
+def small_steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts, each as many as have ``STEP_CHARS`` bytes, or one longer text."""
+    size = ragged.ends(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(size, size[a] + STEP_CHARS, side="right")) - 1)
+        yield a, b
+        a = b
 
 
 def tokenize_pieces(tokenizer_json: str, capacity: int, end_token: int):
@@ -107,33 +192,23 @@ def tokenize_pieces(tokenizer_json: str, capacity: int, end_token: int):
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words in turn.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(tokenizer_json)
         end = np.array([end_token], "<u4").tobytes()
-        step = 4 * capacity
-
-        def cut(doc_ids: list, texts: list[str]) -> pd.DataFrame:
-            out = []
-            for doc_id, ids in zip(doc_ids, words.ids(texts), strict=True):
-                ids += end
-                for piece, a in enumerate(range(0, len(ids), step)):
-                    part = ids[a : a + step]
-                    out.append((None if doc_id is None else int(doc_id), piece, a // 4, len(part) // 4, zlib.crc32(part)))
-            rows = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            rows["doc_id"] = rows["doc_id"].astype("Int64")
-            return rows
-
-        for frame in frames:
-            doc_ids, texts, size = [], [], 0
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                doc_ids.append(doc_id)
-                texts.append(text if isinstance(text, str) else "")
-                size += len(texts[-1])
-                if size >= STEP_CHARS:
-                    yield cut(doc_ids, texts)
-                    doc_ids, texts, size = [], [], 0
-            if texts:
-                yield cut(doc_ids, texts)
+        for batch in batches:
+            doc_ids = batch.column("doc_id")
+            for first, last in small_steps(batch.column("text")):
+                flat, bounds = words.flat_ids(batch.column("text").slice(first, last - first))
+                bounds = bounds.tolist()
+                of, out = [], []
+                for i in range(last - first):
+                    ids = flat[bounds[i] : bounds[i + 1]].tobytes() + end
+                    for piece, a in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[a : a + 4 * capacity]
+                        of.append(first + i)
+                        out.append((piece, a // 4, len(part) // 4, zlib.crc32(part)))
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int32(), *[pa.int64()] * 3), strict=True)]
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(of)), *columns], PIECE_COLUMNS)
 
     return run
 
@@ -316,12 +391,12 @@ def place(plan: np.ndarray):
 def pack(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_token: int = END_TOKEN) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     small_batches(docs.sparkSession)
-    # Ids go through Python as text, since pandas has no whole numbers with nulls.
-    cut = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(tokenize_pieces(tokenizer_json, capacity, end_token), PIECES)
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenize_pieces(tokenizer_json, capacity, end_token), PIECES)
     pieces = written(cut, "pieces")
     # At most ``capacity`` rows.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = intervals(whole_configurations(counts, capacity))
+    # Ids go through Python as text, since pandas has no whole numbers with nulls.
     rows = ranked(pieces, sum(counts.values())).select(
         F.col("doc_id").cast("string").alias("doc_id"), "piece", "start", "length", "ids_crc32", "_rank"
     )

@@ -15,6 +15,7 @@ JSON = open(public_tokenizers.path("word_bpe_49k.json")).read()
 
 
 TOKENIZER = Tokenizer.from_str(JSON)
+WORDS = packing.Words(JSON)
 
 
 def ids_of(text):
@@ -83,3 +84,16 @@ def test_hard_histograms():
     assert sum(n for _, n in packing.whole_configurations({150: 10, 60: 9}, 200)) == 13
     assert sum(n for _, n in packing.whole_configurations({200: 9}, 200)) == 9
     assert packing.whole_configurations({}, 200) == []
+
+
+def test_words_of_letters_are_learned_without_their_signs():
+    texts = ["Schöber%%% schöber!, ÈÉON,; élan don't. a.b.c? ÿß×÷ \u212bngstr\u00f6m \u0130x. e\u0301t\u00e9) ª.", None, "", " \u1e9e. Σ. ΑΣ,"]
+    words = packing.Words(JSON)
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)] == [ids_of(t)[:-1] for t in texts]
+    assert {"schöber".encode(), "èéon".encode(), b"%%%"} <= set(words.known)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZstre''.,!%;)-_ \n\x1f\x85éÉßÿ×ºµ\u0301\u0338\u212aİΣς1²漢"), max_size=30), max_size=5))
+def test_signs_and_letters_of_latin_1(texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in WORDS.ids(texts)] == [ids_of(t)[:-1] for t in texts]
