@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 from sojourn.llm import repeats, suffixes
@@ -94,3 +95,14 @@ def test_places_are_gathered_before_they_meet_their_text(spark, monkeypatch, cap
     repeats.cleaned_texts(df.select("text"), 40, 8).explain()
     assert "ObjectHashAggregate(keys=[t#" in capsys.readouterr().out
     check(df, 40, 8)
+
+
+def test_rows_of_a_text_with_equal_bytes_are_one(spark):
+    """A text that repeats one line asks once for it, however often it does."""
+    texts = ["ab" * 1000, "x" * 900 + "end", "line of one text. " * 200]
+    found = next(repeats.anchor_rows(40, 8)(iter([pd.DataFrame({"key": texts, "text": texts})])))["rows"]
+    assert all(len({r[:2] for r in rows}) == len(rows) < 60 for rows in found)
+    for text, rows in zip(texts, found, strict=True):
+        places = [place for r in rows for place in [r[3:5], *r[5]]]
+        assert len(places) > len(rows) and sorted(i for a, b in places for i in range(a, b + 1)) == list(range(len(text) - 39))
+    check(spark.createDataFrame([*enumerate(texts), (7, "ab" * 30 + "z" + "x" * 50), (8, "x" * 39)], "doc_id long, text string"), 40, 8)
