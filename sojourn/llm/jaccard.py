@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sojourn.llm import ragged, shingles
 from sojourn.llm.components import connected_components
-from sojourn.llm.scratch import small_batches, written
+from sojourn.llm.scratch import small_batches, staged, written
 
 # Members of a group, and questions put to a group in one task.
 GROUP_SIZE = 64
@@ -110,7 +110,7 @@ def without_own(full: DataFrame, percent: int) -> DataFrame:
     single = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c")).filter("k = 1")
     own = single.groupBy("c").agg(F.count(F.lit(1)).alias("own"))
     kept = full.join(own, "c", "left").filter(F.col("n") - F.coalesce("own", F.lit(0)) >= exact_at_least(F.col("n"), percent))
-    return written(kept.drop("own"), "full-sets")
+    return kept.drop("own")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -177,13 +177,17 @@ def links_of_classes(full: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that join up exactly the classes that linked pairs join up."""
     sets = full.select("c", "n", "tokens")
     tokens = sets.select("c", "n", F.explode("tokens").alias("t"))
-    counted = written(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "token-counts")
-    ranked = F.sort_array(F.collect_list(F.struct("df", "t")))
-    prefix = tokens.join(counted, "t").groupBy("c", "n").agg(ranked.alias("ranked"), F.sum("df").alias("seen"))
-    length = (F.col("n") - exact_at_least(F.col("n"), percent) + 1).cast("int")
-    central = (F.col("seen") / F.col("n")).alias("central")
-    rare = prefix.select("c", "n", central, F.inline(F.slice("ranked", F.lit(1), length))).filter("df > 1")
-    postings = written(rare.select("c", "n", "central", "t"), "prefixes")
+
+    def rare_shingles() -> DataFrame:
+        counted = written(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "token-counts")
+        ranked = F.sort_array(F.collect_list(F.struct("df", "t")))
+        prefix = tokens.join(counted, "t").groupBy("c", "n").agg(ranked.alias("ranked"), F.sum("df").alias("seen"))
+        length = (F.col("n") - exact_at_least(F.col("n"), percent) + 1).cast("int")
+        central = (F.col("seen") / F.col("n")).alias("central")
+        rare = prefix.select("c", "n", central, F.inline(F.slice("ranked", F.lit(1), length))).filter("df > 1")
+        return rare.select("c", "n", "central", "t")
+
+    postings = staged(full.sparkSession, rare_shingles, "prefixes")
     fits = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent)
 
     # The centre of a class: the most central class of the most of its prefix shingles. The text that edited copies were made from has
@@ -261,8 +265,14 @@ def joined_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
     alive = alive.filter(100 * n >= percent * (n + 1)).drop("own")
     texts = texts.join(alive.select(F.col("doc_id").alias("rep"), "s1", "s2"), F.col("doc_id").eqNullSafe(F.col("rep")))
     found = texts.select("s1", "s2", "text").mapInPandas(full_rows(size), FULL).dropDuplicates(["s1", "s2"])
-    full = written(found.join(alive.select("s1", "s2", "c", "n"), ["s1", "s2"]).select("c", "n", "tokens"), "full-sets")
-    full = without_own(without_own(full, percent), percent)
+    found = found.join(alive.select("s1", "s2", "c", "n"), ["s1", "s2"]).select("c", "n", "tokens")
+
+    def narrowed() -> DataFrame:
+        once = written(without_own(written(found, "full-sets"), percent), "full-sets")
+        return without_own(once, percent)
+
+    # The sets before and between the tests are deleted when those that are left are written.
+    full = staged(docs.sparkSession, narrowed, "kept-sets")
     labels = connected_components(links_of_classes(full, percent))
     joined = classes.join(labels, F.col("c") == F.col("node"), "left").withColumn("k", F.coalesce("component", "c"))
     smallest = joined.groupBy("k").agg(F.min("doc_id").alias("component_id"))

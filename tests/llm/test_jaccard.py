@@ -2,7 +2,7 @@ import random
 import re
 from itertools import combinations
 
-from sojourn.llm import components, jaccard
+from sojourn.llm import components, jaccard, scratch
 from tests.llm import frames
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -110,3 +110,12 @@ def test_copies_of_one_text_link_to_it_and_not_to_each_other(spark, monkeypatch)
     assert {r["component_id"] for r in found} == {0} and len(found) == 201
     assert made["star-links"].filter("a <> b").count() >= 200
     assert made["questions"].count() <= 20
+
+
+def test_sets_between_the_tests_are_deleted(spark, monkeypatch):
+    gone = []
+    monkeypatch.setattr(scratch.shared, "deleted", lambda spark, paths: gone.extend(paths))
+    rows = [(i, "one two three four five six seven eight nine ten eleven twelve") for i in range(3)]
+    check(spark, rows)
+    assert sum("full-sets" in path for path in gone) == 2 and sum("token-counts" in path for path in gone) == 1
+    assert not any("kept-sets" in path or "prefixes" in path for path in gone)
