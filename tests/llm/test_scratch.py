@@ -1,7 +1,11 @@
+import glob
 import os
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from sojourn.functions import shared
 from sojourn.llm import scratch
 
 
@@ -30,3 +34,16 @@ def test_what_a_failed_stage_wrote_goes_too(spark):
     with pytest.raises(OSError):
         scratch.staged(spark, make, "clear-failed-result")
     assert folders(spark, "clear-failed") == set()
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    def files():
+        return set(glob.glob("/tmp/blockmgr-*/*/shuffle_*"))
+
+    before, setting = files(), spark.conf.get(shared.CLEANUP)
+    table = scratch.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n")), "shuffled")
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(shared.CLEANUP) == setting and table.count() == 7
