@@ -16,8 +16,8 @@ than ``doc_id`` and ``text`` are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,12 +36,12 @@ CAPACITY = 2048
 END_TOKEN = 0
 # Bytes of texts handled at a time.
 STEP_CHARS = 1_000_000
-# Words whose ids a task remembers.
+# Words whose ids a worker remembers.
 CACHE_WORDS = 500_000
 WORDS_AT_ONCE = 1000
 # Lower-case letters of ASCII and Latin-1, which every step before the model leaves alone, and signs that do not join with what is before them.
-LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
-SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}"
+LETTERS = "^[a-zß-öø-ÿ]+$"
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}"
 # Rows that are numbered together.
 RANK_ROWS = 50_000
 # Rounds of multiplicative weights at first and for what rounding leaves, and how fast prices rise.
@@ -105,30 +105,36 @@ class Words:
             if w not in self.known:
                 self.known[w] = np.array(self._encode(w.decode()), "<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learned(self, words: list[bytes], letters: np.ndarray) -> list[bytes]:
+        """Ids of each word; ``letters`` tells which are letters alone."""
         known = self.known
-        letters, others, parted = [], [], []
-        for w in words:
-            if LETTERS(w):
-                letters.append(w)
-                continue
-            bare = w.rstrip(SIGNS)
-            if LETTERS(bare):
-                letters.append(bare)
-            elif not bare.isascii() and LETTERS(low := bare.decode().lower().encode()):
-                letters.append(low)
-                parted.append((w, low, w[len(bare) :]))
-                continue
-            else:
-                if not bare[-1:].isalnum():
-                    bare = w
-                others.append(bare)
-            if len(bare) < len(w):
-                parted.append((w, bare, w[len(bare) :]))
-        self._learn_letters([w for w in set(letters) if w not in known])
-        self._learn_marked([w for w in {*others, *letters, *(signs for _, _, signs in parted)} if w not in known])
-        for w, bare, signs in parted:
-            known[w] = known[bare] + known[signs]
+        ids = list(map(known.get, words))
+        new = [i for i, x in enumerate(ids) if x is None]
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            known[b""] = b""
+            new = [i for i, w in enumerate(words) if w]
+        if not new:
+            return ids
+        plain = letters[new].tolist()
+        self._learn_letters([words[i] for i, x in zip(new, plain, strict=True) if x])
+        self._learn_marked([w for i in new if (w := words[i]) not in known])
+        return list(map(known.__getitem__, words))
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and where each word's start."""
+        bare, tails, letters = parted(words)
+        coded = bare.dictionary_encode()
+        at = coded.indices.to_numpy()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        plain = np.zeros(len(distinct), bool)
+        plain[at] = letters
+        signs = tails.dictionary_encode()
+        ends = signs.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = self._learned(distinct + ends, np.append(plain, np.zeros(len(ends), bool)))
+        parts = np.stack([at, len(distinct) + signs.indices.to_numpy()], axis=1).ravel()
+        flat, bounds = ragged.take(np.frombuffer(b"".join(ids), "<u4"), ragged.ends(np.fromiter(map(len, ids), np.int64, len(ids)) // 4), parts)
+        return flat, bounds[::2]
 
     def flat_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's start."""
@@ -141,19 +147,7 @@ class Words:
             lowered = pc.if_else(pa.array(whole), "", lowered)
         words = pc.ascii_split_whitespace(lowered)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        known = self.known
-        ids = list(map(known.get, distinct))
-        new = [w for w, x in zip(distinct, ids, strict=True) if x is None]
-        if len(known) + 2 * len(new) > CACHE_WORDS:
-            known.clear()
-            known[b""] = b""
-            new = [w for w in distinct if w]
-        if new:
-            self._learn(new)
-            ids = list(map(known.__getitem__, distinct))
-        at = ragged.ends(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
-        flat, bounds = ragged.take(np.frombuffer(b"".join(ids), "<u4"), at, coded.indices.to_numpy())
+        flat, bounds = ragged.take(*self.word_ids(coded.dictionary), coded.indices.to_numpy())
         offsets = words.offsets.to_numpy()
         bounds = bounds[offsets - offsets[0]]
         if whole.any():
@@ -167,6 +161,30 @@ class Words:
         return [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def parted(words: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Of each word what is before the signs at its end, these signs, and whether the first is letters alone. Capitals of Latin-1 become small.
+    A word whose signs may join with what is before them stays whole."""
+    bare = pc.ascii_rtrim(words, SIGNS)
+    cut = (pc.binary_length(words).to_numpy() - pc.binary_length(bare).to_numpy()).astype(np.int64)
+    letters = pc.match_substring_regex(bare, LETTERS).to_numpy(zero_copy_only=False)
+    ends = letters | pc.match_substring_regex(bare, "[a-z0-9]$").to_numpy(zero_copy_only=False)
+    odd = np.flatnonzero(~letters & ~pc.string_is_ascii(bare).to_numpy(zero_copy_only=False))
+    if len(odd):
+        low = pa.array([w.lower() for w in bare.take(pa.array(odd)).to_pylist()], words.type)
+        small = pc.match_substring_regex(low, LETTERS).to_numpy(zero_copy_only=False)
+        odd, low = odd[small], low.filter(pa.array(small))
+        letters[odd] = ends[odd] = True
+        mask = np.zeros(len(words), bool)
+        mask[odd] = True
+        bare = pc.replace_with_mask(bare, mask, low)
+    bare = pc.if_else(pa.array(ends), bare, words)
+    cut[~ends] = 0
+    signed = np.flatnonzero(cut)
+    tails = np.full(len(words), "", object)
+    tails[signed] = [w[-n:] for w, n in zip(words.take(pa.array(signed)).to_pylist(), cut[signed].tolist(), strict=True)]
+    return bare, pa.array(tails, words.type), letters
+
+
 def _letters_tokenizer(model: dict) -> Tokenizer:
     """The model alone, for words of letters parted by spaces. Words come once each, so it keeps none."""
     merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
@@ -186,6 +204,12 @@ def small_steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
         a = b
 
 
+@functools.lru_cache(maxsize=1)
+def worker_words(tokenizer_json: str) -> Words:
+    """The words that a worker has learned, for one task after the other."""
+    return Words(tokenizer_json)
+
+
 def tokenize_pieces(tokenizer_json: str, capacity: int, end_token: int):
     """Cuts the ids of each text and its end token into pieces.
 
@@ -193,7 +217,7 @@ def tokenize_pieces(tokenizer_json: str, capacity: int, end_token: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer_json)
+        words = worker_words(tokenizer_json)
         end = np.array([end_token], "<u4").tobytes()
         for batch in batches:
             doc_ids = batch.column("doc_id")
